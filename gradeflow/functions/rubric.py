@@ -22,7 +22,6 @@ DELIVERABLES_HEADING = "Expected deliverables:"
 DOCUMENTS_HEADING = "Source document excerpts:"
 DEFAULT_DELIVERABLE = "output.md"
 DEFAULT_SUMMARY = "Harvey LAB rubric feedback"
-WITHHELD_FEEDBACK = "Held-out Harvey LAB task. Feedback is intentionally withheld from the validation prompt."
 ATTEMPT_NOTE = "This is an intentionally sparse baseline attempt generated for the SDPO smoke path."
 ATTEMPT_HEADING = "Open rubric-sensitive issues to address:"
 RUBRIC_REPROMPT = (
