@@ -49,7 +49,7 @@ def normalize_turn(turn: Column) -> Column:
 
     A text key that is present but null counts as present, so later keys are not tried.
     """
-    is_object = F.schema_of_variant(turn).startswith("OBJECT")
+    is_object = F.try_variant_get(turn, "$", "map<string,variant>").isNotNull()
     role = F.coalesce(*[F.nullif(_member(turn, k, "string"), F.lit("")) for k in ROLE_KEYS], F.lit(""))
     text = F.lit("")
     for key in reversed(TEXT_KEYS):
@@ -63,11 +63,9 @@ def normalize_turn(turn: Column) -> Column:
 
 def exported_conversation_fields(conversation: Column) -> Column:
     """``struct<prompt, answer, trajectory>`` of a ``variant`` holding a list of turns or plain text."""
-    turns = F.coalesce(
-        F.try_variant_get(conversation, "$", "array<variant>"),
-        F.array().cast("array<variant>"),
-    )
-    listed = conversation_fields(F.transform(turns, normalize_turn))
-    plain = F.coalesce(F.try_variant_get(conversation, "$", "string"), F.lit(""))
+    listed = F.try_variant_get(conversation, "$", "array<variant>")
+    plain = F.try_variant_get(conversation, "$", "string")
+    turns = F.transform(F.coalesce(listed, F.array().cast("array<variant>")), normalize_turn)
+    is_object = F.try_variant_get(conversation, "$", "map<string,variant>").isNotNull()
     whole = F.struct(plain.alias("prompt"), plain.alias("answer"), F.lit("").alias("trajectory"))
-    return F.when(F.schema_of_variant(conversation) == "STRING", whole).otherwise(listed)
+    return F.when(listed.isNull() & plain.isNotNull() & ~is_object, whole).otherwise(conversation_fields(turns))

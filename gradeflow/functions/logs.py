@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeflow.functions.text import BOUNDARY, WS, all_matches, contains_any, first_match
+from gradeflow.functions.text import BOUNDARY, WORD_START, WS, all_matches, contains_any, first_match
 
 # The texts a trainer prints when it fails, progresses or resumes.
 FAILURE_TEXTS = (
@@ -37,6 +37,8 @@ METRIC_NAMES = {
     "reward": "critic/rewards/mean|train/critic/rewards/mean|reward",
     "teacher_kl": "teacher_kl|kl_loss|kl",
 }
+STEP_WORD = "step"  # in every step name
+APP_ID_START = "ap-"
 SEPARATOR = rf"{WS}*[:=]{WS}*"
 PLAIN_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 # Also reads exponents, nan and inf, which the plain form cuts short or misses.
@@ -57,7 +59,7 @@ def metric_of(line: Column, metric: str, wide_numbers: bool = False) -> Column:
 
 
 def app_id_of(line: Column) -> Column:
-    return first_match(line, f"{BOUNDARY}ap-[A-Za-z0-9]+{BOUNDARY}", 0)
+    return first_match(line, f"{WORD_START}{APP_ID_START}[A-Za-z0-9]+{BOUNDARY}", 0)
 
 
 def configured_steps_of(line: Column) -> Column:

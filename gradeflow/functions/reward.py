@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 from gradeflow.functions.text import (
     BOUNDARY,
-    WORD_START,
+    STARTS_WORD,
     WS,
     all_matches,
     contains_any,
-    count_words,
     extract_answer,
+    has_words,
     normalize,
     strip,
     text_or,
@@ -32,9 +32,9 @@ REFUSAL_PENALTY = 0.3
 DULL_TERMS = ("pass", "fail", "agent", "issue")
 TERM_LIMIT = 48
 QUOTED_SPAN = r"[\"'`]([^\"'`]{3,80})[\"'`]"
-NUMBER_TERM = rf"{WORD_START}\p{{Nd}}+(?:\.\p{{Nd}}+)?%?x?{BOUNDARY}"
+NUMBER_TERM = rf"\p{{Nd}}{STARTS_WORD}\p{{Nd}}*(?:\.\p{{Nd}}+)?%?x?{BOUNDARY}"
 CAPITAL_WORD = r"[A-Z][A-Za-z0-9&/-]*"
-CAPITAL_RUN = rf"{WORD_START}{CAPITAL_WORD}(?:{WS}+{CAPITAL_WORD}){{0,5}}{BOUNDARY}"
+CAPITAL_RUN = rf"[A-Z]{STARTS_WORD}[A-Za-z0-9&/-]*(?:{WS}+{CAPITAL_WORD}){{0,5}}{BOUNDARY}"
 
 
 def has_feedback(feedback: Column) -> Column:
@@ -63,7 +63,7 @@ def graded_score(solution: Column, truth: Column, feedback: Column) -> Column:
     exact = (wanted != "") & (normalize(extracted, restrip=False) == wanted)
     held = (wanted != "") & F.contains(normalize(solution, restrip=False), wanted)
     return F.struct(
-        F.when(exact, 1.0).when(held, 0.5).otherwise(0.0).alias("score"),
+        F.greatest(exact.cast("double"), held.cast("double") / 2).alias("score"),
         extracted.alias("extracted_answer"),
         exact.alias("exact"),
         held.alias("contains_ground_truth"),
@@ -80,7 +80,7 @@ def rubric_score(solution: Column, terms: Column, feedback: Column) -> Column:
     )
     hits = F.size(F.filter(wanted, lambda t: F.contains(text, t)))
     count = F.size(wanted)
-    bonus = F.when(count_words(text_or(solution)) >= LONG_ANSWER_WORDS, LONG_ANSWER_BONUS).otherwise(0.0)
+    bonus = F.when(has_words(text_or(solution), LONG_ANSWER_WORDS), LONG_ANSWER_BONUS).otherwise(0.0)
     penalty = F.when(contains_any(text, REFUSALS), REFUSAL_PENALTY).otherwise(0.0)
     score = hits / F.greatest(count, F.lit(1)) + bonus - penalty
     return F.struct(

@@ -12,12 +12,14 @@ SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-NOT_WS = WS.replace("[", "[^", 1)
+WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+NOT_WS = r"[^\s\x1c-\x1f\x85\p{Z}]"
 # Python's \w, and its \b spelled out as look-arounds on either side of a word character.
 WORD = r"[\p{L}\p{N}_]"
 WORD_START = rf"(?<!{WORD})"
 WORD_END = rf"(?!{WORD})"
+# The same as WORD_START but placed after the word's first character, which is cheaper to test first.
+STARTS_WORD = rf"(?<!{WORD}.)"
 BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 TRUNCATED = "\n[truncated]"
@@ -47,6 +49,15 @@ def count_words(value: Column) -> Column:
     return F.regexp_count(value, F.lit(f"{NOT_WS}+"))
 
 
+def has_words(value: Column, count: int) -> Column:
+    """Whether there are at least ``count`` words, reading no further than that many."""
+    return value.rlike(rf"\A{WS}*+(?:{NOT_WS}++{WS}++){{{count - 1}}}{NOT_WS}")
+
+
+def without_commas(value: Column) -> Column:
+    return F.replace(value, F.lit(","), F.lit(""))
+
+
 def all_matches(value: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(value, F.lit(pattern), F.lit(group))
 
@@ -80,8 +91,7 @@ def normalize(value: Column, restrip: bool = True) -> Column:
 
     ``restrip=False`` leaves a space that removing a comma exposed at either end.
     """
-    bare = F.regexp_replace(strip(text_or(value)), ",", "")
-    single = F.regexp_replace(bare, f"{WS}+", " ")
+    single = F.regexp_replace(without_commas(strip(text_or(value))), f"{WS}+", " ")
     return F.lower(strip(single) if restrip else single)
 
 
@@ -92,7 +102,7 @@ def extract_answer(value: Column, letters: bool = True) -> Column:
         strip(last_match(text, rf"####{WS}*([^\n]+)")),
         strip(last_match(text, rf"(?is)<answer>{WS}*(.*?){WS}*</answer>")),
         strip(last_match(text, r"\\boxed\{([^{}]+)\}")),
-        last_match(F.regexp_replace(text, ",", ""), r"-?\p{Nd}+(?:\.\p{Nd}+)?", 0),
+        last_match(without_commas(text), r"-?\p{Nd}+(?:\.\p{Nd}+)?", 0),
     ]
     if letters:
         steps.append(last_match(F.upper(text), f"{WORD_START}([A-D]){WORD_END}"))

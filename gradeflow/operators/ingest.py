@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.operators.registry import newest
@@ -19,33 +19,23 @@ ARRAYS = {"metrics": f"array<{METRIC_TYPE}>", "traces": f"array<{TRACE_TYPE}>",
 def parse_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Payload texts with their arrays read out, and ``error`` set where a payload is refused.
 
-    An absent array stays null, which leaves the run's earlier one in place. Batch or stream.
+    An absent array stays null, which leaves the run's earlier one in place. What is read out of a
+    refused payload means nothing. Batch or stream.
     """
+    typed = ", ".join(f"{name}: {kind}" for name, kind in ARRAYS.items())
+    parsed = payloads.withColumn("_body", F.try_parse_json(payload)).withColumn(
+        "_typed", F.from_json(payload, f"struct<{typed}, status: string>")
+    )
     body = F.col("_body")
-    parsed = payloads.withColumn("_body", F.try_parse_json(payload))
-    is_object = F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
+    is_object = F.try_variant_get(body, "$", "map<string,variant>").isNotNull()
     well_typed = F.lit(True)
     for name in ARRAYS:
-        well_typed = well_typed & _absent_or_array(F.try_variant_get(body, f"$.{name}", "variant"))
+        absent = F.try_variant_get(body, f"$.{name}", "variant").isNull()
+        well_typed = well_typed & (absent | F.try_variant_get(body, f"$.{name}", "array<variant>").isNotNull())
     refused = (
         F.when(~is_object, "JSON body must be an object").when(~well_typed, "metrics, traces, and logs must be arrays")
     )
-    with_error = parsed.withColumn("error", refused)
-    accepted = F.col("error").isNull()
-    return with_error.select(
-        *payloads.columns,
-        "error",
-        *[F.when(accepted, _typed(body, name, kind)).alias(name) for name, kind in ARRAYS.items()],
-        F.when(accepted, F.try_variant_get(body, "$.status", "string")).alias("status"),
-    )
-
-
-def _absent_or_array(member: Column) -> Column:
-    return member.isNull() | F.coalesce(F.schema_of_variant(member).startswith("ARRAY"), F.lit(False))
-
-
-def _typed(body: Column, name: str, kind: str) -> Column:
-    return F.from_json(F.try_variant_get(body, f"$.{name}", "string"), kind)
+    return parsed.select(*payloads.columns, refused.alias("error"), "_typed.*")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

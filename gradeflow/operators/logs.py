@@ -20,10 +20,11 @@ def _where(value: Column | str, condition: Column) -> Column:
 def step_metrics(lines: DataFrame, wide_numbers: bool = False) -> DataFrame:
     """``run_id, step`` and the last value each metric was given at that step.
 
-    Works on a batch and on a stream. All aggregate buffers are numbers, so rows are combined
+    Works on a batch and on a stream. A plain text search spares most lines the patterns. All aggregate buffers are numbers, so rows are combined
     before the shuffle by hash and a hot run sends one small row per step and task.
     """
-    parsed = lines.select("run_id", "line_no", "line", lf.step_of(F.col("line")).alias("step")).where(
+    likely = lines.where(F.col("line").contains(lf.STEP_WORD))
+    parsed = likely.select("run_id", "line_no", "line", lf.step_of(F.col("line")).alias("step")).where(
         F.col("step").isNotNull()
     )
     values = parsed.select(
@@ -40,69 +41,53 @@ def step_metrics(lines: DataFrame, wide_numbers: bool = False) -> DataFrame:
 def run_status(lines: DataFrame, expect_steps: int = 1, exact_step: bool = False) -> DataFrame:
     """One row per run: line count, configured steps, status, and the lines that prove it.
 
-    The first pass finds positions with numeric aggregates only; the few lines they point at are
-    then fetched by position.
+    One scan and one shuffle. Lines that prove nothing are blanked before they are grouped, and
+    each task sends one row per run, however many lines the run has.
     """
     line = F.col("line")
     fresh = lf.is_fresh_step(line, expect_steps, exact_step) if expect_steps > 0 else F.lit(False)
     seen = lines.select(
         "run_id",
         "line_no",
+        "line",
         lf.is_failure(line).alias("_failed"),
         lf.is_progress(line).alias("_moved"),
         fresh.alias("_fresh"),
         lf.configured_steps_of(line).alias("_steps"),
-    )
-    positions = seen.groupBy("run_id").agg(
+    ).withColumn("line", _where("line", F.col("_failed") | F.col("_moved") | F.col("_fresh")))
+    failed_at, fresh_at, moved_at = (_where("line_no", F.col(flag)) for flag in ("_failed", "_fresh", "_moved"))
+    found = seen.groupBy("run_id").agg(
         F.count("*").alias("lines"),
         F.max_by("_steps", _where("line_no", F.col("_steps").isNotNull())).alias("configured_steps"),
-        F.max(_where("line_no", F.col("_failed"))).alias("failure_at"),
-        F.max(_where("line_no", F.col("_fresh"))).alias("fresh_at"),
-        F.max(_where("line_no", F.col("_moved"))).alias("moved_at"),
+        F.max(failed_at).alias("_failed_at"),
+        F.max(fresh_at).alias("_fresh_at"),
+        F.max_by("line", failed_at).alias("_failure"),
+        F.max_by("line", fresh_at).alias("_reached"),
+        F.max_by("line", moved_at).alias("_progress"),
     )
-    failed, reached = F.col("failure_at").isNotNull(), F.col("fresh_at").isNotNull()
-    decided = positions.withColumn(
-        "status",
-        F.when(failed & (F.col("fresh_at") > F.col("failure_at")), "completed-with-warning")
+    failed, reached = F.col("_failure").isNotNull(), F.col("_reached").isNotNull()
+    status = (
+        F.when(failed & (F.col("_fresh_at") > F.col("_failed_at")), "completed-with-warning")
         .when(failed, "failed")
         .when(reached, "completed")
-        .when(F.col("moved_at").isNotNull(), "progress-evidence-seen")
-        .otherwise("incomplete"),
-    )
-    evidence = _lines_at(lines, decided)
-    return decided.join(evidence, "run_id", "left").select(
-        "run_id", "status", "lines", "configured_steps", "failure_line", "step_evidence",
-        _where("progress_evidence", F.col("step_evidence").isNull()).alias("progress_evidence"),
+        .when(F.col("_progress").isNotNull(), "progress-evidence-seen")
+        .otherwise("incomplete")
     )
-
-
-def _lines_at(lines: DataFrame, positions: DataFrame) -> DataFrame:
-    """The failure, step and progress lines at the found positions, stripped."""
-    wanted = positions.select(
+    return found.select(
         "run_id",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.lit("failure").alias("what"), F.col("failure_at").alias("line_no")),
-                    F.struct(F.lit("fresh").alias("what"), F.col("fresh_at").alias("line_no")),
-                    F.struct(F.lit("moved").alias("what"), F.col("moved_at").alias("line_no")),
-                ),
-                lambda p: p["line_no"].isNotNull(),
-            )
-        ).alias("_p"),
-    ).select("run_id", "_p.line_no", "_p.what")
-    evident = lines.where(lf.is_failure(F.col("line")) | lf.is_progress(F.col("line")) | F.col("line").contains("step"))
-    found = evident.join(wanted, ["run_id", "line_no"]).withColumn("line", strip(F.col("line")))
-    return found.groupBy("run_id").agg(
-        F.max(_where("line", F.col("what") == "failure")).alias("failure_line"),
-        F.max(_where("line", F.col("what") == "fresh")).alias("step_evidence"),
-        F.max(_where("line", F.col("what") == "moved")).alias("progress_evidence"),
+        status.alias("status"),
+        "lines",
+        "configured_steps",
+        strip(F.col("_failure")).alias("failure_line"),
+        strip(F.col("_reached")).alias("step_evidence"),
+        _where(strip(F.col("_progress")), ~reached).alias("progress_evidence"),
     )
 
 
 def app_ids(lines: DataFrame) -> DataFrame:
     """The app id on the last line that names one, per run."""
-    named = lines.select("run_id", "line_no", lf.app_id_of(F.col("line")).alias("app_id"))
+    likely = lines.where(F.col("line").contains(lf.APP_ID_START))
+    named = likely.select("run_id", "line_no", lf.app_id_of(F.col("line")).alias("app_id"))
     return named.where(F.col("app_id").isNotNull()).groupBy("run_id").agg(F.max_by("app_id", "line_no").alias("app_id"))
 
 

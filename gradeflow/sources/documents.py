@@ -30,68 +30,96 @@ def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
 
 
-def name_of(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
 def extract_documents(files: DataFrame, limit: int) -> DataFrame:
-    """``path, content`` and any other columns to the same columns with ``text`` for ``content``.
-
-    Plain formats are decoded by Spark. Mail and office formats go to Python workers in Arrow
-    batches. A file that cannot be read gives a row saying so.
-    """
+    """``path, content`` and any other columns to the same columns with ``text`` for ``content``."""
     suffix = suffix_of(F.col("path"))
-    keep = [c for c in files.columns if c != "content"]
-    plain = files.where(suffix.isin(*PLAIN_SUFFIXES)).select(
-        *keep, trim_text(F.make_valid_utf8(F.col("content").cast("string")), limit).alias("text")
-    )
-    packed = files.where(suffix.isin(*_READERS)).withColumn("_suffix", suffix)
-    schema = ", ".join([f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep] + ["raw string", "failed boolean"])
-    read = packed.mapInPandas(_read_batches, schema).select(
-        *keep, F.when(F.col("failed"), F.col("raw")).otherwise(trim_text(F.col("raw"), limit)).alias("text")
+    plain = files.where(suffix.isin(*PLAIN_SUFFIXES))
+    packed = files.where(suffix.isin(*_READERS))
+    other = files.where(~suffix.isin(*PLAIN_SUFFIXES, *_READERS))
+    return _plain_text(plain, limit).unionByName(_packed_text(packed, limit)).unionByName(
+        _noted(other, "(document available but not extracted: ", ")")
     )
-    other = files.where(~suffix.isin(*PLAIN_SUFFIXES, *_READERS)).select(
-        *keep, _note("(document available but not extracted: ").alias("text")
-    )
-    return plain.unionByName(read).unionByName(other)
 
 
-def _note(opening: str) -> Column:
-    return F.concat(F.lit(opening), name_of(F.col("path")), F.lit(")"))
+def _kept(files: DataFrame) -> list[str]:
+    return [c for c in files.columns if c not in ("content", "length")]
+
+
+def _plain_text(files: DataFrame, limit: int) -> DataFrame:
+    """Plain formats, decoded by Spark itself."""
+    decoded = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select(*_kept(files), trim_text(decoded, limit).alias("text"))
+
+
+def _packed_text(files: DataFrame, limit: int) -> DataFrame:
+    """Mail and office formats, read by Python workers in Arrow batches. A bad file gives a row saying so."""
+    keep = _kept(files)
+    fields = [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep]
+    read = files.select(*keep, "content").mapInPandas(_read_batches, ", ".join([*fields, "raw string", "failed boolean"]))
+    text = F.when(F.col("failed"), F.col("raw")).otherwise(trim_text(F.col("raw"), limit))
+    return read.select(*keep, text.alias("text"))
+
+
+def _noted(files: DataFrame, opening: str, closing: str) -> DataFrame:
+    note = F.concat(F.lit(opening), F.element_at(F.split("path", "/"), -1), F.lit(closing))
+    return files.select(*_kept(files), note.alias("text"))
 
 
 def read_document_files(spark: SparkSession, root: str, limit: int) -> DataFrame:
-    """Every file under ``<root>/<task>/documents/`` as ``task_id, path, text``."""
+    """Every file under ``<root>/tasks/<task>/documents/`` as ``task_id, path, text``.
+
+    Each kind of file is listed by its own name pattern, so a file's content is read once.
+    """
+    plain, packed = _glob(PLAIN_SUFFIXES), _glob(tuple(_READERS))
+    suffix = suffix_of(F.col("path"))
     listing = list_document_files(spark, root)
-    small = listing.where(F.col("length") <= MAX_FILE_BYTES).select("task_id", "path", "content")
-    large = listing.where(F.col("length") > MAX_FILE_BYTES).select(
-        "task_id", "path", F.concat(F.lit("(error reading "), name_of(F.col("path")), F.lit(": file too large)")).alias("text")
+    known = suffix.isin(*PLAIN_SUFFIXES, *_READERS)
+    fits = F.col("length") <= MAX_FILE_BYTES
+    return (
+        _plain_text(list_document_files(spark, root, plain).where(fits), limit)
+        .unionByName(_packed_text(list_document_files(spark, root, packed).where(fits), limit))
+        .unionByName(_noted(listing.where(known & ~fits), "(error reading ", ": file too large)"))
+        .unionByName(_noted(listing.where(~known), "(document available but not extracted: ", ")"))
     )
-    return extract_documents(small, limit).unionByName(large)
 
 
-def list_document_files(spark: SparkSession, root: str) -> DataFrame:
+def _glob(suffixes: tuple[str, ...]) -> str:
+    """A file-name pattern for the suffixes in either case."""
+    either = ["".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in suffixes]
+    return "*.{" + ",".join(either) + "}"
+
+
+def list_document_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``task_id, path, length, content``; Spark reads the content only where it is selected."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    inner = F.regexp_extract("path", r"/tasks/(.+?)/documents/(.+)$", 1)
-    rest = F.regexp_extract("path", r"/tasks/(.+?)/documents/(.+)$", 2)
-    return found.select(inner.alias("task_id"), rest.alias("path"), "length", "content").where(F.col("path") != "")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    place = r"/tasks/(.+?)/documents/(.+)$"
+    return (
+        reader.load(f"{root.rstrip('/')}/tasks")
+        .select(
+            F.regexp_extract("path", place, 1).alias("task_id"),
+            F.regexp_extract("path", place, 2).alias("path"),
+            "length",
+            "content",
+        )
+        .where(F.col("path") != "")
+    )
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        results = [_read_one(*row) for row in zip(batch["path"], batch["_suffix"], batch["content"], strict=True)]
-        out = batch.drop(columns=["content", "_suffix"])
+        results = [_read_one(path, content) for path, content in zip(batch["path"], batch["content"], strict=True)]
+        out = batch.drop(columns="content")
         out["raw"] = [text for text, _ in results]
         out["failed"] = [failed for _, failed in results]
         yield out
 
 
-def _read_one(path: str, suffix: str, content: bytes) -> tuple[str, bool]:
+def _read_one(path: str, content: bytes) -> tuple[str, bool]:
+    name = path.rsplit("/", 1)[-1]
     try:
-        return _READERS[suffix](content), False
+        return _READERS[name.rsplit(".", 1)[-1].lower()](content), False
     except Exception as problem:  # one bad file must not fail the task
-        return f"(error reading {path.rsplit('/', 1)[-1]}: {problem})", True
+        return f"(error reading {name}: {problem})", True
 
 
 def _mail_text(content: bytes) -> str:
