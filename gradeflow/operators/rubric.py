@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import rubric as rf
 from gradeflow.functions.reward import RUBRIC_SOURCE, reward_terms
-from gradeflow.functions.text import fill_template, trim_text, utc_stamp
+from gradeflow.functions.text import fill_template, strip, trim_text, utc_stamp
 from gradeflow.operators.frames import side_by_side
 from gradeflow.operators.ordering import path_order, top_per_group
 from gradeflow.operators.records import chat_columns
@@ -24,6 +27,8 @@ NOTES = (
 # The fewest characters of a document block that survive trimming: "### " and a path of one.
 SHORTEST_BLOCK = 5
 
+Generate = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
 
 def document_blocks(documents: DataFrame, prompt_chars: int = rf.PROMPT_CHARS) -> DataFrame:
     """``task_id, blocks`` from ``task_id, path, text`` with the blocks in path order.
@@ -71,6 +76,17 @@ def with_attempts(tasks: DataFrame, attempts: DataFrame | None) -> DataFrame:
     return joined.withColumn("attempt", F.coalesce("_made", fallback)).drop("_made")
 
 
+def made_attempts(tasks: DataFrame, generate: Generate) -> DataFrame:
+    """``task_id, attempt`` from the user's generator, which gets ``task_id, prompt`` in Arrow batches."""
+    made = tasks.select("task_id", "prompt").mapInPandas(generate, "task_id string, attempt string")
+    return made.withColumn("attempt", strip(F.col("attempt")))
+
+
+def parsed_scores(judged: DataFrame, text: str = "scores_json") -> DataFrame:
+    """``task_id, scores`` from a judge's JSON texts."""
+    return judged.select("task_id", F.from_json(text, rf.SCORES_TYPE, {"mode": "FAILFAST"}).alias("scores"))
+
+
 def with_scores(tasks: DataFrame, scores: DataFrame | None) -> DataFrame:
     """Tasks with their ``scores`` struct, null where unscored, and the ``feedback`` made from it."""
     if scores is None:

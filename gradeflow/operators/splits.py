@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeflow.operators.frames import side_by_side
 from gradeflow.operators.ordering import row_index
 
 # Hash-prefix length: each stratum is ranked in 16**3 separate pieces.
@@ -85,10 +84,9 @@ def stratified_split(
 
 
 def generation_set(split: DataFrame) -> DataFrame:
-    """Train and preview rows together, labelled ``train`` and ``eval_preview``."""
-    train = split.where(F.col("split") == "train").withColumn("split", F.lit("train"))
-    shown = split.where(F.col("in_preview")).withColumn("split", F.lit("eval_preview"))
-    return train.unionByName(shown)
+    """Train and preview rows together, labelled ``train`` and ``eval_preview``, in one pass."""
+    wanted = split.where((F.col("split") == "train") | F.col("in_preview"))
+    return wanted.withColumn("split", F.when(F.col("in_preview"), "eval_preview").otherwise("train"))
 
 
 def without(ordered: DataFrame, taken: DataFrame, id_col: str) -> DataFrame:
@@ -97,7 +95,18 @@ def without(ordered: DataFrame, taken: DataFrame, id_col: str) -> DataFrame:
 
 
 def leak_report(train: DataFrame, test: DataFrame, id_col: str, feedback: str) -> DataFrame:
-    """One row: ids in both parts, and test rows that still carry feedback. Both must be 0."""
-    shared = test.join(train.select(id_col), id_col, "left_semi").agg(F.count("*").alias("shared_ids"))
-    shown = test.agg(F.count_if(F.coalesce(F.col(feedback), F.lit("")) != "").alias("test_rows_with_feedback"))
-    return side_by_side(shared, shown)
+    """One row: test rows whose id is also in train, and test rows that still carry feedback. Both must be 0.
+
+    Both parts are counted per id in one shuffle, so repeated ids do no harm.
+    """
+    shown = (F.coalesce(F.col(feedback), F.lit("")) != "").cast("bigint")
+    sides = train.select(id_col, F.lit(1).alias("_train"), F.lit(0).alias("_test"), F.lit(0).alias("_shown")).unionByName(
+        test.select(id_col, F.lit(0).alias("_train"), F.lit(1).alias("_test"), shown.alias("_shown"))
+    )
+    per_id = sides.groupBy(id_col).agg(
+        F.max("_train").alias("_train"), F.sum("_test").alias("_test"), F.sum("_shown").alias("_shown")
+    )
+    return per_id.agg(
+        F.coalesce(F.sum(F.when(F.col("_train") == 1, F.col("_test"))), F.lit(0)).alias("shared_ids"),
+        F.coalesce(F.sum("_shown"), F.lit(0)).alias("test_rows_with_feedback"),
+    )

@@ -244,7 +244,7 @@ FROM ({CONFIGS_SQL})
 
 
 def config_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """Part types as a model catalogue: which orders' clerks... name a model it lists."""
+    """Parts as configurations, checked against a catalogue table made of the part types of each brand."""
     catalogue = table(spark, folder, "part").groupBy(F.col("p_brand").alias("id")).agg(
         F.array_sort(F.collect_set("p_type")).alias("models")
     )

@@ -24,20 +24,19 @@ def read_json_list(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
 
 
 def read_json_member(spark: SparkSession, path: str, schema: Schema, member: str | None = None) -> DataFrame:
-    """Documents that are one object; the rows are the list under ``member``, or the first list in it."""
+    """Documents that are one object; the rows are the list under ``member``, or its first list if none is named."""
     row = schema if isinstance(schema, str) else schema.simpleString()
     struct = row if row.startswith("struct<") else f"struct<{_fields(row)}>"
     if member:
         whole = spark.read.schema(f"`{member}` array<{struct}>").option("multiLine", True).json(path)
         return whole.select(F.explode(member).alias("_row")).select("_row.*")
-    document = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("_doc"))
-    members = F.from_json(F.col("_doc").cast("string"), "map<string,string>")
-    lists = F.filter(F.map_entries(members), lambda e: F.schema_of_variant(F.try_parse_json(e["value"])).startswith("ARRAY"))
-    first = F.get(lists, F.lit(0))["value"]
-    found = document.select(
-        F.when(first.isNull(), F.raise_error(F.lit("no list in the JSON document"))).otherwise(first).alias("_rows")
-    )
-    return found.select(F.explode(F.from_json("_rows", f"array<{struct}>")).alias("_row")).select("_row.*")
+    document = spark.read.text(path, wholetext=True)
+    members = F.map_values(F.from_json("value", "map<string,variant>"))
+    lists = F.filter(members, lambda m: F.try_variant_get(m, "$", "array<variant>").isNotNull())
+    first = F.get(lists, F.lit(0))
+    missing = F.raise_error(F.lit("no list in the JSON document")).cast("variant")
+    rows = F.variant_get(F.coalesce(first, missing), "$", f"array<{struct}>")
+    return document.select(F.explode(rows).alias("_row")).select("_row.*")
 
 
 def _fields(ddl: str) -> str:

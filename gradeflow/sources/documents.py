@@ -65,21 +65,25 @@ def _noted(files: DataFrame, opening: str, closing: str) -> DataFrame:
     return files.select(*_kept(files), note.alias("text"))
 
 
-def read_document_files(spark: SparkSession, root: str, limit: int) -> DataFrame:
+def read_document_files(spark: SparkSession, root: str, limit: int, tasks: DataFrame | None = None) -> DataFrame:
     """Every file under ``<root>/tasks/<task>/documents/`` as ``task_id, path, text``.
 
-    Each kind of file is listed by its own name pattern, so a file's content is read once.
+    Each kind of file is listed by its own name pattern, so a file's content is read once. With
+    ``tasks`` only the documents of those ``task_id`` are extracted.
     """
-    plain, packed = _glob(PLAIN_SUFFIXES), _glob(tuple(_READERS))
     suffix = suffix_of(F.col("path"))
-    listing = list_document_files(spark, root)
     known = suffix.isin(*PLAIN_SUFFIXES, *_READERS)
     fits = F.col("length") <= MAX_FILE_BYTES
+
+    def files(pattern: str, condition: Column) -> DataFrame:
+        found = list_document_files(spark, root, pattern).where(condition)
+        return found if tasks is None else found.join(tasks.select("task_id"), "task_id", "left_semi")
+
     return (
-        _plain_text(list_document_files(spark, root, plain).where(fits), limit)
-        .unionByName(_packed_text(list_document_files(spark, root, packed).where(fits), limit))
-        .unionByName(_noted(listing.where(known & ~fits), "(error reading ", ": file too large)"))
-        .unionByName(_noted(listing.where(~known), "(document available but not extracted: ", ")"))
+        _plain_text(files(_glob(PLAIN_SUFFIXES), fits), limit)
+        .unionByName(_packed_text(files(_glob(tuple(_READERS)), fits), limit))
+        .unionByName(_noted(files("*", known & ~fits), "(error reading ", ": file too large)"))
+        .unionByName(_noted(files("*", ~known), "(document available but not extracted: ", ")"))
     )
 
 
@@ -137,10 +141,17 @@ def _word_text(content: bytes) -> str:
 
 
 def _run_text(paragraph: ElementTree.Element) -> Iterator[str]:
-    marks = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
-    for run in paragraph.iter(f"{_WORD}r"):
-        for part in run:
-            yield part.text or "" if part.tag == f"{_WORD}t" else marks.get(part.tag, "")
+    """Text of the runs in a paragraph and in its links; page and column breaks give nothing."""
+    marks = {f"{_WORD}tab": "\t", f"{_WORD}ptab": "\t", f"{_WORD}cr": "\n", f"{_WORD}noBreakHyphen": "-"}
+    for child in paragraph:
+        for run in child if child.tag == f"{_WORD}hyperlink" else (child,):
+            for part in run if run.tag == f"{_WORD}r" else ():
+                if part.tag == f"{_WORD}t":
+                    yield part.text or ""
+                elif part.tag == f"{_WORD}br":
+                    yield "\n" if part.get(f"{_WORD}type", "textWrapping") == "textWrapping" else ""
+                else:
+                    yield marks.get(part.tag, "")
 
 
 def _sheet_text(content: bytes) -> str:
