@@ -99,7 +99,9 @@ def build_rubric_set(
     files = documents.read_document_files(spark, root, document_chars, tasks=picked)
     prompted = rubric.with_prompt(chosen, files, prompt_chars=prompt_chars)
     if generate is not None:
-        attempts = rubric.made_attempts(prompted, generate)
+        # Written once: generating again after a lost executor could give other texts.
+        rubric.made_attempts(prompted, generate).write.mode("overwrite").parquet(f"{out}/attempts")
+        attempts = spark.read.parquet(f"{out}/attempts")
     ready = rubric.with_scores(rubric.with_attempts(prompted, attempts), scores)
     labelled = ready.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
     datasets.write_records(rubric.rubric_records(labelled, template=template), f"{out}/records")

@@ -82,11 +82,6 @@ def made_attempts(tasks: DataFrame, generate: Generate) -> DataFrame:
     return made.withColumn("attempt", strip(F.col("attempt")))
 
 
-def parsed_scores(judged: DataFrame, text: str = "scores_json") -> DataFrame:
-    """``task_id, scores`` from a judge's JSON texts."""
-    return judged.select("task_id", F.from_json(text, rf.SCORES_TYPE, {"mode": "FAILFAST"}).alias("scores"))
-
-
 def with_scores(tasks: DataFrame, scores: DataFrame | None) -> DataFrame:
     """Tasks with their ``scores`` struct, null where unscored, and the ``feedback`` made from it."""
     if scores is None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeflow.operators import logs as ops
 from gradeflow.plans import Query, table
 from gradeflow.session import fresh_path
+from gradeflow.sources.logs import read_log_lines
 from gradeflow.streaming import runs as live
 
 LINES_PER_RUN_RANGE = 1000
@@ -163,6 +164,27 @@ QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) <= 8
 """
 
 
+def log_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines written as ordered text files and read back with their place in the file.
+
+    Shows each line with whether it follows its predecessor, which only the first of a file does not.
+    """
+    path = fresh_path(spark, "log-files")
+    numbered = F.concat(_text("line_no"), F.lit("|"), "line")
+    lines = _lines(spark, folder).repartitionByRange("line_no").sortWithinPartitions("line_no")
+    lines.select(numbered.alias("value")).write.text(path)
+    back = read_log_lines(spark, path)
+    event = F.split("line", r"\|", 2)[0].cast("bigint")
+    ranges = back.groupBy("run_id").agg((F.max(event) - F.min(event) + 1).alias("span"), F.count("*").alias("rows"),
+                                        (F.max("line_no") + 1).alias("numbered"), F.min_by(event, "line_no").alias("first"),
+                                        F.min(event).alias("least"))
+    whole = (F.col("rows") == F.col("numbered")) & (F.col("first") == F.col("least")) & (F.col("span") == F.col("rows"))
+    return back.join(ranges.select("run_id", whole.alias("in_order")), "run_id").select("line", "in_order")
+
+
+LOG_FILES_SQL = f"SELECT line_no || '|' || line AS line, true AS in_order FROM ({LINES_SQL})"
+
+
 def _line_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
@@ -202,6 +224,7 @@ QUERIES: dict[str, Query] = {
     "log_status": log_status,
     "log_app_id": log_app_id,
     "log_tail": log_tail,
+    "log_files": log_files,
     "stream_step_metrics": stream_step_metrics,
     "stream_run_state": stream_run_state,
     "stream_log_tail": stream_log_tail,
@@ -212,6 +235,7 @@ ORACLES: dict[str, str] = {
     "log_status": STATUS_SQL,
     "log_app_id": APP_ID_SQL,
     "log_tail": TAIL_SQL,
+    "log_files": LOG_FILES_SQL,
     "stream_step_metrics": STEP_METRICS_SQL,
     "stream_run_state": STATE_SQL,
     "stream_log_tail": TAIL_SQL,

@@ -11,6 +11,7 @@ from gradeflow.operators import registry, traces
 from gradeflow.plans import Query, table
 from gradeflow.plans.logs import STEP_METRICS_SQL, _lines
 from gradeflow.session import fresh_path
+from gradeflow.sources import runs
 from gradeflow.streaming import runs as live
 
 STATUS_BY_EVENT = {
@@ -85,6 +86,47 @@ FROM r LEFT JOIN t ON r.run_id = t.run_id
 """
 
 
+def _stores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a run store holding one run."""
+    event = F.col("event_id").cast("string")
+    number = (F.col("event_id") % 10).cast("string")
+    body = F.concat(
+        F.lit('{"runs": [{"id": "run-'), event, F.lit('", "status": "'), _status(),
+        F.lit('", "config": {"model": "m", "steps": '), number, F.lit('}, "metrics": [{"step": '), number,
+        F.lit(', "reward": 0.5}, {"step": 10}], "logs": ["line '), event, F.lit('", "'), F.col("event_type"), F.lit('"]}]}'),
+    )
+    return runs.parse_run_stores(table(spark, folder, "events").select(body.alias("value")))
+
+
+def run_store_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    stored = _stores(spark, folder)
+    configured = stored.select(F.col("id").alias("run_id"), "status", F.col("config.steps").alias("configured"))
+    return runs.run_metrics(stored).join(configured, "run_id").drop("distillation_loss", "teacher_kl")
+
+
+STORE_METRICS_SQL = f"""
+SELECT 'run-' || event_id AS run_id, {STATUS_SQL} AS status, event_id % 10 AS configured, event_id % 10 AS step,
+  0.5::DOUBLE AS reward FROM events
+UNION ALL SELECT 'run-' || event_id, {STATUS_SQL}, event_id % 10, CAST(10 AS BIGINT), NULL FROM events
+"""
+
+
+def run_store_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored log lines with one more line appended to each run."""
+    prior = runs.run_logs(_stores(spark, folder))
+    submitted = prior.select("run_id").distinct().select(
+        "run_id", F.lit(2).alias("line_no"), F.lit("Submitted").alias("line")
+    )
+    return registry.append_log(prior, submitted)
+
+
+STORE_LOGS_SQL = """
+SELECT 'run-' || event_id AS run_id, n AS line_no, CASE n WHEN 0 THEN 'line ' || event_id WHEN 1 THEN event_type
+  ELSE 'Submitted' END AS line
+FROM events, (VALUES (0), (1), (2)) AS v(n)
+"""
+
+
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:
     return as_payloads(table(spark, folder, "events"))
 
@@ -290,6 +332,8 @@ QUERIES: dict[str, Query] = {
     "run_latest": run_latest,
     "run_list": run_list,
     "run_summary": run_summary,
+    "run_store_metrics": run_store_metrics,
+    "run_store_logs": run_store_logs,
     "ingest_versions": ingest_versions,
     "ingest_refused": ingest_refused,
     "stream_ingest": stream_ingest,
@@ -306,6 +350,8 @@ ORACLES: dict[str, str] = {
     "run_list": f"""SELECT id, name, status, created_at, updated_at FROM ({RUN_LATEST_SQL})
         JOIN (SELECT user_id AS id, min(ts) AS created_at FROM events GROUP BY 1) USING (id)""",
     "run_summary": RUN_SUMMARY_SQL,
+    "run_store_metrics": STORE_METRICS_SQL,
+    "run_store_logs": STORE_LOGS_SQL,
     "ingest_versions": INGEST_SQL,
     "ingest_refused": REFUSED_SQL,
     "stream_ingest": INGEST_SQL,

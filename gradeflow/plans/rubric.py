@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.functions import rubric as rf
-from gradeflow.functions.text import trim_text
 from gradeflow.operators import rubric, splits
 from gradeflow.plans import Query, table
 from gradeflow.plans.conversations import FIELDS_SQL, fields, hash_split
 from gradeflow.plans.scoring import SQL_SPACES, line_criteria, trim_sql
 from gradeflow.sources.documents import extract_documents
-from gradeflow.sources.tasks import shape_tasks
+from gradeflow.sources.tasks import parse_scores, parse_tasks
 
 STAMP = "2024-01-02 03:04:05"
 STAMP_TEXT = "20240102T030405Z"
@@ -31,7 +30,6 @@ def _raw_tasks(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     return table(spark, folder, "documents").select(
-        "doc_id",
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("task_id"),
         F.substring("text", 1, 30).alias("title"),
         F.col("source").alias("work_type"),
@@ -42,7 +40,9 @@ def _raw_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tasks(spark: SparkSession, folder: str) -> DataFrame:
-    return shape_tasks(_raw_tasks(spark, folder))
+    """The same tasks, by way of the JSON text a task file holds."""
+    body = F.struct("title", "work_type", "instructions", "deliverables", "criteria")
+    return parse_tasks(_raw_tasks(spark, folder).select("task_id", F.to_json(body).alias("value")))
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +62,8 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
         results.alias("criteria_results"),
     )
     judged = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
-    return judged.select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("task_id"), scores.alias("scores"))
+    task_id = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"))
+    return parse_scores(judged.select(task_id.alias("task_id"), F.to_json(scores).alias("value")))
 
 
 TASKS_SQL = """

@@ -18,10 +18,18 @@ RUN_TYPE = (
 )
 
 
+STORE_TYPE = f"struct<runs:array<{RUN_TYPE}>>"
+
+
 def read_run_store(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run of JSON documents ``{"runs": [...]}``."""
-    whole = spark.read.schema(f"runs array<{RUN_TYPE}>").option("multiLine", True).json(path)
-    return whole.select(F.explode("runs").alias("_run")).select("_run.*")
+    """One row per run of the JSON documents ``{"runs": [...]}`` at ``path``."""
+    return parse_run_stores(spark.read.text(path, wholetext=True))
+
+
+def parse_run_stores(documents: DataFrame, text: str = "value") -> DataFrame:
+    """One row per run of each document; a broken document fails the job."""
+    store = F.from_json(text, STORE_TYPE, {"mode": "FAILFAST"})
+    return documents.select(F.explode(store["runs"]).alias("_run")).select("_run.*")
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:

@@ -24,11 +24,15 @@ def _whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_tasks(spark: SparkSession, root: str) -> DataFrame:
     """Every ``<root>/tasks/**/task.json`` as a task row; its id is the folder below ``tasks``."""
-    raw = _whole_files(spark, f"{root.rstrip('/')}/tasks", TASK_FILE).select(
-        F.regexp_extract("file", r"/tasks/(.+)/task\.json$", 1).alias("task_id"),
-        F.from_json("value", rf.TASK_TYPE, {"mode": "FAILFAST"}).alias("t"),
-    )
-    return shape_tasks(raw.select("task_id", "t.*"))
+    files = _whole_files(spark, f"{root.rstrip('/')}/tasks", TASK_FILE)
+    task_id = F.regexp_extract("file", r"/tasks/(.+)/task\.json$", 1)
+    return parse_tasks(files.select(task_id.alias("task_id"), "value"))
+
+
+def parse_tasks(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Task rows from ``task_id`` and the JSON text of each task; a broken text fails the job."""
+    parsed = F.from_json(text, rf.TASK_TYPE, {"mode": "FAILFAST"})
+    return shape_tasks(texts.select("task_id", parsed.alias("t")).select("task_id", "t.*"))
 
 
 def shape_tasks(raw: DataFrame) -> DataFrame:
@@ -45,10 +49,14 @@ def shape_tasks(raw: DataFrame) -> DataFrame:
 
 def read_scores(spark: SparkSession, root: str) -> DataFrame:
     """``task_id, scores`` from ``<root>/scores/<task>/scores.json``."""
-    return _whole_files(spark, f"{root.rstrip('/')}/scores", SCORES_FILE).select(
-        F.regexp_extract("file", r"/scores/(.+)/scores\.json$", 1).alias("task_id"),
-        F.from_json("value", rf.SCORES_TYPE, {"mode": "FAILFAST"}).alias("scores"),
-    )
+    files = _whole_files(spark, f"{root.rstrip('/')}/scores", SCORES_FILE)
+    task_id = F.regexp_extract("file", r"/scores/(.+)/scores\.json$", 1)
+    return parse_scores(files.select(task_id.alias("task_id"), "value"))
+
+
+def parse_scores(texts: DataFrame, text: str = "value") -> DataFrame:
+    """``task_id, scores`` from ``task_id`` and a judge's JSON text; a broken text fails the job."""
+    return texts.select("task_id", F.from_json(text, rf.SCORES_TYPE, {"mode": "FAILFAST"}).alias("scores"))
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
