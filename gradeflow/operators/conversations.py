@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import conversation as conv
+from gradeflow.operators.frames import join_on
 
 # A conversation's turns become one array, and its trajectory one text cell. Up to this many turns
 # share a row; a longer conversation is given as several rows, numbered by ``segment``, that
@@ -72,7 +73,7 @@ def conversation_fields(
     if fit:
         return parts.select(key, "segment", "_f.prompt", "_f.answer", "_f.trajectory")
     trajectories = parts.select(key, "segment", "_f.trajectory")
-    return trajectories.join(_ends(shaped, key), key).select(key, "segment", "prompt", "answer", "trajectory")
+    return join_on(trajectories, _ends(shaped, key), [key]).select(key, "segment", "prompt", "answer", "trajectory")
 
 
 def _ends(shaped: DataFrame, key: str) -> DataFrame:

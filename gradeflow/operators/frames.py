@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,3 +13,10 @@ def side_by_side(*single_rows: DataFrame) -> DataFrame:
     """One-row frames with different columns as one row."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), single_rows)
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equally named keys where null equals null, so that no row is lost for a null key."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{key}" for key in keys])

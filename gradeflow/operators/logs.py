@@ -93,4 +93,4 @@ def app_ids(lines: DataFrame) -> DataFrame:
 
 def tail(lines: DataFrame, keep: int = KEPT_LINES) -> DataFrame:
     """The newest ``keep`` lines of every run."""
-    return top_per_group(lines, ["run_id"], [F.col("line_no").desc()], keep, unique=["run_id", "line_no"])
+    return top_per_group(lines, ["run_id"], [F.col("line_no").desc()], keep)

@@ -7,18 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeflow.operators.frames import join_on
 from gradeflow.session import ensure_checkpoints
 
-SALTS = 32
+SALTS = 1024
 # A limit this small is taken by TakeOrderedAndProject; a larger one by the row index.
 TOP_ROWS = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number within a partition in 33 bits
 
 
-def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "index") -> DataFrame:
-    """``by``, ``order`` and the dense 0-based position of every row in its ``by`` group.
+def row_index(
+    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "index", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``by``, ``order``, ``carry`` and the dense 0-based position of every row in its ``by`` group.
 
-    ``by`` and ``order`` together must be unique and not null. Rows are range-partitioned, so a
+    ``by`` and ``order`` together must be unique. Rows are range-partitioned, so a
     group of any size is spread over all tasks: positions inside a partition are counted locally
     and shifted by the totals of the partitions before it. The sorted keys are checkpointed because
     both the counting and the shifting must see the same partition bounds.
@@ -26,7 +29,7 @@ def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name:
     ensure_checkpoints(df.sparkSession)
     keys = [*by, *order]
     local = (
-        df.select(*keys)
+        df.select(*keys, *carry)
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_row", F.monotonically_increasing_id())
@@ -36,14 +39,14 @@ def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name:
     totals = local.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(*by, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    return local.join(shifts, [*by, "_part"]).select(
-        *keys, (F.col("_before") + F.col("_row") - F.col("_first")).alias(name)
+    return join_on(local, shifts, [*by, "_part"]).select(
+        *keys, *carry, (F.col("_before") + F.col("_row") - F.col("_first")).alias(name)
     )
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "index") -> DataFrame:
     """``df`` with its row position added; see :func:`row_index` for what the keys must satisfy."""
-    return df.join(row_index(df, order, by, name), [*by, *order])
+    return join_on(df, row_index(df, order, by, name), [*by, *order])
 
 
 def first_rows(df: DataFrame, rows: int, order: Sequence[str]) -> DataFrame:
@@ -55,11 +58,13 @@ def first_rows(df: DataFrame, rows: int, order: Sequence[str]) -> DataFrame:
     return with_row_index(df, order, name="_index").where(F.col("_index") < rows).drop("_index")
 
 
-def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, unique: Sequence[str], salts: int = SALTS
-) -> DataFrame:
-    """The first ``k`` rows of each group. A hot group is first cut down in ``salts`` separate parts."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*unique), F.lit(salts)))
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = SALTS) -> DataFrame:
+    """The first ``k`` rows of each group, in an order without ties.
+
+    Groups are first cut down in up to ``salts`` parts. A part takes whole input partitions, so each
+    of them sends at most ``k`` rows of a group, and a hot group is cut down by many tasks.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
@@ -80,23 +85,21 @@ def with_previous(
     ``chunk`` must not decrease along ``order``. Each (key, chunk) is sorted on its own, and only
     the last value of each chunk is carried over to the next one, so a hot key is many small sorts.
     """
-    chunked = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(key, "_chunk").orderBy(*order)
-    position = F.struct(*order)
+    # As a struct the key is never null, so both windows and the join share one partitioning.
+    chunked = df.withColumn("_key", F.struct(key)).withColumn("_chunk", chunk)
+    inside = Window.partitionBy("_key", "_chunk").orderBy(*order)
     carried = (
-        chunked.groupBy(key, "_chunk")
-        .agg(F.max_by(value, position).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")))
+        chunked.groupBy("_key", "_chunk")
+        .agg(F.max_by(value, F.struct(*order)).alias("_last"))
+        .withColumn("_carried", F.lag("_last").over(Window.partitionBy("_key").orderBy("_chunk")))
         .drop("_last")
     )
+    in_chunk = F.col("_in_chunk")
     return (
         chunked.withColumn("_in_chunk", F.lag(F.struct(value)).over(inside))
-        .join(carried, [key, "_chunk"])
-        .withColumn(
-            name,
-            F.when(F.col("_in_chunk").isNotNull(), F.col(f"_in_chunk.{value}")).otherwise(F.col("_carried")),
-        )
-        .drop("_chunk", "_in_chunk", "_carried")
+        .join(carried, ["_key", "_chunk"])
+        .withColumn(name, F.when(in_chunk.isNotNull(), in_chunk[value]).otherwise(F.col("_carried")))
+        .drop("_key", "_chunk", "_in_chunk", "_carried")
     )
 
 

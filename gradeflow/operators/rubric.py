@@ -38,7 +38,7 @@ def document_blocks(documents: DataFrame, prompt_chars: int = rf.PROMPT_CHARS) -
     """
     enough = prompt_chars // SHORTEST_BLOCK + 1
     order = path_order(F.col("path"))
-    kept = top_per_group(documents, ["task_id"], [order], enough, unique=["task_id", "path"])
+    kept = top_per_group(documents, ["task_id"], [order], enough)
     block = F.struct(order.alias("at"), rf.document_block(F.col("path"), F.col("text")).alias("block"))
     return kept.groupBy("task_id").agg(
         F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]).alias("blocks")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gradeflow.operators.ordering import row_index
 
-# Hash-prefix length: each stratum is ranked in 16**3 separate pieces.
+# Hash-prefix lengths: a stratum is ranked in 16**3 separate pieces, or in 16**2 where there are many strata.
 PREFIX = 3
+PREFIX_OF_MANY = 2
 # Up to this many strata the round-robin position is a closed form over their sizes.
 FEW_STRATA = 64
 
@@ -19,19 +20,20 @@ def stratum_ranks(df: DataFrame, id_col: str, stratum: str, seed: int = 17, pref
     The hash is uniform, so its leading digits cut a stratum into even, already ordered pieces.
     Each piece is ranked on its own and shifted by the sizes of the pieces before it.
     """
+    # As a struct the stratum is never null, so grouping, ranking and joining share one partitioning.
     hashed = df.select(
         F.col(id_col),
-        F.col(stratum),
+        F.struct(stratum).alias("_stratum"),
         F.md5(F.concat(F.lit(f"{seed}/"), F.col(id_col).cast("string"))).alias("_hash"),
     ).withColumn("_piece", F.substring("_hash", 1, prefix))
-    sizes = hashed.groupBy(stratum, "_piece").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(stratum).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(stratum, "_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(stratum, "_piece").orderBy("_hash", id_col)
+    sizes = hashed.groupBy("_stratum", "_piece").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("_stratum").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_stratum", "_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_stratum", "_piece").orderBy("_hash", id_col)
     return (
         hashed.withColumn("_rank", F.row_number().over(inside))
-        .join(shifts, [stratum, "_piece"])
-        .select(id_col, stratum, (F.col("_before") + F.col("_rank")).alias("rank"))
+        .join(shifts, ["_stratum", "_piece"])
+        .select(id_col, f"_stratum.{stratum}", (F.col("_before") + F.col("_rank")).alias("rank"))
     )
 
 
@@ -41,24 +43,25 @@ def round_robin(df: DataFrame, id_col: str, stratum: str, seed: int = 17) -> Dat
     With few strata the position follows from their sizes alone. With many it is the row index of
     the (rank, stratum) order. Neither sorts the table in one task.
     """
-    ranked = stratum_ranks(df, id_col, stratum, seed)
     sizes = df.groupBy(stratum).agg(F.count("*").alias("n")).orderBy(stratum).limit(FEW_STRATA + 1).collect()
-    if len(sizes) <= FEW_STRATA:
+    few = len(sizes) <= FEW_STRATA
+    ranked = stratum_ranks(df, id_col, stratum, seed, PREFIX if few else PREFIX_OF_MANY)
+    if few:
         return ranked.withColumn("position", _closed_position([(r[0], r[1]) for r in sizes], F.col(stratum)))
-    indexed = row_index(ranked, ["rank", stratum], name="_index")
-    return ranked.join(indexed, ["rank", stratum]).select(
-        id_col, stratum, "rank", (F.col("_index") + 1).alias("position")
-    )
+    indexed = row_index(ranked, ["rank", stratum], name="_index", carry=[id_col])
+    return indexed.select(id_col, stratum, "rank", (F.col("_index") + 1).alias("position"))
 
 
 def _closed_position(sizes: list[tuple[object, int]], stratum: Column) -> Column:
     """Rows dealt in earlier rounds plus strata at or before this one still dealt in this round."""
     rank = F.col("rank")
+    place = F.lit(0)
+    for at, (name, _) in enumerate(sizes):
+        place = F.when(stratum.eqNullSafe(F.lit(name)), at).otherwise(place)
     position = F.lit(0).cast("bigint")
-    for name, size in sizes:
-        dealt = F.least(F.lit(size), rank - 1)
-        in_turn = (F.lit(name) <= stratum) & (F.lit(size) >= rank)
-        position = position + dealt + in_turn.cast("bigint")
+    for at, (_, size) in enumerate(sizes):
+        in_turn = (place >= at) & (F.lit(size) >= rank)
+        position = position + F.least(F.lit(size), rank - 1) + in_turn.cast("bigint")
     return position
 
 

@@ -50,7 +50,7 @@ def test_row_cap_past_the_top_k_size(skewed, monkeypatch):
 
 
 def test_top_per_group(skewed):
-    got = ordering.top_per_group(skewed, ["g"], [F.col("id").desc()], 20, unique=["id"]).collect()
+    got = ordering.top_per_group(skewed, ["g"], [F.col("id").desc()], 20).collect()
     assert {r["id"] for r in got} == {r["id"] for rows in grouped(skewed).values() for r in rows[-20:]}
 
 
@@ -90,6 +90,17 @@ def test_round_robin_with_few_and_many_strata(skewed, monkeypatch, few):
     assert got == dealt(skewed.collect(), 3)
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_rows_without_a_group_are_kept(spark, monkeypatch, few):
+    monkeypatch.setattr(splits, "FEW_STRATA", few)
+    rows = spark.createDataFrame([(i, None if i % 2 else "a", f"v{i}") for i in range(9)], "id long, g string, v string")
+    dealt_out = splits.round_robin(rows, "id", "g").orderBy("position").collect()
+    assert [r["position"] for r in dealt_out] == list(range(1, 10))
+    assert [r["g"] for r in dealt_out] == [None, "a"] * 4 + ["a"]
+    assert ordering.with_row_index(rows, ["id"], by=["g"]).count() == 9
+    assert ordering.with_previous(rows, "g", ["id"], "v", F.floor(F.col("id") / 3), "before").count() == 9
+
+
 def test_split_takes_one_of_each_stratum_first(spark):
     rows = spark.createDataFrame([(f"{g}{i}", g) for g, n in (("a", 5), ("b", 1), ("c", 3)) for i in range(n)], "id string, g string")
     split = splits.stratified_split(rows, "id", "g", train=4, preview=2).collect()
