@@ -210,18 +210,15 @@ def custom_reward(spark: SparkSession, folder: str) -> DataFrame:
     return score(_scorable(spark, folder), by_length).select("conv_id", "score", "same_start")
 
 
-def starts_alike(data_source: str, solution_str: str, ground_truth: str, extra_info: dict) -> dict:
-    return {"score": 1.0 if solution_str.startswith(ground_truth) else 0.0, "hinted": bool(extra_info["feedback_raw"])}
-
-
 def python_reward(spark: SparkSession, folder: str) -> DataFrame:
     """A user's Python reward, called in Arrow batches."""
-    fn = reward.python_reward(starts_alike, "score double, hinted boolean")
-    return score(_scorable(spark, folder), fn).select("conv_id", "score", "hinted")
 
+    def starts_alike(data_source: str, solution_str: str, ground_truth: str, extra_info: dict) -> dict:
+        same = solution_str.startswith(ground_truth)
+        return {"score": 1.0 if same else 0.0, "hinted": bool(extra_info["feedback_raw"])}
 
-CRITERIA_SQL = """list_transform(string_split(text, chr(10)), lambda l, i:
-  {'id': 'C' || i, 'title': substr(l, 1, 40), 'match_criteria': l})"""
+    fn = reward.python_reward(starts_alike, "score double, hinted boolean")
+    return score(_scorable(spark, folder), fn).select("conv_id", "score", "hinted")
 
 
 def line_criteria(body: Column) -> Column:

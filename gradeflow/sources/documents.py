@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from email import policy
+from email.headerregistry import HeaderRegistry
 from email.parser import BytesParser
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from gradeflow.functions.text import trim_text
 
 # Formats, and how much of a workbook is read.
 PLAIN_SUFFIXES = ("txt", "md", "json", "csv")
+PACKED_SUFFIXES = ("eml", "docx", "xlsx")
 SHEETS, SHEET_ROWS, SHEET_COLUMNS = 4, 40, 12
 # A file is one binary cell; Spark's largest is 2 GiB, and larger files are named, not read.
 MAX_FILE_BYTES = 2_000_000_000
@@ -34,8 +39,8 @@ def extract_documents(files: DataFrame, limit: int) -> DataFrame:
     """``path, content`` and any other columns to the same columns with ``text`` for ``content``."""
     suffix = suffix_of(F.col("path"))
     plain = files.where(suffix.isin(*PLAIN_SUFFIXES))
-    packed = files.where(suffix.isin(*_READERS))
-    other = files.where(~suffix.isin(*PLAIN_SUFFIXES, *_READERS))
+    packed = files.where(suffix.isin(*PACKED_SUFFIXES))
+    other = files.where(~suffix.isin(*PLAIN_SUFFIXES, *PACKED_SUFFIXES))
     return _plain_text(plain, limit).unionByName(_packed_text(packed, limit)).unionByName(
         _noted(other, "(document available but not extracted: ", ")")
     )
@@ -72,7 +77,7 @@ def read_document_files(spark: SparkSession, root: str, limit: int, tasks: DataF
     ``tasks`` only the documents of those ``task_id`` are extracted.
     """
     suffix = suffix_of(F.col("path"))
-    known = suffix.isin(*PLAIN_SUFFIXES, *_READERS)
+    known = suffix.isin(*PLAIN_SUFFIXES, *PACKED_SUFFIXES)
     fits = F.col("length") <= MAX_FILE_BYTES
 
     def files(pattern: str, condition: Column) -> DataFrame:
@@ -81,7 +86,7 @@ def read_document_files(spark: SparkSession, root: str, limit: int, tasks: DataF
 
     return (
         _plain_text(files(_glob(PLAIN_SUFFIXES), fits), limit)
-        .unionByName(_packed_text(files(_glob(tuple(_READERS)), fits), limit))
+        .unionByName(_packed_text(files(_glob(PACKED_SUFFIXES), fits), limit))
         .unionByName(_noted(files("*", known & ~fits), "(error reading ", ": file too large)"))
         .unionByName(_noted(files("*", ~known), "(document available but not extracted: ", ")"))
     )
@@ -110,26 +115,34 @@ def list_document_files(spark: SparkSession, root: str, pattern: str = "*") -> D
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    readers = {"eml": _mail_reader(), "docx": _word_text, "xlsx": _sheet_text}
     for batch in batches:
-        results = [_read_one(path, content) for path, content in zip(batch["path"], batch["content"], strict=True)]
+        pairs = zip(batch["path"], batch["content"], strict=True)
+        results = [_read_one(readers, path, content) for path, content in pairs]
         out = batch.drop(columns="content")
         out["raw"] = [text for text, _ in results]
         out["failed"] = [failed for _, failed in results]
         yield out
 
 
-def _read_one(path: str, content: bytes) -> tuple[str, bool]:
+def _read_one(readers: dict[str, Callable[[bytes], str]], path: str, content: bytes) -> tuple[str, bool]:
     name = path.rsplit("/", 1)[-1]
     try:
-        return _READERS[name.rsplit(".", 1)[-1].lower()](content), False
+        return readers[name.rsplit(".", 1)[-1].lower()](content), False
     except Exception as problem:  # one bad file must not fail the task
         return f"(error reading {name}: {problem})", True
 
 
-def _mail_text(content: bytes) -> str:
-    message = BytesParser(policy=policy.default).parsebytes(content)
-    body = message.get_body(preferencelist=("plain", "html"))
-    return body.get_content() if body else content.decode("utf-8", errors="replace")
+def _mail_reader() -> Callable[[bytes], str]:
+    """A reader of mail bodies. It keeps parsed headers, since the same few recur and parsing them is most of the work."""
+    kept = policy.default.clone(header_factory=lru_cache(maxsize=512)(HeaderRegistry()))
+
+    def read(content: bytes) -> str:
+        message = BytesParser(policy=kept).parsebytes(content)
+        body = message.get_body(preferencelist=("plain", "html"))
+        return body.get_content() if body else content.decode("utf-8", errors="replace")
+
+    return read
 
 
 def _word_text(content: bytes) -> str:
@@ -208,4 +221,5 @@ def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
     return {"1": "True", "0": "False"}.get(value, value) if kind == "b" else value
 
 
-_READERS = {"eml": _mail_text, "docx": _word_text, "xlsx": _sheet_text}
+# Workers get this module's functions with the job, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
