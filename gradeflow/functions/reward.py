@@ -132,7 +132,8 @@ def python_reward(fn: Callable[..., dict], schema: T.StructType | str) -> Reward
 
     @F.pandas_udf(schema)
     def scored(source: pd.Series, solution: pd.Series, truth: pd.Series, info: pd.DataFrame) -> pd.DataFrame:
-        rows = zip(source, solution, truth, info.to_dict("records"), strict=True)
+        extras = [{k: v.tolist() if hasattr(v, "tolist") else v for k, v in row.items()} for row in info.to_dict("records")]
+        rows = zip(source, solution, truth, extras, strict=True)
         return pd.DataFrame([fn(s, text, wanted, extra) for s, text, wanted, extra in rows])
 
     return scored

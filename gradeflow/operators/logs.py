@@ -20,8 +20,9 @@ def _where(value: Column | str, condition: Column) -> Column:
 def step_metrics(lines: DataFrame, wide_numbers: bool = False) -> DataFrame:
     """``run_id, step`` and the last value each metric was given at that step.
 
-    Works on a batch and on a stream. A plain text search spares most lines the patterns. All aggregate buffers are numbers, so rows are combined
-    before the shuffle by hash and a hot run sends one small row per step and task.
+    Works on a batch and on a stream. A plain text search spares most lines the patterns. All
+    aggregate buffers are numbers, so rows are combined by hash before the shuffle, and a hot run
+    sends one small row per step and task.
     """
     likely = lines.where(F.col("line").contains(lf.STEP_WORD))
     parsed = likely.select("run_id", "line_no", "line", lf.step_of(F.col("line")).alias("step")).where(

@@ -38,18 +38,19 @@ def as_lines(events: DataFrame) -> DataFrame:
         F.lit("step:"), step, loss, F.lit(" - critic/rewards/mean:"), _fraction(event * 7 % 1000),
         F.lit(" - kl_loss: "), _fraction(event * 3 % 1000), F.lit(" - training/global_step:"), step,
     )
+    killed, saved = (kind == "error") & (event % 5 == 0), (kind == "view") & (event % 7 == 0)
     line = (
         F.when(kind == "purchase", metric)
-        .when((kind == "error") & (event % 5 == 0), F.concat(F.lit("  RuntimeError: worker "), _text(event), F.lit(" killed")))
+        .when(killed, F.concat(F.lit("  RuntimeError: worker "), _text(event), F.lit(" killed")))
         .when(kind == "error", F.concat(F.lit("retry reward=0.5 at timestep: "), step))
         .when(kind == "signup", F.concat(F.lit("Found checkpoint: /ckpt/run/global_step_"), step))
-        .when((kind == "view") & (event % 7 == 0), F.concat(F.lit("Saving checkpoint to /ckpt/run/global_step_"), step, F.lit(" ")))
+        .when(saved, F.concat(F.lit("Saving checkpoint to /ckpt/run/global_step_"), step, F.lit(" ")))
         .when(kind == "view", F.concat(F.lit("loading shard "), _text(event)))
         .when(event % 3 == 0, F.concat(F.lit("Total training steps: "), step))
         .otherwise(F.concat(F.lit("submitted ap-X"), _text(event), F.lit(" to the cluster")))
     )
     run = F.concat(F.lit("run-"), _text("user_id"), F.lit("-"), _text(F.floor(event / LINES_PER_RUN_RANGE)))
-    ended = F.when((kind == "view") & (event % 7 == 0), F.lit(0)).when((kind == "error") & (event % 5 == 0), F.lit(1))
+    ended = F.when(saved, F.lit(0)).when(killed, F.lit(1))
     return events.select(
         run.alias("run_id"), event.alias("line_no"), "ts", line.alias("line"), ended.alias("exit_code")
     )
@@ -66,7 +67,8 @@ SELECT 'run-' || user_id || '-' || (event_id // 1000) AS run_id, event_id AS lin
     WHEN event_type = 'error' AND event_id % 5 = 0 THEN '  RuntimeError: worker ' || event_id || ' killed'
     WHEN event_type = 'error' THEN 'retry reward=0.5 at timestep: ' || (event_id % 10)
     WHEN event_type = 'signup' THEN 'Found checkpoint: /ckpt/run/global_step_' || (event_id % 10)
-    WHEN event_type = 'view' AND event_id % 7 = 0 THEN 'Saving checkpoint to /ckpt/run/global_step_' || (event_id % 10) || ' '
+    WHEN event_type = 'view' AND event_id % 7 = 0
+      THEN 'Saving checkpoint to /ckpt/run/global_step_' || (event_id % 10) || ' '
     WHEN event_type = 'view' THEN 'loading shard ' || event_id
     WHEN event_id % 3 = 0 THEN 'Total training steps: ' || (event_id % 10)
     ELSE 'submitted ap-X' || event_id || ' to the cluster' END AS line,
@@ -91,9 +93,11 @@ def _metric_sql(pattern: str) -> str:
 
 STEP_METRICS_SQL = rf"""
 SELECT run_id, step, arg_max(loss, line_no) FILTER (loss IS NOT NULL) AS distillation_loss,
-       arg_max(gain, line_no) FILTER (gain IS NOT NULL) AS reward, arg_max(kl, line_no) FILTER (kl IS NOT NULL) AS teacher_kl
+       arg_max(gain, line_no) FILTER (gain IS NOT NULL) AS reward,
+       arg_max(kl, line_no) FILTER (kl IS NOT NULL) AS teacher_kl
 FROM (SELECT run_id, line_no,
-        TRY_CAST(nullif(regexp_extract(line, '(?:training/global_step|global_step|step)\s*[:=]\s*([0-9]+)', 1), '') AS BIGINT) AS step,
+        TRY_CAST(nullif(regexp_extract(line, '(?:training/global_step|global_step|step)\s*[:=]\s*([0-9]+)', 1), '')
+          AS BIGINT) AS step,
         {_metric_sql("distillation/loss|distillation_loss")} AS loss,
         {_metric_sql("critic/rewards/mean|train/critic/rewards/mean|reward")} AS gain,
         {_metric_sql("teacher_kl|kl_loss|kl")} AS kl
@@ -165,19 +169,20 @@ QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) <= 8
 
 
 def log_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines written as ordered text files and read back with their place in the file.
-
-    Shows each line with whether it follows its predecessor, which only the first of a file does not.
-    """
+    """All lines written as text files in order and read back, each with whether its file came back in order."""
     path = fresh_path(spark, "log-files")
     numbered = F.concat(_text("line_no"), F.lit("|"), "line")
     lines = _lines(spark, folder).repartitionByRange("line_no").sortWithinPartitions("line_no")
     lines.select(numbered.alias("value")).write.text(path)
     back = read_log_lines(spark, path)
     event = F.split("line", r"\|", 2)[0].cast("bigint")
-    ranges = back.groupBy("run_id").agg((F.max(event) - F.min(event) + 1).alias("span"), F.count("*").alias("rows"),
-                                        (F.max("line_no") + 1).alias("numbered"), F.min_by(event, "line_no").alias("first"),
-                                        F.min(event).alias("least"))
+    ranges = back.groupBy("run_id").agg(
+        (F.max(event) - F.min(event) + 1).alias("span"),
+        F.count("*").alias("rows"),
+        (F.max("line_no") + 1).alias("numbered"),
+        F.min_by(event, "line_no").alias("first"),
+        F.min(event).alias("least"),
+    )
     whole = (F.col("rows") == F.col("numbered")) & (F.col("first") == F.col("least")) & (F.col("span") == F.col("rows"))
     return back.join(ranges.select("run_id", whole.alias("in_order")), "run_id").select("line", "in_order")
 

@@ -93,7 +93,8 @@ def _stores(spark: SparkSession, folder: str) -> DataFrame:
     body = F.concat(
         F.lit('{"runs": [{"id": "run-'), event, F.lit('", "status": "'), _status(),
         F.lit('", "config": {"model": "m", "steps": '), number, F.lit('}, "metrics": [{"step": '), number,
-        F.lit(', "reward": 0.5}, {"step": 10}], "logs": ["line '), event, F.lit('", "'), F.col("event_type"), F.lit('"]}]}'),
+        F.lit(', "reward": 0.5}, {"step": 10}], "logs": ["line '), event, F.lit('", "'), F.col("event_type"),
+        F.lit('"]}]}'),
     )
     return runs.parse_run_stores(table(spark, folder, "events").select(body.alias("value")))
 
@@ -136,9 +137,17 @@ def as_payloads(events: DataFrame) -> DataFrame:
     kind, event = F.col("event_type"), F.col("event_id")
     number = event.cast("string")
     step, cents = (event % 10).cast("string"), F.floor(F.col("value") * 100).cast("string")
+    measured = F.concat(
+        F.lit('{"metrics": [{"step": '), step, F.lit(', "reward": '), cents,
+        F.lit('}, {"step": 99}], "status": "running"}'),
+    )
+    told = F.concat(
+        F.lit('{"logs": ["line '), number, F.lit('", "done"], "traces": [{"id": "t'), number,
+        F.lit('", "kl": 0.5}]}'),
+    )
     body = (
-        F.when(kind == "purchase", F.concat(F.lit('{"metrics": [{"step": '), step, F.lit(', "reward": '), cents, F.lit('}, {"step": 99}], "status": "running"}')))
-        .when(kind == "view", F.concat(F.lit('{"logs": ["line '), number, F.lit('", "done"], "traces": [{"id": "t'), number, F.lit('", "kl": 0.5}]}')))
+        F.when(kind == "purchase", measured)
+        .when(kind == "view", told)
         .when(kind == "click", F.lit('{"status": "completed"}'))
         .when((kind == "error") & (event % 2 == 0), F.lit('{"metrics": {"step": 1}, "status": "failed"}'))
         .when(kind == "error", F.lit('{"logs": null}'))
@@ -237,7 +246,8 @@ FROM (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS pre
 def _configs(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as run configurations, good and bad."""
     priority = F.substring("o_orderpriority", 1, 1)
-    names = F.create_map(*[F.lit(x) for x in ("1", "sdpo", "2", "opd", "3", "harvey-sdpo", "4", "kimi-sdpo", "5", "ppo")])
+    by_priority = ("1", "sdpo", "2", "opd", "3", "harvey-sdpo", "4", "kimi-sdpo", "5", "ppo")
+    names = F.create_map(*[F.lit(x) for x in by_priority])
     model = (
         F.when(F.col("o_orderstatus") == "F", " ")
         .when(F.col("o_custkey") % 5 == 0, "acme/unknown")

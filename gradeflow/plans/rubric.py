@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.functions import rubric as rf
 from gradeflow.operators import rubric, splits
 from gradeflow.plans import Query, table
 from gradeflow.plans.conversations import FIELDS_SQL, fields, hash_split
-from gradeflow.plans.scoring import SQL_SPACES, line_criteria, trim_sql
+from gradeflow.plans.scoring import line_criteria, trim_sql
 from gradeflow.sources.documents import extract_documents
 from gradeflow.sources.tasks import parse_scores, parse_tasks
 
@@ -19,7 +19,8 @@ STAMP_TEXT = "20240102T030405Z"
 
 def _raw_tasks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a task whose criteria are its lines."""
-    named = F.when(F.col("n_chars") % 3 == 0, F.create_map(F.lit("b"), F.concat("lang", F.lit(".md")), F.lit("a"), F.lit("z.md")))
+    two_files = F.create_map(F.lit("b"), F.concat("lang", F.lit(".md")), F.lit("a"), F.lit("z.md"))
+    named = F.when(F.col("n_chars") % 3 == 0, two_files)
     criteria = F.transform(
         line_criteria(F.col("text")),
         lambda c, i: F.struct(
@@ -92,7 +93,8 @@ def feedback_text(spark: SparkSession, folder: str) -> DataFrame:
 JUDGED_SQL = f"""
 SELECT t.*, l.quality, l.toxic, l.doc_id IS NOT NULL AS judged,
   CASE WHEN l.doc_id IS NULL THEN
-    array_to_string(list_transform(criteria[1:12], lambda c: '- ' || c.id || ' ' || c.title || ': ' || c.match_criteria), chr(10))
+    array_to_string(list_transform(criteria[1:12], lambda c:
+      '- ' || c.id || ' ' || c.title || ': ' || c.match_criteria), chr(10))
   ELSE CASE WHEN toxic = 1 THEN 'Judged toxic' ELSE 'Harvey LAB rubric feedback' END || chr(10)
     || CASE WHEN quality = 1 THEN '- PASS' ELSE '- FAIL' END || ' C1: first' || chr(10) || '  Judge reasoning: seen'
     || CASE WHEN quality = 0 AND criteria[1].match_criteria <> ''
@@ -104,9 +106,9 @@ SELECT t.*, l.quality, l.toxic, l.doc_id IS NOT NULL AS judged,
 FROM ({TASKS_SQL}) t LEFT JOIN labels l ON t.doc_id = l.doc_id
 """
 SCORES_JSON_SQL = """CASE WHEN judged THEN '{"all_pass":' || (toxic = 0) || ',"criteria_results":['
-  || '{"id":"C1","reasoning":"seen","title":"first","verdict":"' || CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END || '"},'
-  || '{"id":"C2","reasoning":"not seen","title":"second"},{"id":"X","reasoning":"odd","title":"third","verdict":"Fail"}],"score":'
-  || CASE WHEN quality = 1 THEN '0.5' ELSE '0.0' END || CASE WHEN toxic = 1 THEN ',"summary":"Judged toxic"}' ELSE '}' END
+  || '{"id":"C1","reasoning":"seen","title":"first","verdict":"'
+  || CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END || '"},{"id":"C2","reasoning":"not seen","title":"second"},'
+  || '{"id":"X","reasoning":"odd","title":"third","verdict":"Fail"}],"score":' || CASE WHEN quality = 1 THEN '0.5' ELSE '0.0' END || CASE WHEN toxic = 1 THEN ',"summary":"Judged toxic"}' ELSE '}' END
   ELSE '{}' END"""
 FEEDBACK_SQL = f"SELECT task_id, {trim_sql('told', 3200)} AS feedback, {SCORES_JSON_SQL} AS scores_json FROM ({JUDGED_SQL})"
 
@@ -133,7 +135,8 @@ FROM ({TASKS_SQL})
 
 def _source_tasks(spark: SparkSession, folder: str) -> DataFrame:
     """Each source of the documents as one task."""
-    sources = table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("lang").alias("lang"))
+    counted = (F.count("*").alias("n"), F.min("lang").alias("lang"))
+    sources = table(spark, folder, "documents").groupBy("source").agg(*counted)
     return sources.select(
         F.col("source").alias("task_id"),
         F.concat(F.lit("Review of "), "source").alias("title"),
@@ -149,7 +152,8 @@ def _source_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _source_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    path = F.concat("lang", F.when(F.col("doc_id") % 2 == 0, "/").otherwise("-a/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    folder_end = F.when(F.col("doc_id") % 2 == 0, "/").otherwise("-a/")
+    path = F.concat("lang", folder_end, F.col("doc_id").cast("string"), F.lit(".md"))
     return rubric.trimmed_documents(docs.select(F.col("source").alias("task_id"), path.alias("path"), "text"))
 
 
@@ -212,22 +216,26 @@ def rubric_records(spark: SparkSession, folder: str) -> DataFrame:
 RUBRIC_RECORDS_SQL = rf"""
 WITH t AS (SELECT 'talk/' || conv_id AS task_id, prompt, answer, substr(prompt, 1, 20) AS title,
     CASE WHEN substr(md5(CAST(conv_id AS VARCHAR)), 1, 1) < 'c' THEN 'train' ELSE 'test' END AS split,
-    list_transform(string_split(prompt, chr(10)), lambda l, i: {{'id': 'C' || i, 'title': substr(l, 1, 40), 'match_criteria': l}}) AS criteria
+    list_transform(string_split(prompt, chr(10)), lambda l, i:
+      {{'id': 'C' || i, 'title': substr(l, 1, 40), 'match_criteria': l}}) AS criteria
   FROM ({FIELDS_SQL})),
 a AS (SELECT *, CASE WHEN answer <> '' THEN answer ELSE {FALLBACK_SQL} END AS attempt,
-    array_to_string(list_transform(criteria[1:12], lambda c: '- ' || c.id || ' ' || c.title || ': ' || c.match_criteria), chr(10)) AS told,
-    regexp_replace(array_to_string(list_transform(criteria, lambda c: c.title || ' ' || c.match_criteria), ' '), '[^\x00-\x7F]', '_', 'g') AS raw FROM t),
+    array_to_string(list_transform(criteria[1:12], lambda c:
+      '- ' || c.id || ' ' || c.title || ': ' || c.match_criteria), chr(10)) AS told,
+    regexp_replace(array_to_string(list_transform(criteria, lambda c: c.title || ' ' || c.match_criteria), ' '),
+      '[^\x00-\x7F]', '_', 'g') AS raw FROM t),
 f AS (SELECT *, {trim_sql("told", 3200)} AS feedback FROM a)
 SELECT 'harvey/lab' AS data_source, 'legal_agent' AS ability, 'harvey_lab_rubric' AS ground_truth,
-  CASE WHEN split = 'train' THEN prompt || chr(10) || chr(10) || 'Previous attempt:' || chr(10) || attempt || chr(10) || chr(10)
-    || 'Harvey LAB rubric feedback:' || chr(10) || feedback || chr(10) || chr(10)
+  CASE WHEN split = 'train' THEN prompt || chr(10) || chr(10) || 'Previous attempt:' || chr(10) || attempt
+    || chr(10) || chr(10) || 'Harvey LAB rubric feedback:' || chr(10) || feedback || chr(10) || chr(10)
     || 'Use the feedback to produce a corrected legal work product. Preserve the requested deliverable structure.'
     ELSE prompt END AS prompt_content,
   split, task_id, 'talk' AS practice_area, 'chat' AS work_type, prompt AS original_prompt, 'harvey_lab_rubric' AS answer,
   CASE WHEN split = 'train' THEN feedback ELSE '' END AS feedback_raw,
   CASE WHEN split = 'train' THEN attempt ELSE '' END AS previous_attempt, '{{}}' AS harvey_scores_json, true AS sdpo_bridge,
   CAST(least(48, len(list_distinct(list_filter(list_transform(
-      regexp_extract_all(raw, '["''`]([^"''`]{{3,80}})["''`]', 1) || regexp_extract_all(raw, '\b[0-9]+(?:\.[0-9]+)?%?x?\b')
+      regexp_extract_all(raw, '["''`]([^"''`]{{3,80}})["''`]', 1)
+      || regexp_extract_all(raw, '\b[0-9]+(?:\.[0-9]+)?%?x?\b')
       || regexp_extract_all(raw, '\b[A-Z][A-Za-z0-9&/-]*(?:\s+[A-Z][A-Za-z0-9&/-]*){{0,5}}\b'),
       lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))),
     lambda t: length(t) >= 3 AND lower(t) NOT IN ('pass', 'fail', 'agent', 'issue'))))) AS INTEGER) AS n_terms
@@ -277,9 +285,9 @@ def document_extract(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and pages as files of four kinds: mail, web mail, plain and unknown."""
     docs = table(spark, folder, "documents")
     number = F.col("doc_id").cast("string")
+    kind = F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".pdf")
     plain = docs.select(
-        F.concat(F.lit("notes/"), number, F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".pdf")).alias("path"),
-        F.encode("text", "utf-8").alias("content"),
+        F.concat(F.lit("notes/"), number, kind).alias("path"), F.encode("text", "utf-8").alias("content")
     )
     head = F.lit("Subject: note\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
     mail = docs.select(
@@ -295,8 +303,8 @@ def document_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 DOCUMENTS_SQL = f"""
 SELECT 'notes/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.txt' ELSE '.pdf' END AS path,
-  CASE WHEN doc_id % 3 = 2 THEN '(document available but not extracted: ' || doc_id || '.pdf)' ELSE {trim_sql("text", 1200)} END
-    AS text FROM documents
+  CASE WHEN doc_id % 3 = 2 THEN '(document available but not extracted: ' || doc_id || '.pdf)'
+    ELSE {trim_sql("text", 1200)} END AS text FROM documents
 UNION ALL SELECT 'mail/' || doc_id || '.eml', {trim_sql("text", 1200)} FROM documents
 UNION ALL SELECT 'web/' || page_id || '.eml', {trim_sql("body", 1200)}
   FROM (SELECT page_id, regexp_replace(html, '\\r\\n?', chr(10), 'g') AS body FROM pages)

@@ -30,30 +30,29 @@ def read_newest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return newest_rows(spark.read.parquet(path), keys, BATCH).drop(BATCH)
 
 
-def _start(df: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return (
-        df.writeStream.outputMode(mode)
-        .foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def _start(
+    df: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None
+) -> StreamingQuery:
+    """Start the stream: every so often (``"10 seconds"``), or once over what is there and then stop."""
+    writer = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+    timed = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return timed.start()
 
 
-def step_metrics(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def step_metrics(lines: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Metrics per run and step while runs go on. The state is one row of numbers per run and step.
 
     A line seen twice changes nothing, so no duplicate filter (and no state for one) is needed.
     """
-    return _start(log_ops.step_metrics(lines), "update", write_version(out), checkpoint)
+    return _start(log_ops.step_metrics(lines), "update", write_version(out), checkpoint, every)
 
 
-def run_state(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def run_state(lines: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """State and app id per run from ``run_id, line_no, ts, line, exit_code``.
 
     A run is running until a record carries its exit code: 0 is completed, anything else failed.
     """
-    return _start(state_of(lines), "update", write_version(out), checkpoint)
+    return _start(state_of(lines), "update", write_version(out), checkpoint, every)
 
 
 def state_of(lines: DataFrame) -> DataFrame:
@@ -70,14 +69,16 @@ def state_of(lines: DataFrame) -> DataFrame:
     return states.select("run_id", status.alias("status"), "app_id", "updated_at", "last_line")
 
 
-def log_tail(lines: DataFrame, out: str, checkpoint: str, keep: int = log_ops.KEPT_LINES) -> StreamingQuery:
+def log_tail(
+    lines: DataFrame, out: str, checkpoint: str, keep: int = log_ops.KEPT_LINES, every: str | None = None
+) -> StreamingQuery:
     """The newest lines per run: every micro-batch adds its own newest ones, and reading cuts again."""
     write = write_version(out)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         write(log_ops.tail(batch, keep), batch_id)
 
-    return _start(lines, "append", sink, checkpoint)
+    return _start(lines, "append", sink, checkpoint, every)
 
 
 def read_tail(spark: SparkSession, path: str, keep: int = log_ops.KEPT_LINES) -> DataFrame:
@@ -85,18 +86,21 @@ def read_tail(spark: SparkSession, path: str, keep: int = log_ops.KEPT_LINES) ->
     return log_ops.tail(lines, keep)
 
 
-def ingest_payloads(payloads: DataFrame, out: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+def ingest_payloads(
+    payloads: DataFrame, out: str, quarantine: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Arriving payloads as versions; refused ones go to ``quarantine`` with the reason."""
     keep, refuse = write_version(out), write_version(quarantine)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        parsed = ingest.parse_payloads(batch)
+        parsed = ingest.parse_payloads(batch).persist()
         keep(ingest.accepted(parsed).drop("payload"), batch_id)
         refuse(ingest.quarantined(parsed), batch_id)
+        parsed.unpersist()
 
-    return _start(payloads, "append", sink, checkpoint)
+    return _start(payloads, "append", sink, checkpoint, every)
 
 
-def upsert_runs(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def upsert_runs(changes: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Run changes as versions keyed by micro-batch; replaying a batch adds nothing."""
-    return _start(changes, "append", write_version(out), checkpoint)
+    return _start(changes, "append", write_version(out), checkpoint, every)
