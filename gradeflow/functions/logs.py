@@ -30,6 +30,18 @@ PROGRESS_TEXTS = (
 )
 RESUME_TEXTS = ("Found checkpoint", "Load from checkpoint", "Resuming from", "Setting global step")
 
+# How a line says that a step was reached, and how many steps there will be.
+STEP_REACHED = (
+    "training/global_step:{}",
+    "training/global_step: {}",
+    "step:{} -",
+    "step: {} -",
+    "global_step_{}",
+    "'global_step': {}",
+    '"global_step": {}',
+)
+STEPS_IN_ALL = "Total training steps:"
+
 # The spellings of a step and of each metric, a separator, and a number.
 STEP_NAMES = "training/global_step|global_step|step"
 METRIC_NAMES = {
@@ -63,7 +75,7 @@ def app_id_of(line: Column) -> Column:
 
 
 def configured_steps_of(line: Column) -> Column:
-    found = all_matches(line, f"Total training steps:{WS}*([0-9]+)")
+    found = all_matches(line, f"{STEPS_IN_ALL}{WS}*([0-9]+)")
     return F.try_element_at(found, F.lit(-1)).try_cast("bigint")
 
 
@@ -84,15 +96,7 @@ def is_fresh_step(line: Column, step: int, exact: bool = False) -> Column:
 
     By default step 1 is also found in ``global_step_10``; ``exact`` rules that out.
     """
-    spellings = (
-        f"training/global_step:{step}",
-        f"training/global_step: {step}",
-        f"step:{step} -",
-        f"step: {step} -",
-        f"global_step_{step}",
-        f"'global_step': {step}",
-        f'"global_step": {step}',
-    )
+    spellings = tuple(form.format(step) for form in STEP_REACHED)
     if exact:
         found = F.lit(False)
         for text in spellings:

@@ -60,8 +60,9 @@ def graded_score(solution: Column, truth: Column, feedback: Column) -> Column:
     """1.0 for an exact answer, 0.5 where the response holds the truth; an empty truth never counts."""
     extracted = extract_answer(solution, letters=False)
     wanted = normalize(truth, restrip=False)
-    exact = (wanted != "") & (normalize(extracted, restrip=False) == wanted)
-    held = (wanted != "") & F.contains(normalize(solution, restrip=False), wanted)
+    # The costly side comes first in each test, so that Spark computes the extraction once for all uses.
+    exact = (normalize(extracted, restrip=False) == wanted) & (wanted != "")
+    held = F.contains(normalize(solution, restrip=False), wanted) & (wanted != "")
     return F.struct(
         F.greatest(exact.cast("double"), held.cast("double") / 2).alias("score"),
         extracted.alias("extracted_answer"),

@@ -16,6 +16,16 @@ TASK_TYPE = (
 
 # The wording of rubric prompts, feedback and fallback attempts, and their limits.
 PROMPT_OPENING = "You are completing a Harvey LAB legal-agent benchmark task."
+TASK_LABEL = "Task ID: "
+TITLE_LABEL = "Title: "
+WORK_LABEL = "Work type: "
+INSTRUCTIONS_LABEL = "Instructions: "
+BLOCK_LABEL = "\n### "
+REASONING_LABEL = "\n  Judge reasoning: "
+STANDARD_LABEL = "\n  Required standard: "
+ATTEMPT_TITLE = "# Draft work product for "
+OPEN_POINT = "- TODO "
+FAILED = "FAIL"
 PROMPT_CLOSING = "Draft the requested legal work product. Use clear headings and cite source documents when possible."
 RUBRIC_HEADING = "Rubric criteria for training feedback construction:"
 DELIVERABLES_HEADING = "Expected deliverables:"
@@ -53,7 +63,7 @@ def deliverables_of(criteria: Column, named: Column) -> Column:
 
 
 def document_block(path: Column, text: Column) -> Column:
-    return F.concat(F.lit("\n### "), path, F.lit("\n"), text)
+    return F.concat(F.lit(BLOCK_LABEL), path, F.lit("\n"), text)
 
 
 def build_prompt(
@@ -71,10 +81,10 @@ def build_prompt(
     sections = [
         F.array(
             F.lit(PROMPT_OPENING),
-            F.concat(F.lit("Task ID: "), task_id),
-            F.concat(F.lit("Title: "), text_or(title)),
-            F.concat(F.lit("Work type: "), text_or(work_type)),
-            F.concat(F.lit("Instructions: "), text_or(instructions)),
+            F.concat(F.lit(TASK_LABEL), task_id),
+            F.concat(F.lit(TITLE_LABEL), text_or(title)),
+            F.concat(F.lit(WORK_LABEL), text_or(work_type)),
+            F.concat(F.lit(INSTRUCTIONS_LABEL), text_or(instructions)),
             F.lit(DELIVERABLES_HEADING),
             _lines(deliverables, lambda d: F.concat(F.lit("- "), d)),
             F.lit(DOCUMENTS_HEADING),
@@ -98,10 +108,10 @@ def fallback_attempt(title: Column, criteria: Column) -> Column:
     """A sparse draft listing the first criteria as open points."""
     missed = _lines(
         F.slice(criteria, 1, SHOWN_CRITERIA),
-        lambda c: F.concat(F.lit("- TODO "), text_or(c["id"]), F.lit(": "), text_or(c["title"])),
+        lambda c: F.concat(F.lit(OPEN_POINT), text_or(c["id"]), F.lit(": "), text_or(c["title"])),
     )
     return F.concat(
-        F.lit("# Draft work product for "), text_or(title), F.lit(f"\n\n{ATTEMPT_NOTE}\n\n{ATTEMPT_HEADING}\n"),
+        F.lit(ATTEMPT_TITLE), text_or(title), F.lit(f"\n\n{ATTEMPT_NOTE}\n\n{ATTEMPT_HEADING}\n"),
         missed, F.lit("\n"),
     )
 
@@ -116,15 +126,15 @@ def feedback_text(criteria: Column, scores: Column, limit: int = FEEDBACK_CHARS)
     )
 
     def block(result: Column) -> Column:
-        verdict = F.upper(F.coalesce(result["verdict"], F.lit("fail")))
+        verdict = F.upper(F.coalesce(result["verdict"], F.lit(FAILED)))
         judged = F.concat(
             F.lit("- "), verdict, F.lit(" "), text_or(result["id"]), F.lit(": "), text_or(result["title"]),
-            F.lit("\n  Judge reasoning: "), text_or(result["reasoning"]),
+            F.lit(REASONING_LABEL), text_or(result["reasoning"]),
         )
         same_id = F.filter(criteria, lambda c: c["id"].eqNullSafe(result["id"]))
         standard = text_or(F.get(same_id, F.lit(0))["match_criteria"])
-        required = F.concat(F.lit("\n  Required standard: "), standard)
-        return F.when((verdict == "FAIL") & (standard != ""), F.concat(judged, required)).otherwise(judged)
+        required = F.concat(F.lit(STANDARD_LABEL), standard)
+        return F.when((verdict == FAILED) & (standard != ""), F.concat(judged, required)).otherwise(judged)
 
     results = F.coalesce(scores["criteria_results"], F.array().cast(RESULTS_TYPE))
     summary = F.coalesce(scores["summary"], F.lit(DEFAULT_SUMMARY))

@@ -22,7 +22,13 @@ WORD_END = rf"(?!{WORD})"
 STARTS_WORD = rf"(?<!{WORD}.)"
 BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
+# The mark of a cut text, and where an answer stands, in order of preference.
 TRUNCATED = "\n[truncated]"
+MARKED_ANSWER = rf"####{WS}*([^\n]+)"
+TAGGED_ANSWER = rf"(?is)<answer>{WS}*(.*?){WS}*</answer>"
+BOXED_ANSWER = r"\\boxed\{([^{}]+)\}"
+NUMBER_ANSWER = r"-?\p{Nd}+(?:\.\p{Nd}+)?"
+LETTER_ANSWER = f"{WORD_START}([A-D]){WORD_END}"
 
 
 def as_col(value: Column | str) -> Column:
@@ -99,13 +105,13 @@ def extract_answer(value: Column, letters: bool = True) -> Column:
     """The final answer in a response: marker, tag, box, number, option letter, or all of it."""
     text = text_or(value)
     steps = [
-        strip(last_match(text, rf"####{WS}*([^\n]+)")),
-        strip(last_match(text, rf"(?is)<answer>{WS}*(.*?){WS}*</answer>")),
-        strip(last_match(text, r"\\boxed\{([^{}]+)\}")),
-        last_match(without_commas(text), r"-?\p{Nd}+(?:\.\p{Nd}+)?", 0),
+        strip(last_match(text, MARKED_ANSWER)),
+        strip(last_match(text, TAGGED_ANSWER)),
+        strip(last_match(text, BOXED_ANSWER)),
+        last_match(without_commas(text), NUMBER_ANSWER, 0),
     ]
     if letters:
-        steps.append(last_match(F.upper(text), f"{WORD_START}([A-D]){WORD_END}"))
+        steps.append(last_match(F.upper(text), LETTER_ANSWER))
     return F.coalesce(*steps, strip(text))
 
 

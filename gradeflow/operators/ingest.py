@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from gradeflow.operators.registry import newest
 
+# Why a payload is refused.
+NOT_AN_OBJECT = "JSON body must be an object"
+NOT_ARRAYS = "metrics, traces, and logs must be arrays"
+
 METRIC_TYPE = "struct<step:bigint,distillation_loss:double,reward:double,teacher_kl:double>"
 TOKEN_TYPE = "struct<text:string,delta:double,student_logprob:double,teacher_logprob:double,selected:boolean>"
 TRACE_TYPE = (
@@ -32,9 +36,7 @@ def parse_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     for name in ARRAYS:
         absent = F.try_variant_get(body, f"$.{name}", "variant").isNull()
         well_typed = well_typed & (absent | F.try_variant_get(body, f"$.{name}", "array<variant>").isNotNull())
-    refused = (
-        F.when(~is_object, "JSON body must be an object").when(~well_typed, "metrics, traces, and logs must be arrays")
-    )
+    refused = F.when(~is_object, NOT_AN_OBJECT).when(~well_typed, NOT_ARRAYS)
     return parsed.select(*payloads.columns, refused.alias("error"), "_typed.*")
 
 

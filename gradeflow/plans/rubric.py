@@ -108,7 +108,8 @@ FROM ({TASKS_SQL}) t LEFT JOIN labels l ON t.doc_id = l.doc_id
 SCORES_JSON_SQL = """CASE WHEN judged THEN '{"all_pass":' || (toxic = 0) || ',"criteria_results":['
   || '{"id":"C1","reasoning":"seen","title":"first","verdict":"'
   || CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END || '"},{"id":"C2","reasoning":"not seen","title":"second"},'
-  || '{"id":"X","reasoning":"odd","title":"third","verdict":"Fail"}],"score":' || CASE WHEN quality = 1 THEN '0.5' ELSE '0.0' END || CASE WHEN toxic = 1 THEN ',"summary":"Judged toxic"}' ELSE '}' END
+  || '{"id":"X","reasoning":"odd","title":"third","verdict":"Fail"}],"score":'
+  || CASE WHEN quality = 1 THEN '0.5' ELSE '0.0' END || CASE WHEN toxic = 1 THEN ',"summary":"Judged toxic"}' ELSE '}' END
   ELSE '{}' END"""
 FEEDBACK_SQL = f"SELECT task_id, {trim_sql('told', 3200)} AS feedback, {SCORES_JSON_SQL} AS scores_json FROM ({JUDGED_SQL})"
 
@@ -291,7 +292,8 @@ def document_extract(spark: SparkSession, folder: str) -> DataFrame:
     )
     head = F.lit("Subject: note\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
     mail = docs.select(
-        F.concat(F.lit("mail/"), number, F.lit(".eml")).alias("path"), F.encode(F.concat(head, "text"), "utf-8").alias("content")
+        F.concat(F.lit("mail/"), number, F.lit(".eml")).alias("path"),
+        F.encode(F.concat(head, "text"), "utf-8").alias("content"),
     )
     head = F.lit("Subject: page\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
     pages = table(spark, folder, "pages").select(
@@ -330,6 +332,7 @@ ORACLES: dict[str, str] = {
     "prompt_build": PROMPT_SQL,
     "rubric_records": RUBRIC_RECORDS_SQL,
     "run_rows": RUN_ROWS_SQL,
-    "document_counts": "SELECT source AS task_id, count(*) AS documents_read, count(*) AS total_vdr_files FROM documents GROUP BY 1",
+    "document_counts": """SELECT source AS task_id, count(*) AS documents_read, count(*) AS total_vdr_files
+        FROM documents GROUP BY 1""",
     "document_extract": DOCUMENTS_SQL,
 }

@@ -250,7 +250,8 @@ SELECT doc_id, CAST(len(terms) AS INTEGER) AS n_terms, array_to_string(terms, '|
         lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))),
       lambda t: length(t) >= 3 AND lower(t) NOT IN ('pass', 'fail', 'agent', 'issue')) AS kept
     FROM (SELECT doc_id, raw, regexp_replace(raw, '[^\x00-\x7F]', '_', 'g') AS plain FROM (
-      SELECT doc_id, array_to_string(list_transform(string_split('"' || source || '" at ' || n_chars || '% ' || text, chr(10)),
+      SELECT doc_id, array_to_string(list_transform(
+               string_split('"' || source || '" at ' || n_chars || '% ' || text, chr(10)),
                lambda l: substr(l, 1, 40) || ' ' || l), ' ') AS raw FROM documents))))
 """
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.functions import reward
-from gradeflow.operators.scoring import score
+from gradeflow.operators import records
+from gradeflow.operators.scoring import graded_reward, score, score_responses
 from test_text import python_normal
 
 
@@ -123,3 +124,25 @@ def test_python_reward_out_of_a_file(spark, tmp_path):
         f"data_source string, solution_str string, ground_truth string, extra_info {info}",
     )
     assert score(rows, fn).select("score", "source").first() == (4.5, "dx")
+
+
+def test_responses_scored_against_question_records(spark):
+    rows = spark.createDataFrame([(0, "q", "7"), (1, "q", "8")], "id int, question string, answer string")
+    made = records.question_records(
+        rows, index="id", split=F.lit("train"), data_source="d", static_feedback="hint", keep_source=True
+    ).select("id", "data_source", "reward_model", "extra_info")
+    answers = spark.createDataFrame([(0, "so 7"), (0, "8"), (1, "8 or 9")], "id int, solution_str string")
+    got = score_responses(answers, made, "id").collect()
+    assert sorted((r["id"], r["extracted_answer"], r["score"]) for r in got) == [(0, "7", 1.0), (0, "8", 0.0), (1, "9", 0.0)]
+    assert all(r["sdpo_feedback_available"] for r in got)
+    half = score_responses(answers, made, "id", graded_reward(made.schema["extra_info"].dataType))
+    assert sorted((r["id"], r["score"]) for r in half.collect()) == [(0, 0.0), (0, 1.0), (1, 0.5)]
+
+
+def test_a_lone_text_is_one_term(spark):
+    rows = spark.createDataFrame(
+        [(reward.RUBRIC_SOURCE, "net debt", "", ("net debt",)), (reward.RUBRIC_SOURCE, "net", "", (None,))],
+        "data_source string, solution_str string, ground_truth string, extra_info struct<reward_terms:string>",
+    )
+    got = [(r["score"], r["harvey_reward_terms"]) for r in score(rows).collect()]
+    assert got == [(1.0, 1), (0.0, 0)]
