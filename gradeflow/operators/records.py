@@ -17,6 +17,7 @@ REPROMPT = (
     "{prompt}\n\nPrevious attempt:\n{solution}\n\nEnvironment feedback:\n{feedback}\n\n"
     "Use the feedback to produce a corrected solution."
 )
+RECORD_COLUMNS = ("data_source", "prompt", "ability", "reward_model", "extra_info")
 LARGE_MODEL_REPROMPT = REPROMPT + " Keep only useful reasoning."
 
 
@@ -46,6 +47,11 @@ def chat_columns(
     ]
 
 
+def _source_columns(df: DataFrame) -> list[str]:
+    """The input columns that stay beside a record; the record's own columns replace any of the same name."""
+    return [c for c in df.columns if c not in RECORD_COLUMNS]
+
+
 def feedback_record(
     *,
     question: Column,
@@ -111,7 +117,7 @@ def question_records(
         template=template,
         family=family,
     )
-    return df.select(*(["*"] if keep_source else []), *record)
+    return df.select(*(_source_columns(df) if keep_source else []), *record)
 
 
 def conversation_records(
@@ -163,12 +169,10 @@ def distillation_records(
     told = F.lit("") if answer is None else F.coalesce(as_col(answer).cast("string"), F.lit("None"))
     content = F.concat(asked, F.lit(" " + suffix)) if suffix else asked
     extra = {"split": as_col(split), "index": as_col(index).cast("bigint"), "answer": told, "prompt": asked}
-    return df.select(
-        "*",
-        *chat_columns(
-            data_source=F.lit(data_source), content=content, ability=F.lit(ability), truth=told, extra=extra
-        ),
+    record = chat_columns(
+        data_source=F.lit(data_source), content=content, ability=F.lit(ability), truth=told, extra=extra
     )
+    return df.select(*_source_columns(df), *record)
 
 
 def split_counts(df: DataFrame, split: Column | str = "split") -> DataFrame:

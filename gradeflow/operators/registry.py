@@ -42,6 +42,12 @@ DEFAULTS = {
     "smoke_gpu": False,
 }
 
+CONFIG_FIELDS = (
+    "algorithm", "model", "teacher_model", "dataset", "steps", "train_rows", "val_rows",
+    "hint_placement", "hint", "topology", "smoke_gpu",
+)
+TRIMMED = ("model", "dataset")
+
 
 def newest(changes: DataFrame, key: str, sequence: str, fields: Sequence[str]) -> DataFrame:
     """One row per key. Each field holds its newest non-null value, so a change may leave fields out.
@@ -116,6 +122,40 @@ def launchable(status: Column) -> Column:
     return status.isin(*LAUNCHABLE)
 
 
+def launch(runs: DataFrame, at: Column) -> DataFrame:
+    """Launch requests for the given runs: ``id, status, updated_at, error``.
+
+    A draft or failed run is queued. Any other keeps its status and gets an error.
+    """
+    ready, status = launchable(F.col("status")), F.col("status")
+    return runs.select(
+        "id",
+        F.when(ready, "queued").otherwise(status).alias("status"),
+        F.when(ready, at).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(~ready, F.concat(F.lit("cannot launch a "), status, F.lit(" run"))).alias("error"),
+    )
+
+
+def draft_runs(configs: DataFrame, key: str, at: Column) -> DataFrame:
+    """Checked configurations as draft runs; those that break a rule are left to :func:`violations`.
+
+    A run's id is a hash of the caller's unique ``key`` and the time, so a repeated task gives the same id.
+    """
+    valid = violations(with_defaults(configs)).where(F.size("violations") == 0)
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    named = F.col("name") if "name" in configs.columns else F.lit(None).cast("string")
+    usual_name = F.concat_ws("_", "algorithm", "dataset")
+    config = F.struct(*[F.trim(c).alias(c) if c in TRIMMED else F.col(c) for c in CONFIG_FIELDS])
+    return valid.select(
+        F.concat(F.lit("run_"), F.substring(F.md5(F.concat_ws("@", F.col(key).cast("string"), stamp)), 1, 12)).alias("id"),
+        F.coalesce(F.nullif(named, F.lit("")), usual_name).alias("name"),
+        F.lit("draft").alias("status"),
+        stamp.alias("created_at"),
+        stamp.alias("updated_at"),
+        config.alias("config"),
+    )
+
+
 def with_defaults(configs: DataFrame) -> DataFrame:
     """Configurations with defaults filled in; the teacher defaults to the model."""
     filled = configs

@@ -295,6 +295,32 @@ FROM ({CONFIGS_SQL})
 """
 
 
+def draft_runs(spark: SparkSession, folder: str) -> DataFrame:
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    made = registry.draft_runs(_configs(spark, folder), "o_orderkey", at)
+    return made.select("id", "name", "status", "created_at", "config.model", "config.teacher_model", "config.steps")
+
+
+DRAFT_RUNS_SQL = f"""
+SELECT 'run_' || substr(md5(o_orderkey || '@2024-01-02T03:04:05Z'), 1, 12) AS id, algorithm || '_' || dataset AS name,
+  'draft' AS status, '2024-01-02T03:04:05Z' AS created_at, model, model AS teacher_model, steps
+FROM ({CONFIGS_SQL}) WHERE o_orderkey IN (SELECT o_orderkey FROM ({VIOLATIONS_SQL}) WHERE violations = '')
+"""
+
+
+def launch_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """A launch asked for every run in its newest state."""
+    return registry.launch(run_latest(spark, folder), F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+LAUNCH_SQL = f"""
+SELECT id, CASE WHEN status IN ('draft', 'failed') THEN 'queued' ELSE status END AS status,
+  CASE WHEN status IN ('draft', 'failed') THEN TIMESTAMP '2030-01-01 00:00:00' ELSE updated_at END AS updated_at,
+  CASE WHEN status NOT IN ('draft', 'failed') THEN 'cannot launch a ' || status || ' run' END AS error
+FROM ({RUN_LATEST_SQL})
+"""
+
+
 def config_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as configurations, checked against a catalogue table made of the part types of each brand."""
     catalogue = table(spark, folder, "part").groupBy(F.col("p_brand").alias("id")).agg(
@@ -350,6 +376,8 @@ QUERIES: dict[str, Query] = {
     "stream_run_upserts": stream_run_upserts,
     "run_transitions": run_transitions,
     "config_violations": config_violations,
+    "draft_runs": draft_runs,
+    "launch_requests": launch_requests,
     "config_catalogue": config_catalogue,
     "token_preferences": token_preferences,
     "selected_tokens": selected_tokens,
@@ -368,6 +396,8 @@ ORACLES: dict[str, str] = {
     "stream_run_upserts": UPSERTS_SQL,
     "run_transitions": TRANSITIONS_SQL,
     "config_violations": VIOLATIONS_SQL,
+    "draft_runs": DRAFT_RUNS_SQL,
+    "launch_requests": LAUNCH_SQL,
     "config_catalogue": CATALOGUE_SQL,
     "token_preferences": TOKENS_SQL,
     "selected_tokens": """SELECT vec_id, label,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Line breaks of Python's str.splitlines() that Spark's text reader keeps inside a line.
 INNER_BREAKS = "[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
+LINE_RECORD = "run_id string, line_no bigint, ts timestamp, line string, exit_code int"
+
 
 def run_of_path(path: Column) -> Column:
     """The file name without its last suffix."""
@@ -38,5 +40,5 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Appended line records ``run_id, line_no, ts, line`` (JSON lines) as a stream."""
-    return spark.readStream.schema("run_id string, line_no bigint, ts timestamp, line string").json(path)
+    """Appended line records (JSON lines) as a stream; the record that ends a run has its ``exit_code``."""
+    return spark.readStream.schema(LINE_RECORD).json(path)

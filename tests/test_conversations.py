@@ -89,3 +89,12 @@ def test_distillation_record_is_not_stripped_and_keeps_its_columns(spark):
     row = made.first()
     assert row["prompt"][0]["content"] == " q  go" and row["question"] == " q "
     assert row["reward_model"]["ground_truth"] == "None"
+
+
+def test_record_columns_replace_source_columns_of_the_same_name(spark):
+    rows = spark.createDataFrame([(0, "q", "a", "old")], "i int, question string, answer string, prompt string")
+    for made in (
+        records.distillation_records(rows, index="i", split=F.lit("test"), data_source="d"),
+        records.question_records(rows, index="i", split=F.lit("test"), data_source="d", suffix="", keep_source=True),
+    ):
+        assert made.columns.count("prompt") == 1 and made.first()["prompt"][0]["content"] == "q"

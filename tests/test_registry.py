@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.operators import ingest, registry, traces
+from gradeflow.sources.logs import LINE_RECORD, stream_log_lines
+from gradeflow.sources.runs import stream_payloads
 from gradeflow.streaming import runs as live
 
 
@@ -91,11 +93,10 @@ def test_tokens_and_teacher_prompt(spark):
     ]
 
 
-LINE = "run_id string, line_no bigint, ts timestamp, line string, exit_code int"
 
 
 def lines_at(spark, path, rows):
-    spark.createDataFrame([(r, n, None, line, code) for r, n, line, code in rows], LINE).coalesce(1).write.mode("append").json(path)
+    spark.createDataFrame([(r, n, None, line, code) for r, n, line, code in rows], LINE_RECORD).coalesce(1).write.mode("append").json(path)
 
 
 def test_stream_state_grows_with_new_files_and_a_rerun_adds_nothing(spark, tmp_path):
@@ -103,8 +104,7 @@ def test_stream_state_grows_with_new_files_and_a_rerun_adds_nothing(spark, tmp_p
     lines_at(spark, source, [("r", 0, "submitted ap-A1", None), ("s", 0, "hi", None)])
 
     def run():
-        stream = spark.readStream.schema(LINE).json(source)
-        live.run_state(stream, out, state).awaitTermination()
+        live.run_state(stream_log_lines(spark, source), out, state).awaitTermination()
         newest = live.read_newest(spark, out, ["run_id"]).collect()
         return {r["run_id"]: (r["status"], r["app_id"]) for r in newest}
 
@@ -120,8 +120,7 @@ def test_streamed_tail_over_several_batches(spark, tmp_path):
     source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     for batch in range(3):
         lines_at(spark, source, [("r", batch * 10 + i, f"l{batch}{i}", None) for i in range(10)])
-        stream = spark.readStream.schema(LINE).json(source)
-        live.log_tail(stream, out, state, keep=4).awaitTermination()
+        live.log_tail(stream_log_lines(spark, source), out, state, keep=4).awaitTermination()
     kept = live.read_tail(spark, out, keep=4).orderBy("line_no").collect()
     assert [r["line_no"] for r in kept] == [26, 27, 28, 29]
 
@@ -134,3 +133,40 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     write(rows.withColumn("status", F.lit("queued")), 1)
     assert spark.read.parquet(str(tmp_path)).count() == 2
     assert live.read_newest(spark, str(tmp_path), ["run_id"]).first()["status"] == "queued"
+
+
+def test_streamed_ingest_quarantines_what_it_refuses(spark, tmp_path):
+    source, out, refused, state = (str(tmp_path / name) for name in ("in", "out", "refused", "state"))
+    rows = [("r", seq, body) for seq, body, _ in PAYLOADS]
+    spark.createDataFrame(rows, "run_id string, seq bigint, payload string").write.json(source)
+    live.ingest_payloads(stream_payloads(spark, source), out, refused, state).awaitTermination()
+    assert {r["seq"]: r["error"] for r in spark.read.parquet(refused).collect()} == {s: e for s, _, e in PAYLOADS if e}
+    assert ingest.current(spark.read.parquet(out)).first()["logs"] == []
+
+
+def test_a_stream_on_an_interval_goes_on_until_stopped(spark, tmp_path):
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    lines_at(spark, source, [("r", 0, "step:1 reward:0.5", None)])
+    query = live.step_metrics(stream_log_lines(spark, source), out, state, every="1 second")
+    try:
+        query.processAllAvailable()
+        lines_at(spark, source, [("r", 1, "step:1 reward:0.75", None)])
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert [r["reward"] for r in live.read_newest(spark, out, ["run_id", "step"]).collect()] == [0.75]
+
+
+def test_drafts_and_launches(spark):
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    configs = config(spark, model=" Qwen/Qwen3.5-4B ").unionByName(config(spark, steps=0)).withColumn("key", F.lit("k"))
+    made = registry.draft_runs(configs, "key", at)
+    row = made.first()
+    assert made.count() == 1 and row["name"] == "sdpo_traces" and row["status"] == "draft"
+    assert row["config"]["model"] == row["config"]["teacher_model"] == "Qwen/Qwen3.5-4B"
+    states = spark.createDataFrame([("a", "draft"), ("b", "running"), ("c", "failed")], "id string, status string")
+    asked = registry.launch(states.withColumn("updated_at", at - F.expr("interval 1 day")), at).collect()
+    assert {r["id"]: (r["status"], r["error"]) for r in asked} == {
+        "a": ("queued", None), "b": ("running", "cannot launch a running run"), "c": ("queued", None)
+    }
