@@ -116,6 +116,12 @@ def fallback_attempt(title: Column, criteria: Column) -> Column:
     )
 
 
+def is_scored(scores: Column) -> Column:
+    """Whether there are scores; an empty JSON object counts as none."""
+    fields = ("summary", "score", "all_pass", "criteria_results")
+    return scores.isNotNull() & F.coalesce(*[scores[f].cast("string") for f in fields]).isNotNull()
+
+
 def feedback_text(criteria: Column, scores: Column, limit: int = FEEDBACK_CHARS) -> Column:
     """Judge results as feedback, with the required standard of each failed criterion; criteria where unscored."""
     bullets = _lines(
@@ -139,7 +145,7 @@ def feedback_text(criteria: Column, scores: Column, limit: int = FEEDBACK_CHARS)
     results = F.coalesce(scores["criteria_results"], F.array().cast(RESULTS_TYPE))
     summary = F.coalesce(scores["summary"], F.lit(DEFAULT_SUMMARY))
     judged = F.array_join(F.concat(F.array(summary), F.transform(results, block)), "\n")
-    return trim_text(F.when(scores.isNull(), bullets).otherwise(judged), limit)
+    return trim_text(F.when(is_scored(scores), judged).otherwise(bullets), limit)
 
 
 def scores_json(scores: Column) -> Column:
@@ -155,4 +161,4 @@ def scores_json(scores: Column) -> Column:
         scores["all_pass"].alias("all_pass"), results.alias("criteria_results"),
         scores["score"].alias("score"), scores["summary"].alias("summary"),
     )
-    return F.when(scores.isNull(), "{}").otherwise(F.to_json(ordered))
+    return F.when(is_scored(scores), F.to_json(ordered)).otherwise("{}")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.functions.text import trim_text
+from gradeflow.sources.paths import below
 
 # Formats, and how much of a workbook is read.
 PLAIN_SUFFIXES = ("txt", "md", "json", "csv")
@@ -101,7 +102,7 @@ def _glob(suffixes: tuple[str, ...]) -> str:
 def list_document_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``task_id, path, length, content``; Spark reads the content only where it is selected."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    place = r"/tasks/(.+?)/documents/(.+)$"
+    place = below(root, r"/tasks/(.+?)/documents/(.+)$")
     return (
         reader.load(f"{root.rstrip('/')}/tasks")
         .select(

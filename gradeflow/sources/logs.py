@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradeflow.functions.text import SPACES
+from gradeflow.sources.paths import file_path
+
 # Line breaks of Python's str.splitlines() that Spark's text reader keeps inside a line.
 INNER_BREAKS = "[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
@@ -23,7 +26,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     split size, and shifted by the line counts of the file's earlier splits.
     """
     text = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
+        file_path().alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
         F.posexplode(F.split(F.make_valid_utf8("value"), INNER_BREAKS)).alias("_sub", "line"),
@@ -40,5 +43,8 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Appended line records (JSON lines) as a stream; the record that ends a run has its ``exit_code``."""
-    return spark.readStream.schema(LINE_RECORD).json(path)
+    """Appended line records (JSON lines) as a stream, without space at the line ends.
+
+    The record that ends a run has its ``exit_code``.
+    """
+    return spark.readStream.schema(LINE_RECORD).json(path).withColumn("line", F.rtrim("line", F.lit(SPACES)))

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeflow.functions import rubric as rf
 from gradeflow.functions.text import text_or
+from gradeflow.sources.paths import below, file_path
 
 TASK_FILE = "task.json"
 SCORES_FILE = "scores.json"
 
 
-def _plain_path() -> Column:
-    """The file's path with URL escapes undone."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
 def _whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    return reader.text(root, wholetext=True).select(_plain_path().alias("file"), "value")
+    return reader.text(root, wholetext=True).select(file_path().alias("file"), "value")
 
 
 def read_tasks(spark: SparkSession, root: str) -> DataFrame:
     """Every ``<root>/tasks/**/task.json`` as a task row; its id is the folder below ``tasks``."""
     files = _whole_files(spark, f"{root.rstrip('/')}/tasks", TASK_FILE)
-    task_id = F.regexp_extract("file", r"/tasks/(.+)/task\.json$", 1)
+    task_id = F.regexp_extract("file", below(root, r"/tasks/(.+)/task\.json$"), 1)
     return parse_tasks(files.select(task_id.alias("task_id"), "value"))
 
 
@@ -50,7 +46,7 @@ def shape_tasks(raw: DataFrame) -> DataFrame:
 def read_scores(spark: SparkSession, root: str) -> DataFrame:
     """``task_id, scores`` from ``<root>/scores/<task>/scores.json``."""
     files = _whole_files(spark, f"{root.rstrip('/')}/scores", SCORES_FILE)
-    task_id = F.regexp_extract("file", r"/scores/(.+)/scores\.json$", 1)
+    task_id = F.regexp_extract("file", below(root, r"/scores/(.+)/scores\.json$"), 1)
     return parse_scores(files.select(task_id.alias("task_id"), "value"))
 
 

@@ -96,7 +96,7 @@ def test_tokens_and_teacher_prompt(spark):
 
 
 def lines_at(spark, path, rows):
-    spark.createDataFrame([(r, n, None, line, code) for r, n, line, code in rows], LINE_RECORD).coalesce(1).write.mode("append").json(path)
+    spark.createDataFrame([(r, n, None, line + " \t", code) for r, n, line, code in rows], LINE_RECORD).coalesce(1).write.mode("append").json(path)
 
 
 def test_stream_state_grows_with_new_files_and_a_rerun_adds_nothing(spark, tmp_path):
@@ -122,7 +122,7 @@ def test_streamed_tail_over_several_batches(spark, tmp_path):
         lines_at(spark, source, [("r", batch * 10 + i, f"l{batch}{i}", None) for i in range(10)])
         live.log_tail(stream_log_lines(spark, source), out, state, keep=4).awaitTermination()
     kept = live.read_tail(spark, out, keep=4).orderBy("line_no").collect()
-    assert [r["line_no"] for r in kept] == [26, 27, 28, 29]
+    assert [(r["line_no"], r["line"]) for r in kept] == [(20 + i, f"l2{i}") for i in range(6, 10)]
 
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):

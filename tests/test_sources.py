@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -13,6 +14,7 @@ from gradeflow import jobs
 from gradeflow.functions import rubric as rf
 from gradeflow.operators import rubric
 from gradeflow.sources import datasets, documents, runs, tasks
+from gradeflow.sources.paths import below
 
 SCHEMA = "q string, n bigint"
 
@@ -102,12 +104,16 @@ SHEET_LINES = ["shared\t\t2.5" + "\t" * 9, "\tTrue\t\tin" + "\t" * 8]
 
 @pytest.fixture
 def tree(tmp_path):
+    tmp_path = tmp_path / "tasks" / "a b" / "documents"
     for area, name, count in (("tax", "t1", 2), ("tax", "t2", 0), ("ip", "deep/t3", 1), ("ip", "t+4 x", 1)):
         folder = tmp_path / "tasks" / area / name
         folder.mkdir(parents=True)
         criteria = [{"id": f"C{i}", "title": f"Title {i}", "match_criteria": f"Must {i}", "deliverables": ["b.md", "a.md"]} for i in range(count)]
         body = {"title": f"T {name}", "instructions": None, "deliverables": {"x": "z.md", "y": "c.md"}, "criteria": criteria}
         (folder / "task.json").write_text(json.dumps(body))
+    odd = tmp_path / "tasks" / "ip" / "t+4 x" / "documents"
+    odd.mkdir()
+    (odd / "n+1 é%20.txt").write_text("odd name")
     for name, content in CONTENTS.items():
         path = tmp_path / "tasks" / "tax" / "t1" / "documents" / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -125,8 +131,10 @@ def test_tasks(spark, tree):
 
 def test_document_formats(spark, tree):
     read = documents.read_document_files(spark, str(tree), 1200)
-    got = {r["path"]: r["text"] for r in read.collect()}
-    assert {r["task_id"] for r in read.collect()} == {"tax/t1"}
+    rows = read.collect()
+    assert [(r["path"], r["text"]) for r in rows if r["task_id"] == "ip/t+4 x"] == [("n+1 é%20.txt", "odd name")]
+    got = {r["path"]: r["text"] for r in rows if r["task_id"] == "tax/t1"}
+    assert len(rows) == len(CONTENTS) + 1
     sheet = got.pop("x.xlsx")
     assert got == EXTRACTED
     wanted = "\n".join(line for i in range(4) for line in (f"=== Sheet: S{i} ===", *SHEET_LINES))
@@ -136,8 +144,8 @@ def test_document_formats(spark, tree):
 
 
 def test_document_counts(spark, tree):
-    row = rubric.document_counts(documents.list_document_files(spark, str(tree))).first()
-    assert tuple(row) == ("tax/t1", len(CONTENTS), len(CONTENTS))
+    rows = rubric.document_counts(documents.list_document_files(spark, str(tree))).collect()
+    assert {tuple(r) for r in rows} == {("tax/t1", len(CONTENTS), len(CONTENTS)), ("ip/t+4 x", 1, 1)}
 
 
 def test_default_deliverable(spark):
@@ -216,3 +224,47 @@ def test_run_store(spark, tmp_path):
     assert {tuple(r) for r in runs.run_logs(found).collect()} == {("r1", 0, "a"), ("r1", 1, "b")}
     assert runs.run_metrics(found).where("run_id = 'r2'").first()["reward"] == 0.5
     assert runs.run_traces(found).first()["tokens"][0]["delta"] == 0.3
+
+
+@pytest.mark.parametrize("root, path, inside", [
+    ("/a/b", "file:/a/b/tasks/x", True),
+    ("/a/b/", "/a/b/tasks/x", True),
+    ("s3a://bucket/a", "s3a://bucket/a/tasks/x", True),
+    ("data/set", "hdfs://host:1/user/me/data/set/tasks/x", True),
+    ("./data", "file:/w/data/tasks/x", True),
+    ("/b", "file:/a/b/tasks/x", False),
+])
+def test_paths_below_a_root(root, path, inside):
+    pattern = below(root, "/tasks/(.+)$").replace("\\Q", "").replace("\\E", "")
+    assert bool(re.search(pattern, path)) == inside
+
+
+SCORED = [
+    (None, "- A t: m\n- B : ", "{}"),
+    ("{}", "- A t: m\n- B : ", "{}"),
+    ('{"score": 1}', "Harvey LAB rubric feedback", '{"score":1.0}'),
+    (
+        '{"summary": "S", "criteria_results": [{"id": "A", "verdict": "Fail"}, {"id": "Z"}, {"id": "B"}, {"verdict": "ok", "title": "T"}]}',
+        "S\n- FAIL A: \n  Judge reasoning: \n  Required standard: m\n- FAIL Z: \n  Judge reasoning: \n- FAIL B: \n"
+        "  Judge reasoning: \n- OK : T\n  Judge reasoning:",
+        '{"criteria_results":[{"id":"A","verdict":"Fail"},{"id":"Z"},{"id":"B"},{"title":"T","verdict":"ok"}],"summary":"S"}',
+    ),
+]
+
+
+def test_feedback_of_every_kind_of_scores(spark):
+    criteria = [("A", "t", "m", []), ("B", None, None, []), ("A", "t2", "m2", [])]
+    rows = [(str(i), criteria[: 2 if i < 2 else 3], text) for i, (text, _, _) in enumerate(SCORED)]
+    made = spark.createDataFrame(rows, f"task_id string, criteria {rf.CRITERIA_TYPE}, value string")
+    judged = rubric.with_scores(made.drop("value"), tasks.parse_scores(made))
+    got = judged.select("feedback", rf.scores_json(F.col("scores")).alias("j")).orderBy("task_id").collect()
+    assert [(r["feedback"], r["j"]) for r in got] == [(text.strip(), j) for _, text, j in SCORED]
+
+
+def test_missing_attempts_get_the_fallback(spark):
+    made = spark.createDataFrame(
+        [("a", "T", [(f"C{i}", f"t{i}", "", []) for i in range(14)]), ("b", "T", [])], f"task_id string, title string, criteria {rf.CRITERIA_TYPE}"
+    )
+    attempts = spark.createDataFrame([("b", "mine")], "task_id string, attempt string")
+    got = {r["task_id"]: r["attempt"] for r in rubric.with_attempts(made, attempts).collect()}
+    assert got["b"] == "mine" and got["a"].count("- TODO ") == 12 and got["a"].endswith("- TODO C11: t11\n")
