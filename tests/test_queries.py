@@ -28,13 +28,18 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) - set(ORACLES) == {"manifest"}
 
 
-def check_plan(df) -> None:
-    """No cross join, and no window that would sort the table in one task.
+NEED_PYTHON = {"document_extract", "python_reward"}
+
+
+def check_plan(df, name: str) -> None:
+    """No cross join, no window that would sort the table in one task, and Python only where it must be.
 
     The row index sums over ``_part``, which has one row per partition.
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
+    uses_python = bool(re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas", plan))
+    assert uses_python == (name in NEED_PYTHON)
     for line in plan.splitlines():
         if re.search(r"\bWindow \[", line) and "windowspecdefinition(_part#" not in line:
             assert line.count("], [") >= 2, line
@@ -43,7 +48,7 @@ def check_plan(df) -> None:
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, folder, con, name):
     df = QUERIES[name](spark, folder)
-    check_plan(df)
+    check_plan(df, name)
     assert oracle.differences(df, con, ORACLES[name]) == []
     described = {row[0]: KINDS.get(row[1], row[1]) for row in con.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
     assert {f.name: f.dataType.simpleString() for f in df.schema} == described
@@ -51,7 +56,7 @@ def test_query_equals_sql(spark, folder, con, name):
 
 def test_manifest_names_the_generation_set(spark, folder):
     made = QUERIES["manifest"](spark, folder)
-    check_plan(made)
+    check_plan(made, "manifest")
     body = json.loads(made.first()["manifest"])
     assert len(body["train_tasks"]) == 8 and len(body["eval_preview_tasks"]) == 2
     assert body["heldout_eval_count"] == QUERIES["stratified_order"](spark, folder).count() - 8
