@@ -27,15 +27,16 @@ def read_json_member(spark: SparkSession, path: str, schema: Schema, member: str
     """Documents that are one object; the rows are the list under ``member``, or its first list if none is named."""
     row = schema if isinstance(schema, str) else schema.simpleString()
     struct = row if row.startswith("struct<") else f"struct<{_fields(row)}>"
+    missing = F.raise_error(F.lit("no list in the JSON document"))
     if member:
-        whole = spark.read.schema(f"`{member}` array<{struct}>").option("multiLine", True).json(path)
-        return whole.select(F.explode(member).alias("_row")).select("_row.*")
+        whole = read_json_list(spark, path, f"`{member}` array<{struct}>")
+        rows = F.coalesce(F.col(member), missing.cast(f"array<{struct}>"))
+        return whole.select(F.explode(rows).alias("_row")).select("_row.*")
     document = spark.read.text(path, wholetext=True)
     members = F.map_values(F.from_json("value", "map<string,variant>"))
     lists = F.filter(members, lambda m: F.try_variant_get(m, "$", "array<variant>").isNotNull())
     first = F.get(lists, F.lit(0))
-    missing = F.raise_error(F.lit("no list in the JSON document")).cast("variant")
-    rows = F.variant_get(F.coalesce(first, missing), "$", f"array<{struct}>")
+    rows = F.variant_get(F.coalesce(first, missing.cast("variant")), "$", f"array<{struct}>")
     return document.select(F.explode(rows).alias("_row")).select("_row.*")
 
 

@@ -23,7 +23,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _cell(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return "nan" if math.isnan(value) else value + 0.0
     if isinstance(value, list | tuple):
         return tuple(_cell(v) for v in value)
     return str(value) if hasattr(value, "isoformat") else value

@@ -93,6 +93,13 @@ def test_a_log_read_in_many_splits_keeps_its_order(spark, tmp_path):
     wanted = [f"line {i} " + "x" * (i % 50) for i in range(4000)]
     (tmp_path / "long.log").write_text("\n".join(wanted))
     (tmp_path / "odd.v2.log").write_bytes(b"one\r\ntwo\rthree\x0bfour\xe2\x80\xa8five \xff\nlast\n")
+    for name in ("a", "b"):
+        (tmp_path / "deep" / name).mkdir(parents=True)
+        (tmp_path / "deep" / name / "run.log").write_text(f"from {name}\n")
+    same = read_log_lines(spark, f"{tmp_path}/deep/*")
+    assert sorted((r["run_id"].rsplit("/", 2)[-2:], r["line"]) for r in same.collect()) == [
+        (["a", "run"], "from a"), (["b", "run"], "from b")
+    ]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:

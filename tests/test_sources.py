@@ -15,6 +15,7 @@ from gradeflow.functions import rubric as rf
 from gradeflow.operators import rubric
 from gradeflow.sources import datasets, documents, runs, tasks
 from gradeflow.sources.paths import below
+from test_text import python_trim
 
 SCHEMA = "q string, n bigint"
 
@@ -36,6 +37,8 @@ def test_json_lines_lists_and_members(spark, tmp_path):
     assert got(datasets.read_json_member(spark, f"{tmp_path}/c.json", SCHEMA, "a")) == [("later", 3)]
     with pytest.raises(Exception, match="no list in the JSON document"):
         datasets.read_json_member(spark, f"{tmp_path}/d.json", SCHEMA).collect()
+    with pytest.raises(Exception, match="no list in the JSON document"):
+        datasets.read_json_member(spark, f"{tmp_path}/d.json", SCHEMA, "a").collect()
     both = datasets.read_splits(spark, f"{tmp_path}/a.jsonl", None, datasets.read_json_lines, schema=SCHEMA)
     assert {r["split"]: r["n"] for r in both.groupBy("split").agg(F.count("*").alias("n")).collect()} == {"train": 2, "test": 2}
 
@@ -268,3 +271,19 @@ def test_missing_attempts_get_the_fallback(spark):
     attempts = spark.createDataFrame([("b", "mine")], "task_id string, attempt string")
     got = {r["task_id"]: r["attempt"] for r in rubric.with_attempts(made, attempts).collect()}
     assert got["b"] == "mine" and got["a"].count("- TODO ") == 12 and got["a"].endswith("- TODO C11: t11\n")
+
+
+@pytest.mark.parametrize("limit", [250, 330, 900])
+def test_documents_cut_before_gathering_leave_the_prompt_as_it_is(spark, limit):
+    """The prompt of all documents, made by hand, against the prompt of those that can reach it."""
+    docs = [("t", f"d{i % 3}-x/{i}" if i % 2 else f"d{i % 3}/{i}", ["", "\n\n\n", "text\n\n\n\nmore"][i % 3]) for i in range(400)]
+    task = [("t", "T", "w", "do", ["out.md"], [])]
+    made = spark.createDataFrame(
+        task, f"task_id string, title string, work_type string, instructions string, deliverables array<string>, criteria {rf.CRITERIA_TYPE}"
+    )
+    documents_of = spark.createDataFrame(docs, "task_id string, path string, text string").repartition(6)
+    got = rubric.with_prompt(made, documents_of, prompt_chars=limit).first()["prompt"]
+    blocks = [f"\n### {path}\n{body}" for _, path, body in sorted(docs, key=lambda d: d[1].split("/"))]
+    head = [rf.PROMPT_OPENING, "Task ID: t", "Title: T", "Work type: w", "Instructions: do", rf.DELIVERABLES_HEADING,
+            "- out.md", rf.DOCUMENTS_HEADING]
+    assert got == python_trim("\n\n".join([*head, *blocks, rf.PROMPT_CLOSING]), limit)
