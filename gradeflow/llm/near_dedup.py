@@ -6,10 +6,10 @@ hands each set to the child named by its token there, so that similar sets are e
 once per level. Nodes small enough are compared exhaustively, others branch on. Independent trees raise the
 recall: with ten, two sets at the least similarity that part after one level are missed once in 10^9.
 
-Large groups of near copies never come apart by branching. So each large node first compares its members
-with one of them, its hub. Members that are already in one component need no further comparison: a node
-is done when all its sets are, and when at most ``SMALL`` of them are outside its largest component, these
-few are compared with everyone. The work stays linear in the group, and no link between components is left out.
+Large groups of near copies come apart slowly. So in each large node some sets are compared with all before it
+branches, and sets that are already in one component need no further comparison: a node is done when all its sets are in
+one, and when at most ``SMALL`` are outside its largest component, these are compared with everyone. The work stays
+linear in the group, and no link between components is left out.
 
 Equal sets are one set from the start. All similarities are confirmed on full sets of 64-bit shingle hashes.
 """
@@ -17,6 +17,7 @@ Equal sets are one set from the start. All similarities are confirmed on full se
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,18 @@ from gradeflow.llm.hashing import mixed, shingle_hashes, word_hashes, words_of
 
 TREES = 10
 TOKENS = 64
-# A node of so many sets is compared exhaustively.
-SMALL = 32
-# After so many levels every node left is compared exhaustively, whatever its size.
-LEVELS = 48
+# A node with so many sets outside its largest component is compared exhaustively.
+SMALL = 128
+# In a large node so many sets, drawn by hash, are compared with all others, in slices of SLICE, before it branches.
+SLICE = 128
+# Large nodes go down two levels at once, those of more than STEP_SIZE sets STEPS levels.
+STEP_SIZE, STEPS = 256, 4
+# Cells of the largest table of sets by shingles that a task makes; beyond it sets are compared one by one.
+DENSE = 1 << 23
+# Trees that start in each round: what the first ones link needs no comparison in the later ones.
+STARTED = (2, 3, 5)
+# Rounds after which branching ends; a node of sets that part so late holds sets of 0.9 and more to each other.
+LEVELS = 64
 SIGMAS = 6.3
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, TOKENS), dtype=np.uint64)
@@ -87,6 +96,17 @@ def _children(node: Column, rate: float) -> Column:
     return F.when(chosen & (at != other), F.array(child(at), child(other))).otherwise(F.array(child(at)))
 
 
+def _branches(large: DataFrame, reps: DataFrame, rate: float) -> DataFrame:
+    """The rows of large nodes some levels further down. Their tokens travel with them from there on."""
+    known = large.where("tokens is not null").select("id", "bits", "sets", "node", "tokens")
+    fresh = large.where("tokens is null").select("id", "bits", "sets", "node").join(reps.select("id", "tokens"), "id")
+    made = known.unionByName(fresh)
+    for step in range(STEPS):
+        on = F.lit(True) if step < 2 else F.col("sets") > STEP_SIZE
+        made = made.withColumn("node", F.explode(F.when(on, _children(F.col("node"), rate)).otherwise(F.array("node"))))
+    return made.select("id", "bits", "node", "tokens")
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``id, shingles`` of the documents named: sorted 64-bit hashes as bytes."""
 
@@ -98,51 +118,93 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return map_texts(wanted, work, "id long, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar. The many partners of one ``b`` get its set first, spread by ``a`` then."""
+def _roots(reps: DataFrame, trees: int, rate: float) -> DataFrame:
+    """``id, bits, tree, node``: the sets at the first level of all trees, without nodes that one set has alone."""
+    starts = F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("tree")
+    rows = reps.select("id", "bits", "tokens", starts).select("id", "bits", "tree", F.explode(_children(F.col("tree"), rate)).alias("node"))
+    shared = rows.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    return stored(rows.join(shared.select("node"), "node", "left_semi"), "roots")
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("one"), batch.column("other"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if denominator * small < numerator * large:
-                    keep.append(False)
-                    continue
-                shared = small + large - len(np.unique(np.concatenate((x, y))))
-                keep.append(denominator * shared >= numerator * (small + large - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
-    other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("other"))
-    ship(pairs.sparkSession)
-    return pairs.join(other, "b").join(one, "a").select("a", "b", "one", "other").mapInArrow(check, "a long, b long")
-
-
-def _compared(rows: DataFrame, most_apart: int, small_size: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of all nodes, and the rows of those that go on branching.
-
-    ``rows`` are ``id, bits, part, node``. Nodes of one part are done.
+
+def _inside(rows: DataFrame) -> DataFrame:
+    """Rows ``id, bits, part, node, tokens`` of the nodes of more than one part, with ``sets`` and ``outside``, how many sets
+    are in the node and outside its largest part, and ``few``, whether the row is compared with all others.
     """
-    parts = rows.groupBy("node", "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "id"), "id", "bits")).alias("hub"))
+    parts = rows.groupBy("node", "part").agg(F.count("*").alias("n"))
     nodes = (
         parts.groupBy("node")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"), F.min("hub").alias("hub"), F.count("*").alias("parts"))
+        .agg(F.sum("n").alias("sets"), F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"))
         .where("parts > 1")
-        .select("node", (F.col("n") - F.col("top.n")).alias("outside"), F.col("top.part").alias("top"), F.col("hub.id").alias("hub"), F.col("hub.bits").alias("hub_bits"))
+        .select("node", "sets", (F.col("sets") - F.col("top.n")).alias("outside"), F.col("top.part").alias("top"))
     )
-    inside = stored(rows.join(nodes, "node"), "inside")
-    similar = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most_apart
-    small = inside.where(F.col("outside") <= small_size)
-    few = small.where("part <> top").select("node", F.col("id").alias("x"), F.col("bits").alias("x_bits"), F.col("part").alias("x_part"))
-    # Two sets outside the largest part meet twice, so only one order of them is kept.
-    met = (F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("top")) | (F.col("id") < F.col("x")))
-    among = small.join(few, "node").where(met & similar(F.col("bits"), F.col("x_bits"))).select(F.col("id").alias("p"), F.col("x").alias("q"))
-    large = inside.where(F.col("outside") > small_size)
-    hubs = large.where((F.col("id") != F.col("hub")) & similar(F.col("bits"), F.col("hub_bits"))).select(F.col("id").alias("p"), F.col("hub").alias("q"))
-    pairs = among.union(hubs).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    return pairs, large.select("id", "bits", "part", "node")
+    drawn = F.pmod(F.xxhash64("node", "id", F.lit(4)), F.col("outside")) < SMALL
+    joined = rows.join(nodes, "node")
+    return stored(joined.withColumn("few", (F.col("part") != F.col("top")) & drawn).drop("top"), "inside")
+
+
+def _meetings(inside: DataFrame, most_apart: int) -> DataFrame:
+    """``node, slice, id, part, few``: whom to compare. The few of a node meet all others, slice by slice.
+
+    Sets without a partner by their sketches are left out.
+    """
+    one, two = inside.alias("one"), inside.alias("two")
+    close = (
+        (F.col("one.node") == F.col("two.node"))
+        & (F.col("one.part") != F.col("two.part"))
+        & (F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) <= most_apart)
+    )
+    slices = F.ceil(F.col("sets") / SLICE)
+    others = one.join(two.where("two.few"), close, "left_semi")
+    others = others.select("node", F.pmod(F.xxhash64("id"), slices).alias("slice"), "id", "part", F.lit(False).alias("few"))
+    few = one.where("one.few").join(two, close, "left_semi")
+    each = few.select("node", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), "id", "part", F.lit(True).alias("few"))
+    return others.union(each)
+
+
+def _compared(meetings: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs ``a, b`` of few and others in one slice that are of different parts and similar by their full sets."""
+
+    def similar(few: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
+        rows = [*few, *others]
+        sizes = np.array([len(r[2]) for r in rows])
+        _, place = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        different = int(place.max()) + 1
+        if different * len(rows) <= DENSE:
+            held = np.zeros((len(rows), different), np.float32)
+            held[np.repeat(np.arange(len(rows)), sizes), place] = 1
+            shared = (held[: len(few)] @ held.T).astype(np.int64)
+        else:
+            ends = np.cumsum(sizes)
+            shared = np.empty((len(few), len(rows)), np.int64)
+            for i in range(len(few)):
+                own = np.zeros(different, np.int32)
+                own[place[ends[i] - sizes[i] : ends[i]]] = 1
+                shared[i] = np.add.reduceat(own[place], ends - sizes)
+        enough = denominator * shared >= numerator * (sizes[: len(few), None] + sizes[None, :] - shared)
+        for i, j in zip(*np.nonzero(enough), strict=True):
+            if rows[i][1] != rows[j][1]:
+                yield max(rows[i][0], rows[j][0]), min(rows[i][0], rows[j][0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, few, others = None, [], []
+
+        def pairs() -> pa.RecordBatch:
+            found = sorted(set(similar(few, others))) if few and len(few) + len(others) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("node", "slice", "few", "id", "part", "shingles")]
+            for node, piece, is_few, doc, part, shingles in zip(*(c.to_pylist() for c in columns[:5]), columns[5], strict=True):
+                if (node, piece) != key:
+                    yield pairs()
+                    key, few, others = (node, piece), [], []
+                (few if is_few else others).append((doc, part, np.frombuffer(shingles.as_py(), np.uint64)))
+        yield pairs()
+
+    ship(sets.sparkSession)
+    met = sets.join(small_side(stored(meetings, "meetings")), "id")
+    dealt = met.select("node", "slice", "few", "id", "part", "shingles").repartition("node", "slice").sortWithinPartitions("node", "slice")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, trees: int = TREES) -> DataFrame:
@@ -161,27 +223,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     # Equal sets are one; the least document stands for them.
     sets = made.where("set_id is not null and doc_id is not null")
     reps = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "reps")
-    roots = F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("root")
-    rows = reps.select("id", "bits", F.col("id").alias("part"), roots, "tokens")
-    rows = rows.select("id", "bits", "part", F.explode(_children(F.col("root"), 1 / least)).alias("node"))
-    links = shingles = None
-    for level in range(LEVELS):
-        pairs, branching = _compared(rows, most_apart, SMALL if level < LEVELS - 1 else 2**62)
-        pairs, branching = stored(pairs, "pairs"), stored(branching, "branching")
-        if shingles is None:
-            named = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(branching.select("id")).distinct()
-            shingles = stored(_sets_of(docs, small_side(stored(named, "named")), words).distinct(), "sets")
-        fresh = _confirmed(pairs, shingles, numerator, denominator)
-        links = stars(fresh if links is None else links.union(fresh))
-        if branching.isEmpty():
-            break
+    roots = _roots(reps, trees, 1 / least)
+    candidates = _meetings(roots.withColumns({"part": F.col("id"), "sets": F.lit(1), "few": F.lit(True)}), most_apart).select("id")
+    shingles = stored(_sets_of(docs, small_side(stored(candidates.distinct(), "candidates")), words).distinct(), "sets")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    branching, level, started = None, 0, 0
+    while started < trees or (branching is not None and level < LEVELS):
+        fresh = roots.where(F.col("tree").between(started, started + STARTED[min(level, len(STARTED) - 1)] - 1)).select("id", "bits", "node", F.lit(None).cast("array<int>").alias("tokens"))
+        rows = fresh if branching is None else fresh.union(branching)
         labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
-        rows = (
-            branching.join(labels, "id", "left")
-            .withColumn("part", F.coalesce("label", "id"))
-            .join(reps.select("id", "tokens"), "id")
-            .select("id", "bits", "part", F.explode(_children(F.col("node"), 1 / least)).alias("node"))
-        )
+        rows = rows.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+        inside = _inside(rows)
+        links = stars(links.union(_compared(_meetings(inside, most_apart), shingles, numerator, denominator)))
+        large = inside.where(F.col("outside") > SMALL)
+        branching = None if large.isEmpty() else _branches(large, reps, 1 / least)
+        started += STARTED[min(level, len(STARTED) - 1)]
+        level += 1
     labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
     of_set = reps.join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("component_id"))
     return made.join(of_set, "set_id", "left").select(
