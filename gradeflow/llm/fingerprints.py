@@ -158,9 +158,11 @@ def neighbour_fingerprints(docs: DataFrame, slices: int = 0) -> DataFrame:
     last comes the first. The edited text has its last ``n // 2`` characters replaced by the first as many of the
     next document's. Other columns are ignored; an empty table gives no rows.
 
-    The ids are cut into slices at ids that occur. A slice is sorted on its own and needs one row of
-    the slice below, its greatest, which is a copy of the row at the cut.
+    The ids are cut into slices at ids that occur, at least ``SLICES`` and more as the session has more shuffle
+    partitions. A slice is sorted on its own and needs one row of the slice below, its greatest, which is a copy of
+    the row at the cut.
     """
+    slices = slices or max(SLICES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # About even cuts at ids that occur: at most ``slices`` numbers come to the driver.
     least, most, cuts = rows.agg(
