@@ -14,22 +14,38 @@ import numpy as np
 from tokenizers import Tokenizer
 
 # Chunks that a worker remembers; those met later are encoded each time. It only bounds memory.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 48
-_BLANKS = re.compile(r"\s\s|^\s|\s$")
+_OTHER_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _neat(text: str) -> bool:
+    """Every blank is a space or line end between two other characters."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER_BLANK.search(text):
+        return False
+    return not (text[0].isspace() or text[-1].isspace())
+
+
 class _Ids(dict):
-    """Chunk to ids as little-endian bytes, found on demand. ``before`` is put in front of the chunk."""
+    """Chunk to ids as little-endian bytes, found on demand. ``before`` is put in front of the chunk.
+
+    A mark after letters alone, in lower case too, is a chunk of its own to both tokenizers.
+    """
 
     def __init__(self, tokenizer: Tokenizer, before: str, kind: str) -> None:
         super().__init__()
         self.encode, self.before, self.kind = tokenizer.encode, before, kind
+        self.marks = {m: self._ids(m) for m in ",.;:!?"}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(self.before + chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        if chunk[-1:] in self.marks and (chunk[:-1] + chunk[:-1].lower()).isalpha():
+            return self[chunk[:-1]] + self.marks[chunk[-1]]
+        ids = self._ids(self.before + chunk)
         if len(chunk) <= LONGEST_REMEMBERED and len(self) < REMEMBERED:
             self[chunk] = ids
         return ids
@@ -50,7 +66,7 @@ class Subwords:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
         if not text:
             return b""
-        neat = not _BLANKS.search(text)
+        neat = _neat(text)
         lines = text.split("\n") if neat else _LINE_END.split(text)
         made = []
         for line in lines:
