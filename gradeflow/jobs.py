@@ -13,7 +13,8 @@ from gradeflow.operators import records, rubric, splits
 from gradeflow.operators.ordering import first_rows, with_row_index
 from gradeflow.sources import datasets, documents, tasks
 
-ROWS = {"train": 8, "test": 4}
+# All rows; a caller may ask for fewer.
+ROWS = {"train": 0, "test": 0}
 
 
 def _parts(train: DataFrame, test: DataFrame | None, order: Sequence[str], rows: dict[str, int]) -> DataFrame:

@@ -21,7 +21,7 @@ def row_index(
 ) -> DataFrame:
     """``by``, ``order``, ``carry`` and the dense 0-based position of every row in its ``by`` group.
 
-    ``by`` and ``order`` together must be unique. Rows are range-partitioned, so a
+    Rows with equal ``by`` and ``order`` get positions in any order. Rows are range-partitioned, so a
     group of any size is spread over all tasks: positions inside a partition are counted locally
     and shifted by the totals of the partitions before it. The sorted keys are checkpointed because
     both the counting and the shifting must see the same partition bounds.
@@ -45,8 +45,9 @@ def row_index(
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "index") -> DataFrame:
-    """``df`` with its row position added; see :func:`row_index` for what the keys must satisfy."""
-    return join_on(df, row_index(df, order, by, name), [*by, *order])
+    """``df`` with its row position added. Each row is numbered once, so ties get different positions in any order."""
+    carried = [c for c in df.columns if c not in (*by, *order)]
+    return row_index(df, order, by, name, carry=carried).select(*df.columns, name)
 
 
 def first_rows(df: DataFrame, rows: int, order: Sequence[str]) -> DataFrame:

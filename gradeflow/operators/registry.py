@@ -147,7 +147,7 @@ def draft_runs(configs: DataFrame, key: str, at: Column) -> DataFrame:
     usual_name = F.concat_ws("_", "algorithm", "dataset")
     config = F.struct(*[F.trim(c).alias(c) if c in TRIMMED else F.col(c) for c in CONFIG_FIELDS])
     return valid.select(
-        F.concat(F.lit("run_"), F.substring(F.md5(F.concat_ws("@", F.col(key).cast("string"), stamp)), 1, 12)).alias("id"),
+        F.concat(F.lit("run_"), F.md5(F.concat_ws("@", F.col(key).cast("string"), stamp))).alias("id"),
         F.coalesce(F.nullif(named, F.lit("")), usual_name).alias("name"),
         F.lit("draft").alias("status"),
         stamp.alias("created_at"),
@@ -173,7 +173,7 @@ def violations(
     max_train_rows: int = MAX_TRAIN_ROWS,
     max_val_rows: int = MAX_VAL_ROWS,
 ) -> DataFrame:
-    """Configurations with an array naming every rule they break, in rule order.
+    """Configurations with an array naming every rule they break, in rule order; a null field breaks its rule.
 
     The model must be in some algorithm's list. With a ``catalogue`` table (``id, models``) that is
     a join whose strategy Spark picks by size; without one the fixed catalogue is an in-list.
@@ -188,7 +188,7 @@ def violations(
         "train_rows": F.col("train_rows").between(1, max_train_rows),
         "val_rows": F.col("val_rows").between(1, max_val_rows),
     }
-    broken = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
     return checked.withColumn("violations", broken).drop("_known")
 
 

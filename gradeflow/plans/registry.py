@@ -302,7 +302,7 @@ def draft_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DRAFT_RUNS_SQL = f"""
-SELECT 'run_' || substr(md5(o_orderkey || '@2024-01-02T03:04:05Z'), 1, 12) AS id, algorithm || '_' || dataset AS name,
+SELECT 'run_' || md5(o_orderkey || '@2024-01-02T03:04:05Z') AS id, algorithm || '_' || dataset AS name,
   'draft' AS status, '2024-01-02T03:04:05Z' AS created_at, model, model AS teacher_model, steps
 FROM ({CONFIGS_SQL}) WHERE o_orderkey IN (SELECT o_orderkey FROM ({VIOLATIONS_SQL}) WHERE violations = '')
 """

@@ -204,7 +204,7 @@ def custom_reward(spark: SparkSession, folder: str) -> DataFrame:
     """A user's Column reward: the answer's length against a target, if it opens like the question."""
 
     def by_length(source: Column, solution: Column, truth: Column, info: Column) -> Column:
-        words = F.least(text.count_words(solution), F.lit(64)) / 64
+        words = text.count_words(solution) / 64
         return F.struct(words.alias("score"), F.startswith(solution, truth).alias("same_start"))
 
     return score(_scorable(spark, folder), by_length).select("conv_id", "score", "same_start")
@@ -273,7 +273,7 @@ def text_forms(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         text.normalize(F.col("text")).alias("normal"),
         text.normalize(F.concat(F.lit(" ,"), "text", F.lit(" ,")), restrip=False).alias("normal_open"),
-        text.safe_name(F.substring("text", 1, 60)).alias("name"),
+        text.safe_name(F.col("text")).alias("name"),
         text.stamped_name(F.col("source"), "sdpo", at).alias("run_name"),
     )
 
@@ -298,7 +298,7 @@ ORACLES: dict[str, str] = {
     "graded_score": GRADED_SQL,
     "rubric_score": RUBRIC_SQL,
     "routed_score": ROUTED_SQL,
-    "custom_reward": f"""SELECT conv_id, least(len(regexp_extract_all(solution, '\\S+')), 64) / 64.0::DOUBLE AS score,
+    "custom_reward": f"""SELECT conv_id, len(regexp_extract_all(solution, '\\S+')) / 64.0::DOUBLE AS score,
         starts_with(solution, truth) AS same_start FROM ({DIALOGUES_SQL})""",
     "python_reward": f"""SELECT conv_id, CASE WHEN starts_with(solution, truth) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
         AS score, coalesce(feedback, '') <> '' AS hinted FROM ({DIALOGUES_SQL})""",
@@ -306,7 +306,7 @@ ORACLES: dict[str, str] = {
     "trim_text": f"SELECT doc_id, {trim_sql('text', 1200)} AS text FROM documents",
     "text_forms": rf"""SELECT doc_id, {normalize_sql("text")} AS normal,
         {normalize_sql("' ,' || text || ' ,'", False)} AS normal_open,
-        regexp_replace(substring(text, 1, 60), '[^\p{{L}}\p{{N}}_-]', '_', 'g') AS name,
+        regexp_replace(text, '[^\p{{L}}\p{{N}}_-]', '_', 'g') AS name,
         source || '-sdpo-' || strftime(make_timestamp(n_chars * 1000000), '%Y%m%dT%H%M%SZ') AS run_name
         FROM documents""",
 }

@@ -127,3 +127,11 @@ def test_leaks_are_counted(spark):
 def test_without(spark):
     rows = spark.createDataFrame([("x",), ("y",)], "id string")
     assert [r["id"] for r in splits.without(rows, rows.where("id = 'x'"), "id").collect()] == ["y"]
+
+
+def test_ties_are_numbered_once(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "TOP_ROWS", 2)
+    rows = spark.createDataFrame([(1, k) for k in range(5)], "a int, b int")
+    made = ordering.with_row_index(rows, ["a"])
+    assert sorted(tuple(r)[2] for r in made.collect()) == list(range(5)) and made.columns == ["a", "b", "index"]
+    assert ordering.first_rows(rows, 4, ["a"]).count() == 4

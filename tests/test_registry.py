@@ -170,3 +170,9 @@ def test_drafts_and_launches(spark):
     assert {r["id"]: (r["status"], r["error"]) for r in asked} == {
         "a": ("queued", None), "b": ("running", "cannot launch a running run"), "c": ("queued", None)
     }
+
+
+def test_a_null_field_breaks_its_rule(spark):
+    kinds = "algorithm string, model string, dataset string, steps int, train_rows int, val_rows int"
+    bad = spark.createDataFrame([(None, None, None, None, None, None)], kinds)
+    assert set(registry.violations(bad).first()["violations"]) >= {"algorithm", "model and dataset", "steps", "train_rows", "val_rows"}

@@ -1,14 +1,11 @@
 from __future__ import annotations
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.functions import reward
 from gradeflow.operators import records
 from gradeflow.operators.scoring import graded_reward, score, score_responses
-from test_text import python_normal
 
 
 def graded(spark, rows, schema, column):
@@ -50,66 +47,45 @@ def test_worked_truth_matches_only_when_extracted(spark):
     assert graded(spark, rows, schema, read)[0]["score"] == 1.0
 
 
-def brute_rubric(solution, terms):
-    body = python_normal(solution, True)
-    wanted = [w for w in (python_normal(t, True) for t in terms) if w]
-    hits = len([w for w in wanted if w in body])
-    points = hits / max(len(wanted), 1)
-    points += 0.2 if len(solution.split()) >= 80 else 0.0
-    points -= 0.3 if "cannot provide legal advice" in body or "i can't" in body else 0.0
-    return min(max(points, 0.0), 1.0), len(wanted), hits
-
-
+# Response, terms, and by hand: score, terms that count, hits.
 RUBRIC_CASES = [
-    ("net debt " + "w " * 78, ["Net  Debt", "other"]),
-    ("I can't say these ten words here now ok", []),
-    ("w " * 79 + "\u00a0", ["w", "w", " , ", ""]),
-    ("w " * 80 + "I cannot provide legal advice", ["zzz"]),
-    ("", ["a"]),
-    ("A, b", ["a b", "A,"]),
+    ("net debt " + "w " * 78, ["Net  Debt", "other"], 0.7, 2, 1),
+    ("I can't say these ten words here now ok", [], 0.0, 0, 0),
+    ("w " * 79 + "\u00a0", ["w", "w", " , ", ""], 1.0, 2, 2),
+    ("w " * 80 + "I cannot provide legal advice", ["zzz"], 0.0, 1, 0),
+    ("w " * 80, ["zzz"], 0.2, 1, 0),
+    ("net debt, i can't", ["net debt"], 0.7, 1, 1),
+    ("", ["a"], 0.0, 1, 0),
+    ("A, b", ["a b", "A,"], 1.0, 2, 2),
 ]
 
 
 def test_rubric_score(spark):
     got = graded(
-        spark, RUBRIC_CASES, "s string, t array<string>", reward.rubric_score(F.col("s"), F.col("t"), F.lit(None))
+        spark, [case[:2] for case in RUBRIC_CASES], "s string, t array<string>", reward.rubric_score(F.col("s"), F.col("t"), F.lit(None))
     )
     for row, case in zip(got, RUBRIC_CASES, strict=True):
-        points, terms, hits = brute_rubric(*case)
+        points, terms, hits = case[2:]
         assert row["score"] == pytest.approx(points)
         assert (row["harvey_reward_terms"], row["harvey_reward_hits"]) == (terms, hits)
         assert row["sdpo_feedback_available"] is False
     assert got[0]["score"] == pytest.approx(0.7)
 
 
-# What counts as a term, in Python's dialect, in order of discovery.
-QUOTED = r"[\"'`]([^\"'`]{3,80})[\"'`]"
-NUMBER = r"\b\d+(?:\.\d+)?%?x?\b"
-CAPITALS = r"\b[A-Z][A-Za-z0-9&/-]*(?:\s+[A-Z][A-Za-z0-9&/-]*){0,5}\b"
-
-
-def brute_terms(criteria, limit=48):
-    texts = [part or "" for _, title, match, _ in criteria for part in (title, match)]
-    hits = [hit for pattern in (QUOTED, NUMBER, CAPITALS) for hit in re.findall(pattern, " ".join(texts))]
-    spaced = (" ".join(hit.split()) for hit in hits)
-    kept = dict.fromkeys(t for t in spaced if len(t) > 2 and t.casefold() not in ("pass", "fail", "agent", "issue"))
-    return list(kept)[:limit]
-
-
+# Criteria, and their terms by hand.
 TERM_CASES = [
-    [("1", 'Pass the "Net Debt" test at 3.5x', "", [])],
-    [("1", "Ciónue Élan ABc-é X_Y Z", "50% and 1,200 or 3.25% 12x 7", None), ("2", None, "The IRS Code-B  And R&D/IP", [])],
-    [("1", ". ".join(f"Term{i}a" for i in range(70)), "x", [])],
-    [("1", "a A- B& C/ d", "'ab' `abc` \"quote\nover\" 'it''s", [])],
-    [],
+    ([("1", 'Pass the "Net Debt" test at 3.5x', "", [])], ["Net Debt", "3.5x"]),
+    ([("1", "x", "50% and 12x 3.25%", []), ("2", None, "the IRS Code-B and R&D/IP", [])], ["12x", "3.25", "IRS Code-B", "R&D/IP"]),
+    ([("1", ". ".join(f"Term{i}a" for i in range(70)), "x", [])], [f"Term{i}a" for i in range(48)]),
+    ([("1", "x", "'ab' `abc` it", [])], ["abc"]),
+    ([], []),
 ]
 
 
 def test_reward_terms(spark):
     kind = "c array<struct<id:string,title:string,match_criteria:string,deliverables:array<string>>>"
-    got = graded(spark, [(c,) for c in TERM_CASES], kind, reward.reward_terms(F.col("c")))
-    assert got == [brute_terms(c) for c in TERM_CASES]
-    assert got[0] == ["Net Debt", "3.5x"] and len(got[2]) == 48
+    got = graded(spark, [(c,) for c, _ in TERM_CASES], kind, reward.reward_terms(F.col("c")))
+    assert got == [terms for _, terms in TERM_CASES]
 
 
 def test_python_reward_out_of_a_file(spark, tmp_path):

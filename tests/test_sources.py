@@ -15,7 +15,6 @@ from gradeflow.functions import rubric as rf
 from gradeflow.operators import rubric
 from gradeflow.sources import datasets, documents, runs, tasks
 from gradeflow.sources.paths import below
-from test_text import python_trim
 
 SCHEMA = "q string, n bigint"
 
@@ -202,8 +201,10 @@ def test_rubric_set_end_to_end(spark, tree, tmp_path, generated):
 def test_question_and_conversation_sets(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(12)], "id int, question string, answer string")
     out = str(tmp_path / "qa")
-    counts = {r["split"]: r["rows"] for r in jobs.build_question_set(rows, None, out, order=["id"], data_source="d").collect()}
+    counts = {r["split"]: r["rows"] for r in jobs.build_question_set(rows, None, out, order=["id"], rows={"train": 8, "test": 4}, data_source="d").collect()}
     assert counts == {"train": 8, "test": 4}
+    whole = jobs.build_question_set(rows, None, out + "0", order=["id"], data_source="d").collect()
+    assert {r["split"]: r["rows"] for r in whole} == {"train": 12, "test": 12}
     test = datasets.read_records(spark, out, "test").select("extra_info.index", "extra_info.answer").collect()
     assert {tuple(r) for r in test} == {(i, f"a{i}") for i in range(4)}
     every = jobs.build_distillation_set(rows, rows.limit(3), out + "2", order=["id"], rows={"train": 0, "test": 2}, data_source="d")
@@ -286,4 +287,7 @@ def test_documents_cut_before_gathering_leave_the_prompt_as_it_is(spark, limit):
     blocks = [f"\n### {path}\n{body}" for _, path, body in sorted(docs, key=lambda d: d[1].split("/"))]
     head = [rf.PROMPT_OPENING, "Task ID: t", "Title: T", "Work type: w", "Instructions: do", rf.DELIVERABLES_HEADING,
             "- out.md", rf.DOCUMENTS_HEADING]
-    assert got == python_trim("\n\n".join([*head, *blocks, rf.PROMPT_CLOSING]), limit)
+    whole = re.sub("\n{3,}", "\n\n", "\n\n".join([*head, *blocks, rf.PROMPT_CLOSING]).strip())
+    cut = got.removesuffix("\n[truncated]")
+    assert cut != got and whole.startswith(cut + "\n") and len(cut) <= limit
+    assert "\n" not in whole[len(cut) + 1 : limit]
