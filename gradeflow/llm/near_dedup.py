@@ -101,9 +101,11 @@ def _branches(large: DataFrame, reps: DataFrame, rate: float) -> DataFrame:
     known = large.where("tokens is not null").select("id", "bits", "sets", "node", "tokens")
     fresh = large.where("tokens is null").select("id", "bits", "sets", "node").join(reps.select("id", "tokens"), "id")
     made = known.unionByName(fresh)
+    nodes = F.array("node")
     for step in range(STEPS):
-        on = F.lit(True) if step < 2 else F.col("sets") > STEP_SIZE
-        made = made.withColumn("node", F.explode(F.when(on, _children(F.col("node"), rate)).otherwise(F.array("node"))))
+        further = F.flatten(F.transform(nodes, lambda node: _children(node, rate)))
+        nodes = further if step < 2 else F.when(F.col("sets") > STEP_SIZE, further).otherwise(nodes)
+    made = made.withColumn("node", F.explode(nodes))
     return made.select("id", "bits", "node", "tokens")
 
 
