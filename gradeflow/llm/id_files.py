@@ -117,11 +117,11 @@ def global_counts(ids: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                found = np.frombuffer(value.as_buffer(), "<u2")
-                total += np.bincount(found, minlength=1 << 16) if len(found) > 4096 else 0
-                if len(found) <= 4096:
-                    np.add.at(total, found, 1)
+            column = batch.column("ids").cast(pa.large_binary())
+            _, starts, data = column.buffers()
+            bounds = np.frombuffer(starts, np.int64)[column.offset : column.offset + len(column) + 1]
+            if data is not None:
+                total += np.bincount(np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view("<u2"), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
