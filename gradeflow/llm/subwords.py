@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 # Chunks that a worker remembers; those met later are encoded each time. It only bounds memory.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 48
 _OTHER_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
