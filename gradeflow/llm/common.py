@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gradeflow.session import fresh_path
 
 PACKAGE = Path(__file__).resolve().parent.parent
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=4)
