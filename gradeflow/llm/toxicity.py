@@ -24,6 +24,8 @@ PREFIXES = (4, 5, 6)
 # Bounds of the sample that the classifier is fitted on.
 POSITIVES, UNLABELLED, CALIBRATION = 3_000, 5_000, 5_000
 STEPS, RATE, LASSO, LEAST_USED = 200, 0.05, 1e-3, 4
+# Texts of the sample that a step works on at once; it only bounds the driver's memory.
+AT_ONCE = 256
 
 
 def feature_places(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -71,27 +73,32 @@ def fit_positive_unlabelled(positive: list[np.ndarray], unlabelled: list[np.ndar
     """The classifier with the least corrected risk; ``prior`` is the share of positives in unlabelled data."""
     size = 1 << BITS
     weights = np.zeros(size)
-    used = np.bincount(np.concatenate([*positive, np.empty(0, np.int32)]).astype(np.int64), minlength=size)
+    used = np.zeros(size, np.int32)
+    for places in positive:  # distinct in a text
+        used[places] += 1
     keep = np.flatnonzero(used >= min(LEAST_USED, max(2, len(positive) // 10)))
     if not len(keep) or not unlabelled:
         return Linear(weights, -40.0)
-    place = np.full(size, -1, np.int64)
+    place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
-    rows = [p[p >= 0] for p in (place[f] for f in [*positive, *unlabelled])]
-    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    lengths = [len(r) for r in rows]
+    texts, blocks = [*positive, *unlabelled], []
+    for at in range(0, len(texts), AT_ONCE):
+        part = [p[p >= 0] for p in (place[f] for f in texts[at : at + AT_ONCE])]
+        blocks.append((slice(at, at + len(part)), np.concatenate(part), np.array([len(p) for p in part])))
     n, m = len(positive), len(unlabelled)
     is_positive = np.arange(n + m) < n
     w, first, second = np.zeros(len(keep)), np.zeros(len(keep)), np.zeros(len(keep))
     offset, first_o, second_o = -2.0, 0.0, 0.0
     for t in range(1, STEPS + 1):
-        g = np.bincount(row, w[column], n + m) + offset
+        g = np.concatenate([np.bincount(np.repeat(np.arange(len(k)), k), w[column], len(k)) for _, column, k in blocks]) + offset
         s, as_negative = _sigmoid(g), np.logaddexp(0, g)
         if as_negative[~is_positive].mean() >= prior * as_negative[is_positive].mean():
             slope = np.where(is_positive, -prior * (1 - s) / n - prior * s / n, s / m)
         else:
             slope = np.where(is_positive, prior * s / n, -s / m)
-        down, down_o = np.bincount(column, np.repeat(slope, lengths), len(keep)), slope.sum()
+        down, down_o = np.zeros(len(keep)), slope.sum()
+        for own, column, k in blocks:
+            down += np.bincount(column, np.repeat(slope[own], k), len(keep))
         first, second = 0.9 * first + 0.1 * down, 0.99 * second + 0.01 * down * down
         first_o, second_o = 0.9 * first_o + 0.1 * down_o, 0.99 * second_o + 0.01 * down_o * down_o
         fix_first, fix_second = 1 - 0.9**t, 1 - 0.99**t
