@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -17,6 +18,9 @@ from gradeflow.session import fresh_path
 
 PACKAGE = Path(__file__).resolve().parent.parent
 CHUNK_BYTES = 1 << 19
+# Rows that Spark hands a Python worker at once, where the session allows more: whole texts are long rows.
+BATCH_ROWS = 2000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @lru_cache(maxsize=4)
@@ -29,7 +33,12 @@ def _package_zip() -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once per Spark context, so that worker caches outlive a task."""
+    """Give every executor this package, once per Spark context, so that worker caches outlive a task.
+
+    Also lowers the session's rows per Arrow batch to ``BATCH_ROWS``, which bounds the memory next to the heap.
+    """
+    if not 0 < int(spark.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_gradeflow_shipped", False):
         return
@@ -78,6 +87,14 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and what they hold adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, work: Callable, schema: str, text: str = "text") -> DataFrame:
     """``work(rows, bytes, offsets)`` gives the output columns for a run of input rows; all run in Arrow batches."""
 
@@ -86,6 +103,7 @@ def map_texts(df: DataFrame, work: Callable, schema: str, text: str = "text") ->
             place = batch.schema.get_field_index(text)
             for first, end, data, offsets in chunks(batch.column(place)):
                 yield work(batch.slice(first, end - first), data, offsets)
+        _give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -21,6 +21,8 @@ _RANDOM = np.random.default_rng(20_240_601)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
+# Words that are hashed at once: what a long text takes meanwhile is some 40 bytes for each of their bytes.
+WORDS_AT_ONCE = 1 << 15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,14 +75,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> Wo
 
 def word_hashes(data: np.ndarray, words: Words, lower: bool = False, letters: bool = False, prefix: int = 0) -> np.ndarray:
     """A 64-bit hash of each word, or of its first ``prefix`` bytes; with ``lower``, A to Z count as a to z."""
-    if not len(words.start):
-        return np.empty(0, np.uint64)
-    lengths = words.end - words.start
+    made = np.empty(len(words.start), np.uint64)
+    for at in range(0, len(made), WORDS_AT_ONCE):
+        own = slice(at, at + WORDS_AT_ONCE)
+        made[own] = _word_hashes(data, words.start[own], words.end[own], lower, _NO_LETTER if letters else _SPACE, prefix)
+    return made
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, cuts: np.ndarray, prefix: int) -> np.ndarray:
+    lengths = end - start
     first = np.zeros(len(lengths), np.int64)
     np.cumsum(lengths[:-1], out=first[1:])
     total = int(first[-1] + lengths[-1])
     within = np.arange(total) - np.repeat(first, lengths)
-    chars = data[~(_NO_LETTER if letters else _SPACE)[data]]
+    chars = data[start[0] : end[-1]]
+    chars = chars[~cuts[chars]]
     if lower:
         chars = _LOWER[chars]
     terms = _BYTE[chars] * powers(int(lengths.max()))[within]
