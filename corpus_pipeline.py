@@ -13,6 +13,9 @@ from gradeflow.llm.common import stored
 from gradeflow.llm.queries import BYTE_TOKENIZER
 from gradeflow.plans import table
 
+# Chunks that a worker remembers for packing; the workers of the stages before are still there and share the memory.
+REMEMBERED = 300_000
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic; the classifier learns from the labels of the folder."""
@@ -36,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 1024 tokens."""
-    return packing.pack(docs, BYTE_TOKENIZER)
+    return packing.pack(docs, BYTE_TOKENIZER, remembered=REMEMBERED)
 
 
 STAGES = [("toxicity", clean), ("near_dedup", one_of_each), ("passage_dedup", without_passages), ("mix", mixed), ("pack", packed)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.llm.common import map_texts, stored
-from gradeflow.llm.subwords import subwords
+from gradeflow.llm.subwords import REMEMBERED, subwords
 
 CAPACITY = 1024
 END = 2
@@ -88,7 +88,7 @@ def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> Data
     )
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` as little-endian 32-bit numbers.
 
     A document's ids are those of its text, null as empty, and ``end``. Longer ones are cut into pieces of
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     tail = np.array([end], "<u4").tobytes()
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        coder = subwords(tokenizer, drops_space=False)
+        coder = subwords(tokenizer, drops_space=False, remembered=remembered)
         doc, piece, start, length, crc, kept = [], [], [], [], [], []
         for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
             ids = coder.encode(text or "") + tail
@@ -124,11 +124,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """The pieces of :func:`token_pieces` with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
 
     Null and empty texts are the single id ``end``. Rows that repeat a document are packed as often as they
-    occur; null ids are kept. An empty table gives no rows. Other columns are ignored.
+    occur; null ids are kept. An empty table gives no rows. Other columns are ignored. ``remembered`` bounds the chunks that a
+    worker keeps with their ids.
     """
-    pieces = stored(token_pieces(docs, tokenizer, capacity, end, keep_ids), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer, capacity, end, keep_ids, remembered), "pieces")
     return place(pieces, ["doc_id", "piece", "ids_crc32"], capacity)

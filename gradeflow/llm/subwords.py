@@ -13,8 +13,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-# Chunks that a worker remembers; those met later are encoded each time. It only bounds memory.
-REMEMBERED = 300_000
+# Chunks that a worker remembers, some 200 bytes each; those met later are encoded each time. It only bounds memory.
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 48
 _OTHER_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
@@ -34,9 +34,9 @@ class _Ids(dict):
     A mark after letters alone, in lower case too, is a chunk of its own to both tokenizers.
     """
 
-    def __init__(self, tokenizer: Tokenizer, before: str, kind: str) -> None:
+    def __init__(self, tokenizer: Tokenizer, before: str, kind: str, remembered: int) -> None:
         super().__init__()
-        self.encode, self.before, self.kind = tokenizer.encode, before, kind
+        self.encode, self.before, self.kind, self.remembered = tokenizer.encode, before, kind, remembered
         self.marks = {m: self._ids(m) for m in ",.;:!?"}
 
     def _ids(self, text: str) -> bytes:
@@ -46,7 +46,7 @@ class _Ids(dict):
         if chunk[-1:] in self.marks and (chunk[:-1] + chunk[:-1].lower()).isalpha():
             return self[chunk[:-1]] + self.marks[chunk[-1]]
         ids = self._ids(self.before + chunk)
-        if len(chunk) <= LONGEST_REMEMBERED and len(self) < REMEMBERED:
+        if len(chunk) <= LONGEST_REMEMBERED and len(self) < self.remembered:
             self[chunk] = ids
         return ids
 
@@ -54,11 +54,11 @@ class _Ids(dict):
 class Subwords:
     """``kind`` is the numpy type of the ids. ``drops_space``: white space gives no ids; else it is part of them."""
 
-    def __init__(self, path: str, drops_space: bool, kind: str) -> None:
+    def __init__(self, path: str, drops_space: bool, kind: str, remembered: int) -> None:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space, self.kind = drops_space, kind
-        self.plain, self.spaced = _Ids(tokenizer, "", kind), _Ids(tokenizer, " ", kind)
+        self.plain, self.spaced = (_Ids(tokenizer, before, kind, remembered) for before in ("", " "))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, without special tokens."""
@@ -76,6 +76,6 @@ class Subwords:
 
 
 @lru_cache(maxsize=4)
-def subwords(path: str, drops_space: bool, kind: str = "<u4") -> Subwords:
+def subwords(path: str, drops_space: bool, kind: str = "<u4", remembered: int = REMEMBERED) -> Subwords:
     """One encoder for each worker and file."""
-    return Subwords(path, drops_space, kind)
+    return Subwords(path, drops_space, kind, remembered)
