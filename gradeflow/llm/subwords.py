@@ -54,7 +54,7 @@ class _Ids(dict):
 class Subwords:
     """``kind`` is the numpy type of the ids. ``drops_space``: white space gives no ids; else it is part of them."""
 
-    def __init__(self, path: str, drops_space: bool, kind: str, remembered: int) -> None:
+    def __init__(self, path: str, drops_space: bool, kind: str, remembered: int = REMEMBERED) -> None:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space, self.kind = drops_space, kind
