@@ -8,34 +8,21 @@ from pyspark.sql import functions as F
 from gradeflow.functions import conversation as conv
 from gradeflow.operators.frames import join_on
 
-# A conversation's turns become one array, and its trajectory one text cell. Up to this many turns
-# share a row; a longer conversation is given as several rows, numbered by ``segment``, that
-# together hold every turn.
-SEGMENT_TURNS = 65_536
-
-
-def _shaped(turns: DataFrame, key: str, position: str, role: str, text: str, segment_turns: int) -> DataFrame:
+def _shaped(turns: DataFrame, key: str, position: str, role: str, text: str) -> DataFrame:
     return turns.select(
         F.col(key),
         F.col(position).alias("_pos"),
         F.lower(F.coalesce(F.col(role), F.lit(""))).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.floor(F.col(position) / segment_turns).alias("segment"),
     )
 
 
-def _fit(turns: DataFrame, position: str, segment_turns: int) -> bool:
-    """Whether every conversation fits one segment, told by the highest turn number of all."""
-    last = turns.agg(F.max(position)).first()[0]
-    return last is None or last < segment_turns
+def _arrays(shaped: DataFrame, keys: list[str | Column]) -> DataFrame:
+    return shaped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "role", "text"))).alias("turns"))
 
 
-def _arrays(shaped: DataFrame, key: str, fit: bool) -> DataFrame:
-    """``key, segment, turns``. Where all conversations fit, the turns are shuffled by key alone."""
-    turns = F.array_sort(F.collect_list(F.struct("_pos", "role", "text"))).alias("turns")
-    if fit:
-        return shaped.groupBy(key).agg(turns).select(key, F.lit(0).cast("bigint").alias("segment"), "turns")
-    return shaped.groupBy(key, "segment").agg(turns).select(key, "segment", "turns")
+def _segment(segment_turns: int) -> Column:
+    return F.floor(F.col("_pos") / segment_turns).alias("segment")
 
 
 def turn_arrays(
@@ -44,15 +31,15 @@ def turn_arrays(
     position: str = "turn",
     role: str = "role",
     text: str = "text",
-    segment_turns: int = SEGMENT_TURNS,
+    segment_turns: int | None = None,
 ) -> DataFrame:
-    """``key, segment, turns`` with the turns as an ordered array of ``role, text``.
+    """``key, turns``: one row per conversation, its turns as an ordered array of ``role, text``.
 
-    ``position`` counts a conversation's turns from 0 or 1 without repeats, so no array is longer
-    than a segment and a conversation of any length is spread over many tasks.
+    With ``segment_turns`` it is ``key, segment, turns``, one row per so many positions, for conversations that no
+    single cell could hold; ``key, segment`` is then the key to join on.
     """
-    shaped = _shaped(turns, key, position, role, text, segment_turns)
-    return _arrays(shaped, key, _fit(turns, position, segment_turns))
+    shaped = _shaped(turns, key, position, role, text)
+    return _arrays(shaped, [key] if segment_turns is None else [key, _segment(segment_turns)])
 
 
 def conversation_fields(
@@ -61,19 +48,20 @@ def conversation_fields(
     position: str = "turn",
     role: str = "role",
     text: str = "text",
-    segment_turns: int = SEGMENT_TURNS,
+    segment_turns: int | None = None,
 ) -> DataFrame:
-    """``key, segment, prompt, answer, trajectory`` of a turn table; see :func:`turn_arrays`.
+    """``key, prompt, answer, trajectory``, one row per conversation of any length.
 
-    Prompt and answer are those of the whole conversation in each of its segments.
+    With ``segment_turns`` there is a ``segment`` after the key; see :func:`turn_arrays`. Prompt and answer are
+    then those of the whole conversation in each of its segments.
     """
-    shaped = _shaped(turns, key, position, role, text, segment_turns)
-    fit = _fit(turns, position, segment_turns)
-    parts = _arrays(shaped, key, fit).withColumn("_f", conv.conversation_fields(F.col("turns")))
-    if fit:
-        return parts.select(key, "segment", "_f.prompt", "_f.answer", "_f.trajectory")
+    parts = turn_arrays(turns, key, position, role, text, segment_turns)
+    parts = parts.withColumn("_f", conv.conversation_fields(F.col("turns")))
+    if segment_turns is None:
+        return parts.select(key, "_f.prompt", "_f.answer", "_f.trajectory")
     trajectories = parts.select(key, "segment", "_f.trajectory")
-    return join_on(trajectories, _ends(shaped, key), [key]).select(key, "segment", "prompt", "answer", "trajectory")
+    ends = _ends(_shaped(turns, key, position, role, text), key)
+    return join_on(trajectories, ends, [key]).select(key, "segment", "prompt", "answer", "trajectory")
 
 
 def _ends(shaped: DataFrame, key: str) -> DataFrame:

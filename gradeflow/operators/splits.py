@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.operators.ordering import row_index
 
-# Hash-prefix lengths: a stratum is ranked in 16**3 separate pieces, or in 16**2 where there are many strata.
+# Length of the hash prefix: every stratum is ranked in up to 16**3 separate pieces.
 PREFIX = 3
-PREFIX_OF_MANY = 2
-# Up to this many strata the round-robin position is a closed form over their sizes.
-FEW_STRATA = 64
 
 
-def stratum_ranks(df: DataFrame, id_col: str, stratum: str, seed: int = 17, prefix: int = PREFIX) -> DataFrame:
+def stratum_ranks(df: DataFrame, id_col: str, stratum: str, seed: int = 17) -> DataFrame:
     """``id, stratum, rank`` with ranks from 1 in the order of ``md5(seed/id)`` inside the stratum.
 
     The hash is uniform, so its leading digits cut a stratum into even, already ordered pieces.
@@ -25,7 +22,7 @@ def stratum_ranks(df: DataFrame, id_col: str, stratum: str, seed: int = 17, pref
         F.col(id_col),
         F.struct(stratum).alias("_stratum"),
         F.md5(F.concat(F.lit(f"{seed}/"), F.col(id_col).cast("string"))).alias("_hash"),
-    ).withColumn("_piece", F.substring("_hash", 1, prefix))
+    ).withColumn("_piece", F.substring("_hash", 1, PREFIX))
     sizes = hashed.groupBy("_stratum", "_piece").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("_stratum").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_stratum", "_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
@@ -40,31 +37,13 @@ def stratum_ranks(df: DataFrame, id_col: str, stratum: str, seed: int = 17, pref
 def round_robin(df: DataFrame, id_col: str, stratum: str, seed: int = 17) -> DataFrame:
     """``id, stratum, rank, position``: one of each stratum in turn until all strata are drained.
 
-    With few strata the position follows from their sizes alone. With many it is the row index of
-    the (rank, stratum) order. Neither sorts the table in one task.
+    The position is the row index of the (rank, stratum) order, for any number of strata.
     """
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("n")).orderBy(stratum).limit(FEW_STRATA + 1).collect()
-    few = len(sizes) <= FEW_STRATA
-    ranked = stratum_ranks(df, id_col, stratum, seed, PREFIX if few else PREFIX_OF_MANY)
-    if few:
-        return ranked.withColumn("position", _closed_position([(r[0], r[1]) for r in sizes], F.col(stratum)))
+    ranked = stratum_ranks(df, id_col, stratum, seed)
     indexed = row_index(ranked, ["rank", stratum], name="_index", carry=[id_col])
     return indexed.select(id_col, stratum, "rank", (F.col("_index") + 1).alias("position"))
 
 
-def _closed_position(sizes: list[tuple[object, int]], stratum: Column) -> Column:
-    """Rows dealt in earlier rounds plus strata at or before this one still dealt in this round."""
-    rank = F.col("rank")
-    place = F.lit(0)
-    for at, (name, _) in enumerate(sizes):
-        place = F.when(stratum.eqNullSafe(F.lit(name)), at).otherwise(place)
-    position = F.lit(0).cast("bigint")
-    for at, (_, size) in enumerate(sizes):
-        in_turn = (place >= at) & (F.lit(size) >= rank)
-        position = position + F.least(F.lit(size), rank - 1) + in_turn.cast("bigint")
-    return position
-
-
 def stratified_split(
     df: DataFrame, id_col: str, stratum: str, *, train: int, preview: int, seed: int = 17
 ) -> DataFrame:

@@ -31,7 +31,7 @@ def fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FIELDS_SQL = """
-SELECT conv_id, CAST(0 AS BIGINT) AS segment,
+SELECT conv_id,
        coalesce(arg_min(text, turn) FILTER (role IN ('human', 'user')), arg_min(text, turn), '') AS prompt,
        coalesce(arg_max(text, turn) FILTER (role IN ('gpt', 'assistant', 'agent')), '') AS answer,
        string_agg(CASE WHEN role = '' THEN 'turn' ELSE role END || ': ' || text, chr(10) ORDER BY turn) AS trajectory
@@ -61,7 +61,7 @@ FEEDBACK_EXTRA = (
 
 def chat_records(spark: SparkSession, folder: str) -> DataFrame:
     split = fields(spark, folder).withColumn("split", hash_split("conv_id"))
-    indexed = with_row_index(split, ["conv_id", "segment"], by=["split"])
+    indexed = with_row_index(split, ["conv_id"], by=["split"])
     made = records.conversation_records(
         indexed, index="index", split="split", data_source="agent/dialogues", suffix=DIALOGUE_SUFFIX
     )

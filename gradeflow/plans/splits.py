@@ -20,7 +20,7 @@ def stratified_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def many_strata_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as strata of their orders: far more strata than the closed form takes."""
+    """Customers as strata of their orders: many small strata."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return splits.round_robin(orders, "o_orderkey", "o_custkey")
 

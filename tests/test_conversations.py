@@ -53,6 +53,12 @@ def test_a_long_conversation_is_split_but_whole(turns):
     assert whole[2]["prompt"] == "s" and whole[2]["answer"] == "" and whole[3]["prompt"] == ""
 
 
+def test_one_row_per_conversation_at_any_turn_number(spark):
+    far = spark.createDataFrame([(1, 70_000, "user", "q"), (1, 140_000, "agent", "a"), (2, 5, "user", "x")], "conv_id int, turn int, role string, text string")
+    got = {r["conv_id"]: tuple(r)[1:] for r in conversation_fields(far).collect()}
+    assert got == {1: ("q", "a", "user: q\nagent: a"), 2: ("x", "", "user: x")}
+
+
 def test_no_array_is_longer_than_a_segment(turns):
     sizes = turn_arrays(turns, segment_turns=4).select(F.size("turns").alias("n")).collect()
     assert max(r["n"] for r in sizes) == 4 and sum(r["n"] for r in sizes) == turns.count()

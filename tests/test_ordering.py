@@ -83,16 +83,12 @@ def dealt(rows, seed):
     return order
 
 
-@pytest.mark.parametrize("few", [64, 2])
-def test_round_robin_with_few_and_many_strata(skewed, monkeypatch, few):
-    monkeypatch.setattr(splits, "FEW_STRATA", few)
+def test_round_robin_deals_one_of_each_stratum_in_turn(skewed):
     got = [r["id"] for r in splits.round_robin(skewed, "id", "g", seed=3).orderBy("position").collect()]
     assert got == dealt(skewed.collect(), 3)
 
 
-@pytest.mark.parametrize("few", [64, 1])
-def test_rows_without_a_group_are_kept(spark, monkeypatch, few):
-    monkeypatch.setattr(splits, "FEW_STRATA", few)
+def test_rows_without_a_group_are_kept(spark):
     rows = spark.createDataFrame([(i, None if i % 2 else "a", f"v{i}") for i in range(9)], "id long, g string, v string")
     dealt_out = splits.round_robin(rows, "id", "g").orderBy("position").collect()
     assert [r["position"] for r in dealt_out] == list(range(1, 10))
