@@ -9,7 +9,9 @@ from gradeflow.functions.text import text_or, trim_text
 
 CRITERIA_TYPE = "array<struct<id:string,title:string,match_criteria:string,deliverables:array<string>>>"
 RESULTS_TYPE = "array<struct<id:string,title:string,verdict:string,reasoning:string>>"
-SCORES_TYPE = f"struct<summary:string,score:double,all_pass:boolean,criteria_results:{RESULTS_TYPE}>"
+JUDGED_TYPE = f"struct<summary:string,score:double,all_pass:boolean,criteria_results:{RESULTS_TYPE}>"
+# What is read out of a judge's JSON text, and the text itself.
+SCORES_TYPE = JUDGED_TYPE.removesuffix(">") + ",whole:string>"
 TASK_TYPE = (
     f"struct<title:string,work_type:string,instructions:string,deliverables:map<string,string>,criteria:{CRITERIA_TYPE}>"
 )
@@ -116,10 +118,16 @@ def fallback_attempt(title: Column, criteria: Column) -> Column:
     )
 
 
+def _members(scores: Column) -> Column:
+    """The members of the judge's JSON object; null where there is no such text."""
+    return F.try_variant_get(F.try_parse_json(scores["whole"]), "$", "map<string,variant>")
+
+
 def is_scored(scores: Column) -> Column:
     """Whether there are scores; an empty JSON object counts as none."""
     fields = ("summary", "score", "all_pass", "criteria_results")
-    return scores.isNotNull() & F.coalesce(*[scores[f].cast("string") for f in fields]).isNotNull()
+    read = F.coalesce(*[scores[f].cast("string") for f in fields]).isNotNull()
+    return scores.isNotNull() & (read | F.coalesce(F.size(F.map_keys(_members(scores))) > 0, F.lit(False)))
 
 
 def feedback_text(criteria: Column, scores: Column, limit: int = FEEDBACK_CHARS) -> Column:
@@ -149,7 +157,10 @@ def feedback_text(criteria: Column, scores: Column, limit: int = FEEDBACK_CHARS)
 
 
 def scores_json(scores: Column) -> Column:
-    """The scores as JSON with sorted keys; ``{}`` where there are none."""
+    """The scores as compact JSON with sorted keys, all fields of the judge's text among them; ``{}`` where there are none.
+
+    Scores that came without a text hold the known fields only, and leave out those without a value.
+    """
     results = F.transform(
         scores["criteria_results"],
         lambda r: F.struct(
@@ -161,4 +172,14 @@ def scores_json(scores: Column) -> Column:
         scores["all_pass"].alias("all_pass"), results.alias("criteria_results"),
         scores["score"].alias("score"), scores["summary"].alias("summary"),
     )
-    return F.when(is_scored(scores), F.to_json(ordered)).otherwise("{}")
+    members = _members(scores)
+    # A variant drops the zeros of 0.0, so the score's digits are those of the text.
+    digits = F.from_json(scores["whole"], "map<string,string>")["score"]
+
+    def member(name: Column) -> Column:
+        written = F.to_json(F.create_map(name, F.element_at(members, name)))
+        as_read = F.when((name == "score") & scores["score"].isNotNull(), F.concat(F.lit('"score":'), digits))
+        return F.coalesce(as_read, F.substr(written, F.lit(2), F.length(written) - 2))
+
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(members)), member), ","), F.lit("}"))
+    return F.when(is_scored(scores), F.coalesce(whole, F.to_json(ordered))).otherwise("{}")

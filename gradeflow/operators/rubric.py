@@ -87,7 +87,10 @@ def with_scores(tasks: DataFrame, scores: DataFrame | None) -> DataFrame:
     if scores is None:
         joined = tasks.withColumn("scores", F.lit(None).cast(rf.SCORES_TYPE))
     else:
-        joined = tasks.join(scores.select("task_id", "scores"), "task_id", "left")
+        read = F.col("scores")
+        if "whole" not in scores.schema["scores"].dataType.names:
+            read = F.when(read.isNotNull(), read.withField("whole", F.lit(None).cast("string")))
+        joined = tasks.join(scores.select("task_id", read.alias("scores")), "task_id", "left")
     return joined.withColumn("feedback", rf.feedback_text(F.col("criteria"), F.col("scores")))
 
 

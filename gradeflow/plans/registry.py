@@ -102,7 +102,7 @@ def _stores(spark: SparkSession, folder: str) -> DataFrame:
 def run_store_metrics(spark: SparkSession, folder: str) -> DataFrame:
     stored = _stores(spark, folder)
     configured = stored.select(F.col("id").alias("run_id"), "status", F.col("config.steps").alias("configured"))
-    return runs.run_metrics(stored).join(configured, "run_id").drop("distillation_loss", "teacher_kl")
+    return runs.run_metrics(stored).join(configured, "run_id").drop("distillation_loss", "teacher_kl", "whole")
 
 
 STORE_METRICS_SQL = f"""
@@ -138,8 +138,8 @@ def as_payloads(events: DataFrame) -> DataFrame:
     number = event.cast("string")
     step, cents = (event % 10).cast("string"), F.floor(F.col("value") * 100).cast("string")
     measured = F.concat(
-        F.lit('{"metrics": [{"step": '), step, F.lit(', "reward": '), cents,
-        F.lit('}, {"step": 99}], "status": "running"}'),
+        F.lit('{"metrics": [1, {"step": '), step, F.lit(', "reward": "'), cents, F.lit('", "entropy": '), step,
+        F.lit('}, {"step": 99}, {"step": "x"}], "status": "running"}'),
     )
     told = F.concat(
         F.lit('{"logs": ["line '), number, F.lit('", "done"], "traces": [{"id": "t'), number,
@@ -158,13 +158,15 @@ def as_payloads(events: DataFrame) -> DataFrame:
 
 
 def _shown(current: DataFrame) -> DataFrame:
-    return current.select(
+    entropy = F.try_variant_get(F.get("metrics", F.lit(0))["whole"], "$.entropy", "bigint")
+    return ingest.typed(current).select(
         "run_id",
         "seq",
         "status",
         F.when(F.col("metrics").isNotNull(), F.size("metrics")).alias("n_metrics"),
         F.get("metrics", F.lit(0))["step"].alias("first_step"),
         F.get("metrics", F.lit(0))["reward"].alias("first_reward"),
+        entropy.alias("first_entropy"),
         F.get("traces", F.lit(0))["id"].alias("trace"),
         F.array_join("logs", "|").alias("logs"),
     )
@@ -182,6 +184,7 @@ SELECT CAST(user_id AS VARCHAR) AS run_id, max(event_id) AS seq,
   max(CASE WHEN event_type = 'purchase' THEN 2 END) AS n_metrics,
   arg_max(event_id % 10, event_id) FILTER (event_type = 'purchase') AS first_step,
   arg_max(CAST(floor(value * 100) AS DOUBLE), event_id) FILTER (event_type = 'purchase') AS first_reward,
+  arg_max(event_id % 10, event_id) FILTER (event_type = 'purchase') AS first_entropy,
   arg_max('t' || event_id, event_id) FILTER (event_type = 'view') AS trace,
   arg_max('line ' || event_id || '|done', event_id) FILTER (event_type = 'view') AS logs
 FROM events WHERE event_type IN ('purchase', 'view', 'click') GROUP BY user_id

@@ -47,20 +47,24 @@ def _tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents as judged tasks: results for two criteria and one unknown id."""
+    """Labelled documents as judged tasks: results for two criteria and one unknown id, fields the engine doesn't know."""
     results = F.array(
         F.struct(F.lit("C1").alias("id"), F.lit("first").alias("title"),
-                 F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"), F.lit("seen").alias("reasoning")),
+                 F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"), F.lit("seen").alias("reasoning"),
+                 F.lit(2).alias("weight")),
         F.struct(F.lit("C2").alias("id"), F.lit("second").alias("title"),
-                 F.lit(None).cast("string").alias("verdict"), F.lit("not seen").alias("reasoning")),
+                 F.lit(None).cast("string").alias("verdict"), F.lit("not seen").alias("reasoning"),
+                 F.lit(None).cast("int").alias("weight")),
         F.struct(F.lit("X").alias("id"), F.lit("third").alias("title"),
-                 F.lit("Fail").alias("verdict"), F.lit("odd").alias("reasoning")),
+                 F.lit("Fail").alias("verdict"), F.lit("odd").alias("reasoning"),
+                 F.lit(None).cast("int").alias("weight")),
     )
     scores = F.struct(
         F.when(F.col("toxic") == 1, "Judged toxic").alias("summary"),
         (F.col("quality") / 2).alias("score"),
         (F.col("toxic") == 0).alias("all_pass"),
         results.alias("criteria_results"),
+        F.col("lang").alias("judge_model"),
     )
     judged = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
     task_id = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"))
@@ -107,8 +111,8 @@ FROM ({TASKS_SQL}) t LEFT JOIN labels l ON t.doc_id = l.doc_id
 """
 SCORES_JSON_SQL = """CASE WHEN judged THEN '{"all_pass":' || (toxic = 0) || ',"criteria_results":['
   || '{"id":"C1","reasoning":"seen","title":"first","verdict":"'
-  || CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END || '"},{"id":"C2","reasoning":"not seen","title":"second"},'
-  || '{"id":"X","reasoning":"odd","title":"third","verdict":"Fail"}],"score":'
+  || CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END || '","weight":2},{"id":"C2","reasoning":"not seen","title":"second"},'
+  || '{"id":"X","reasoning":"odd","title":"third","verdict":"Fail"}],"judge_model":"' || lang || '","score":'
   || CASE WHEN quality = 1 THEN '0.5' ELSE '0.0' END || CASE WHEN toxic = 1 THEN ',"summary":"Judged toxic"}' ELSE '}' END
   ELSE '{}' END"""
 FEEDBACK_SQL = f"SELECT task_id, {trim_sql('told', 3200)} AS feedback, {SCORES_JSON_SQL} AS scores_json FROM ({JUDGED_SQL})"

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.operators.ingest import METRIC_TYPE, TRACE_TYPE
+from gradeflow.operators.ingest import METRIC_FIELDS, TRACE_FIELDS, is_object, read_object, read_texts
 
-CONFIG_TYPE = (
-    "struct<algorithm:string,model:string,teacher_model:string,dataset:string,steps:bigint,train_rows:bigint,"
-    "val_rows:bigint,hint_placement:string,hint:string,topology:string,smoke_gpu:boolean>"
-)
-RUN_TYPE = (
-    "struct<id:string,name:string,status:string,created_at:string,updated_at:string,"
-    f"config:{CONFIG_TYPE},command:array<string>,metrics:array<{METRIC_TYPE}>,traces:array<{TRACE_TYPE}>,"
-    "logs:array<string>,job:struct<pid:bigint,backend:string,app_id:string,command:array<string>,image:string>>"
-)
-
-
-STORE_TYPE = f"struct<runs:array<{RUN_TYPE}>>"
+TEXTS = ("id", "name", "status", "created_at", "updated_at")
+CONFIG_FIELDS = {
+    **dict.fromkeys(("algorithm", "model", "teacher_model", "dataset", "hint_placement", "hint", "topology"), "string"),
+    **dict.fromkeys(("steps", "train_rows", "val_rows"), "bigint"),
+    "smoke_gpu": "boolean",
+}
+JOB_FIELDS = {"pid": "bigint", "backend": "string", "app_id": "string", "command": "array<string>", "image": "string"}
 
 
 def read_run_store(spark: SparkSession, path: str) -> DataFrame:
@@ -27,9 +22,31 @@ def read_run_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_run_stores(documents: DataFrame, text: str = "value") -> DataFrame:
-    """One row per run of each document; a broken document fails the job."""
-    store = F.from_json(text, STORE_TYPE, {"mode": "FAILFAST"})
-    return documents.select(F.explode(store["runs"]).alias("_run")).select("_run.*")
+    """One row per run of each document; a broken document fails the job.
+
+    ``whole`` is the run as it stands in the document; so are ``whole`` of its config, job, metrics and traces. Other
+    columns are what is read out of them.
+    """
+    store = F.from_json(text, "struct<runs:array<variant>>", {"mode": "FAILFAST"})
+    run = F.col("whole")
+
+    def elements(name: str) -> Column:
+        return F.try_variant_get(run, f"$.{name}", "array<variant>")
+
+    def part(name: str, fields: dict[str, str]) -> Column:
+        value = F.try_variant_get(run, f"$.{name}", "variant")
+        return F.when(is_object(value), read_object(value, fields)).alias(name)
+
+    return documents.select(F.explode(store["runs"]).alias("whole")).select(
+        *[F.try_variant_get(run, f"$.{name}", "string").alias(name) for name in TEXTS],
+        part("config", CONFIG_FIELDS),
+        F.try_variant_get(run, "$.command", "array<string>").alias("command"),
+        F.transform(elements("metrics"), lambda v: read_object(v, METRIC_FIELDS)).alias("metrics"),
+        F.transform(elements("traces"), lambda v: read_object(v, TRACE_FIELDS)).alias("traces"),
+        read_texts(elements("logs")).alias("logs"),
+        part("job", JOB_FIELDS),
+        "whole",
+    )
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:

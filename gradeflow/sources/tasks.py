@@ -52,7 +52,8 @@ def read_scores(spark: SparkSession, root: str) -> DataFrame:
 
 def parse_scores(texts: DataFrame, text: str = "value") -> DataFrame:
     """``task_id, scores`` from ``task_id`` and a judge's JSON text; a broken text fails the job."""
-    return texts.select("task_id", F.from_json(text, rf.SCORES_TYPE, {"mode": "FAILFAST"}).alias("scores"))
+    read = F.from_json(text, rf.JUDGED_TYPE, {"mode": "FAILFAST"})
+    return texts.select("task_id", F.when(read.isNotNull(), read.withField("whole", F.col(text))).alias("scores"))
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

@@ -67,10 +67,23 @@ def test_ingest_replaces_only_what_it_carries(spark):
     rows = spark.createDataFrame([("r", seq, body) for seq, body, _ in PAYLOADS], "run_id string, seq int, payload string")
     parsed = ingest.parse_payloads(rows)
     assert {r["seq"]: r["error"] for r in parsed.collect()} == {seq: error for seq, _, error in PAYLOADS}
-    now = ingest.current(ingest.accepted(parsed)).first()
+    now = ingest.typed(ingest.current(ingest.accepted(parsed))).first()
     assert (now["seq"], now["status"], now["logs"], now["metrics"][0]["reward"], now["traces"]) == (9, "running", [], 0.5, None)
 
 
+def test_ingest_keeps_what_it_does_not_know_and_sets_aside_what_does_not_fit(spark):
+    first = '{"metrics": [{"step": 1}], "logs": ["a", 2, {"q": [1]}]}'
+    second = '{"metrics": [1, {"step": "x"}, {"step": null, "reward": "0.5", "entropy": 2}], "traces": [[], {"id": "t", "k": 1}]}'
+    rows = spark.createDataFrame([("r", 1, first), ("r", 2, second)], "run_id string, seq int, payload string")
+    now = ingest.current(ingest.accepted(ingest.parse_payloads(rows)))
+    shown = ingest.typed(now).select(
+        "logs", F.to_json("metrics.whole").alias("metrics"), F.col("metrics.reward").alias("rewards"), F.to_json("traces.whole").alias("traces")
+    ).first()
+    assert tuple(shown) == (["a", "2", '{"q":[1]}'], '[{"entropy":2,"reward":"0.5","step":null}]', [0.5], '[{"id":"t","k":1}]')
+    left = {tuple(r) for r in ingest.misfits(now, "run_id").collect()}
+    assert left == {("r", "metrics", "1"), ("r", "metrics", '{"step":"x"}'), ("r", "traces", "[]")}
+
+
 def test_transitions(spark):
     steps = ["draft", "queued", "running", "failed", "queued", "completed"]
     rows = spark.createDataFrame([("r", i, s) for i, s in enumerate(steps)], "id string, seq int, status string")

@@ -218,7 +218,7 @@ def test_question_and_conversation_sets(spark, tmp_path):
 
 def test_run_store(spark, tmp_path):
     run = {
-        "id": "r1", "name": "n", "status": "draft", "created_at": "2024-01-01T00:00:00+00:00", "config": {"model": "m", "steps": 4},
+        "id": "r1", "name": "n", "status": "draft", "created_at": "2024-01-01T00:00:00+00:00", "config": {"model": "m", "steps": 4, "seed": 7},
         "metrics": [{"step": 1, "reward": 0.5}], "logs": ["a", "b"],
         "traces": [{"id": "t", "reward": 1.0, "tokens": [{"text": "x", "delta": 0.3, "selected": True}]}],
     }
@@ -228,6 +228,7 @@ def test_run_store(spark, tmp_path):
     assert {tuple(r) for r in runs.run_logs(found).collect()} == {("r1", 0, "a"), ("r1", 1, "b")}
     assert runs.run_metrics(found).where("run_id = 'r2'").first()["reward"] == 0.5
     assert runs.run_traces(found).first()["tokens"][0]["delta"] == 0.3
+    assert json.loads(found.select(F.to_json("whole")).first()[0]) == run
 
 
 @pytest.mark.parametrize("root, path, inside", [
@@ -246,7 +247,13 @@ def test_paths_below_a_root(root, path, inside):
 SCORED = [
     (None, "- A t: m\n- B : ", "{}"),
     ("{}", "- A t: m\n- B : ", "{}"),
-    ('{"score": 1}', "Harvey LAB rubric feedback", '{"score":1.0}'),
+    ('{"score": 1}', "Harvey LAB rubric feedback", '{"score":1}'),
+    ('{"weight": 2, "judge_model": "j"}', "Harvey LAB rubric feedback", '{"judge_model":"j","weight":2}'),
+    (
+        '{"score": 0.0, "note": null, "criteria_results": [{"weight": 0.5, "verdict": "pass", "id": "A", "seen": {"b": [1], "a": true}}]}',
+        "Harvey LAB rubric feedback\n- PASS A: \n  Judge reasoning:",
+        '{"criteria_results":[{"id":"A","seen":{"a":true,"b":[1]},"verdict":"pass","weight":0.5}],"note":null,"score":0.0}',
+    ),
     (
         '{"summary": "S", "criteria_results": [{"id": "A", "verdict": "Fail"}, {"id": "Z"}, {"id": "B"}, {"verdict": "ok", "title": "T"}]}',
         "S\n- FAIL A: \n  Judge reasoning: \n  Required standard: m\n- FAIL Z: \n  Judge reasoning: \n- FAIL B: \n"
