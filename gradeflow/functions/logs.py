@@ -104,3 +104,42 @@ def is_fresh_step(line: Column, step: int, exact: bool = False) -> Column:
     else:
         found = contains_any(line, spellings)
     return found & ~is_resume(line)
+
+
+# What must not be shown of a line: the pattern of each kind; a first group, where there is one, stays.
+SECRETS = {
+    "bearer": r"(?i)(\bbearer )[A-Za-z0-9._~+/=-]{8,}",
+    "access_key": r"()\b(?:sk-|sk_|hf_|ghp_|AKIA)[A-Za-z0-9_-]{12,}",
+    "signed_url": r"(?i)([?&](?:x-amz-signature|signature|sig|token)=)[^&\s]+",
+    "assigned": r"(?i)(\b(?:password|passwd|secret|api_key|apikey)\s?[=:]\s?)[^\s,;]+",
+}
+MASK = "[redacted]"
+
+
+def redact(line: Column) -> Column:
+    """``struct<line, and per kind of secret the number of hits>``; kinds are masked in turn, null stays null."""
+    hits, left = [], line
+    for kind, pattern in SECRETS.items():
+        hits.append(F.regexp_count(left, F.lit(pattern)).alias(kind))
+        left = F.regexp_replace(left, pattern, rf"$1{MASK}")
+    return F.struct(left.alias("line"), *hits)
+
+
+# Kinds of failure and the texts, in lower case, that tell them; the first kind with a text in the line is its kind.
+FAILURE_KINDS = {
+    "memory": ("out of memory", "oom-kill", "cannot allocate"),
+    "device": ("cuda error", "nccl", "ecc error"),
+    "time": ("timeout", "timed out", "deadline exceeded"),
+    "import": ("importerror", "modulenotfounderror"),
+    "access": ("permission denied", "unauthorized", "forbidden"),
+    "storage": ("no space left", "filenotfounderror"),
+    "value": ("valueerror", "indexerror", "keyerror", "typeerror"),
+}
+OTHER_FAILURE = "other"
+
+
+def failure_kind(line: Column) -> Column:
+    """The kind of failure that a line tells; ``other`` for a failure of no kind, null for a line without one."""
+    lowered = F.lower(line)
+    kinds = [F.when(contains_any(lowered, texts), F.lit(kind)) for kind, texts in FAILURE_KINDS.items()]
+    return F.coalesce(*kinds, F.when(is_failure(line), F.lit(OTHER_FAILURE)))

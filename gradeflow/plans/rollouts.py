@@ -1,10 +1,11 @@
-"""Advantages, sampling filters and evaluation figures over events, responses and token tables."""
+"""Advantages, sampling filters, evaluation figures, masked and failing lines over events, responses and token tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeflow.functions import logs
 from gradeflow.functions.reward import graded_score
 from gradeflow.operators import rollouts, traces
 from gradeflow.plans import Query, table
@@ -111,6 +112,42 @@ FROM (SELECT vec_id, round(-1.7::DOUBLE + delta, 3) AS student, round(-1.7::DOUB
       FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS delta FROM embeddings)) GROUP BY vec_id
 """
 
+def redacted_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a secret of some kind put in, masked."""
+    docs = table(spark, folder, "documents")
+    number = F.col("doc_id").cast("string")
+    planted = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Authorization: Bearer abcdef."), number, F.lit("/x= sent sk-0123456789ab"), number))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("GET https://x.y/z?a=1&Signature="), number, F.lit("%2F&b=2 password: p"), number))
+        .otherwise("")
+    )
+    shown = docs.select("doc_id", logs.redact(F.concat(planted, F.lit(" "), "text")).alias("r"))
+    return shown.select("doc_id", "r.*")
+
+
+def _redact_sql() -> str:
+    inner = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Authorization: Bearer abcdef.' || doc_id || '/x= sent sk-0123456789ab' || doc_id
+        WHEN 1 THEN 'GET https://x.y/z?a=1&Signature=' || doc_id || '%2F&b=2 password: p' || doc_id ELSE '' END || ' ' || text AS line
+      FROM documents"""
+    for kind, pattern in logs.SECRETS.items():
+        inner = f"""SELECT * REPLACE (regexp_replace(line, '{pattern}', '\\1{logs.MASK}', 'g') AS line),
+            CAST(len(regexp_extract_all(line, '{pattern}')) AS INTEGER) AS {kind} FROM ({inner})"""
+    return inner
+
+
+def failure_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines made of events, counted by the kind of failure they tell."""
+    texts = ("CUDA out of memory", "NCCL watchdog Timeout", "request timed out", "RuntimeError: odd", "step done", "KeyError: x")
+    line = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % len(texts) + 1).cast("int"))
+    lines = table(spark, folder, "events").select(F.concat_ws(" ", "event_type", line).alias("line"))
+    return lines.groupBy(logs.failure_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("lines"))
+
+
+KINDS_SQL = """
+SELECT CASE event_id % 6 WHEN 0 THEN 'memory' WHEN 1 THEN 'device' WHEN 2 THEN 'time' WHEN 3 THEN 'other' WHEN 5 THEN 'value' END AS kind,
+  count(*) AS lines FROM events GROUP BY 1
+"""
+
 QUERIES: dict[str, Query] = {
     "group_advantages": group_advantages,
     "dynamic_sampling": dynamic_sampling,
@@ -118,6 +155,8 @@ QUERIES: dict[str, Query] = {
     "evaluation_figures": evaluation_figures,
     "feedback_used": feedback_used,
     "token_divergence": token_divergence,
+    "redacted_lines": redacted_lines,
+    "failure_kinds": failure_kinds,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +166,6 @@ ORACLES: dict[str, str] = {
     "evaluation_figures": EVALUATION_SQL,
     "feedback_used": USED_SQL,
     "token_divergence": DIVERGENCE_SQL,
+    "redacted_lines": _redact_sql(),
+    "failure_kinds": KINDS_SQL,
 }

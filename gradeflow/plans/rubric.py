@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,13 +266,13 @@ def run_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _runs(spark, folder, _split_tasks(spark, folder))
 
 
+POSITIONS_SQL = """SELECT *, row_number() OVER (ORDER BY rank, lang) AS position FROM (
+    SELECT doc_id, lang, lang || '/' || doc_id AS task_id,
+      row_number() OVER (PARTITION BY lang ORDER BY md5('17/' || lang || '/' || doc_id)) AS rank FROM documents)"""
 RUN_ROWS_SQL = f"""
 SELECT p.task_id, CASE WHEN position <= 8 THEN 'train' ELSE 'eval_preview' END AS split,
   'harvey_sdpo/' || p.task_id || '/qwen36_35b_a3b/{STAMP_TEXT}' AS run_id, quality / 2 AS score, toxic = 0 AS all_pass
-FROM (SELECT *, row_number() OVER (ORDER BY rank, lang) AS position FROM (
-    SELECT doc_id, lang, lang || '/' || doc_id AS task_id,
-      row_number() OVER (PARTITION BY lang ORDER BY md5('17/' || lang || '/' || doc_id)) AS rank FROM documents)) p
-LEFT JOIN labels l ON p.doc_id = l.doc_id WHERE position <= 10
+FROM ({POSITIONS_SQL}) p LEFT JOIN labels l ON p.doc_id = l.doc_id WHERE position <= 10
 """
 
 
@@ -282,6 +284,20 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_LISTED = "string_agg('\"' || task_id || '\"', ',' ORDER BY position) FILTER ({which})"
+_NOTES_JSON = json.dumps(rubric.NOTES, separators=(",", ":")).replace("'", "''")
+MANIFEST_SQL = f"""
+SELECT '{{"created_at":"{STAMP}","model":"student","train_tasks":[' || train || '],"heldout_eval_count":' || held
+  || ',"eval_preview_tasks":[' || preview || '],"runs":[' || runs
+  || '],"paths":{{"train_parquet":"records/split=train","test_parquet":"records/split=test"}},"notes":{_NOTES_JSON}}}' AS manifest
+FROM (SELECT {_LISTED.format(which="position <= 8")} AS train, {_LISTED.format(which="position IN (9, 10)")} AS preview,
+        count(*) FILTER (position > 8) AS held FROM ({POSITIONS_SQL})),
+  (SELECT string_agg('{{"task_id":"' || task_id || '","split":"' || split || '","run_id":"' || run_id || '"'
+      || CASE WHEN score IS NULL THEN '' WHEN score = 0 THEN ',"score":0.0' ELSE ',"score":0.5' END
+      || coalesce(',"all_pass":' || all_pass, '') || '}}', ',' ORDER BY task_id) AS runs FROM ({RUN_ROWS_SQL}))
+"""
+
+
 def document_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rubric.document_counts(_source_documents(spark, folder))
 
@@ -336,6 +352,7 @@ ORACLES: dict[str, str] = {
     "prompt_build": PROMPT_SQL,
     "rubric_records": RUBRIC_RECORDS_SQL,
     "run_rows": RUN_ROWS_SQL,
+    "manifest": MANIFEST_SQL,
     "document_counts": """SELECT source AS task_id, count(*) AS documents_read, count(*) AS total_vdr_files
         FROM documents GROUP BY 1""",
     "document_extract": DOCUMENTS_SQL,

@@ -121,3 +121,20 @@ def test_every_step_name_holds_the_searched_word():
 def test_lines_without_a_step_are_skipped(spark):
     assert ops.step_metrics(log(spark, ["reward: 1", "steps", "step:"])).count() == 0
     assert ops.app_ids(log(spark, ["nothing", "ap-"])).select(F.count("*")).first()[0] == 0
+
+
+def test_secrets_are_masked_and_counted(spark):
+    lines = ["a Bearer abcdefgh1 b", "k=sk-abcdefghijkl end", "u?x=1&sig=Zz%2F&y=2", "PASSWORD: p1, secret=s2", "bearer abc", "", None]
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
+    got = [tuple(r["r"]) for r in rows.select(lf.redact(F.col("line")).alias("r"), "i").orderBy("i").collect()]
+    assert got == [
+        ("a Bearer [redacted] b", 1, 0, 0, 0), ("k=[redacted] end", 0, 1, 0, 0), ("u?x=1&sig=[redacted]&y=2", 0, 0, 1, 0),
+        ("PASSWORD: [redacted], secret=[redacted]", 0, 0, 0, 2), ("bearer abc", 0, 0, 0, 0), ("", 0, 0, 0, 0), (None,) * 5,
+    ]
+
+
+def test_failure_kinds(spark):
+    lines = ["CUDA out of memory", "NCCL timeout", "Timed out", "RuntimeError: x", "fine", "", None]
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
+    got = [r["k"] for r in rows.select("i", lf.failure_kind(F.col("line")).alias("k")).orderBy("i").collect()]
+    assert got == ["memory", "device", "time", "other", None, None, None]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from gradeflow.operators import logs, ordering, registry
+from gradeflow.operators import logs, ordering, registry, splits
 from gradeflow.plans import table
 from gradeflow.plans.logs import as_lines
 from gradeflow.sources import datasets
@@ -17,7 +17,6 @@ QUERIES = entry_module.queries()
 READ = {
     "document_counts": {"source"},
     "split_counts": {"doc_id"},
-    "stratified_order": {"doc_id", "lang"},
     "selected_tokens": {"vec_id", "embedding", "label"},
     "log_app_id": {"event_id", "user_id", "event_type"},
     "run_rows": {"doc_id", "lang", "quality", "toxic"},
@@ -28,6 +27,11 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def columns_read(df) -> set[str]:
+    schemas = re.findall(r"ReadSchema: struct<([^\n]*)>", plan_of(df))
+    return {field for schema in schemas for field in re.findall(r"(\w+):", schema)}
+
+
 @pytest.fixture(scope="module")
 def lines(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("lines") / "t")
@@ -37,9 +41,12 @@ def lines(spark, folder, tmp_path_factory):
 
 @pytest.mark.parametrize("name", sorted(READ))
 def test_only_needed_columns_are_read(spark, folder, name):
-    plan = plan_of(QUERIES[name](spark, folder))
-    read = {field for schema in re.findall(r"ReadSchema: struct<([^\n]*)>", plan) for field in re.findall(r"(\w+):", schema)}
-    assert read == READ[name]
+    assert columns_read(QUERIES[name](spark, folder)) == READ[name]
+
+
+def test_strata_are_ranked_from_two_columns(spark, folder):
+    """The order itself is read from its checkpoint, so the ranks before it are looked at."""
+    assert columns_read(splits.stratum_ranks(table(spark, folder, "documents"), "doc_id", "lang")) == {"doc_id", "lang"}
 
 
 def test_metrics_are_hash_aggregated_before_the_shuffle(lines):

@@ -25,8 +25,7 @@ def con(folder):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"manifest"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 NEED_PYTHON = {"document_extract", "python_reward"}
