@@ -1,14 +1,14 @@
-"""Repeated passages by a sparse suffix array over words.
+"""Repeated passages by hashed windows at minimisers of words.
 
 A suffix is kept where a minimiser begins: the position of the least hash of ``GRAM`` words among ``WINDOW`` positions
-in a row. Equal passages choose equal positions, so a passage of ``LEAST`` words holds a kept suffix that runs on for at
-least ``SURE = LEAST - WINDOW + 1`` of its words. Suffixes whose first ``SURE`` words no other text has are
-dropped. The others are sorted by the words that follow, over all partitions, and compared with their
-neighbours; a match is extended to the right and then to the left. Matches of ``LEAST`` words or more are marked, and
-the marks of a document's suffixes together cover its repeated passages to both ends.
-
-For that, the next ``RIGHT`` and the previous ``LEFT`` words are enough, since the next suffix is at most ``WINDOW``
-words away. Words stand as 32-bit hashes there, the first ``SURE`` words as one of 64 bits.
+in a row. Equal passages choose equal positions, so a window of ``LEAST`` words holds a kept suffix that runs on for at
+least ``SURE = LEAST - WINDOW + 1`` of its words: the one chosen for its first ``WINDOW`` positions. Suffixes whose first
+``SURE`` words no other text has are dropped. Every window that chose one of the others is hashed as a whole, and equal
+windows are brought together by a sort over all partitions. No number of texts that begin alike hides a match, and
+each window has an owner of its own, the least document that has it. The windows of a document together cover its
+repeated passages to both ends.
+
+Windows are equal if 64 bits of their suffix's first words and 64 bits of all their words are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +28,24 @@ LEAST = 50
 WINDOW = 24
 GRAM = 6
 SURE = LEAST - WINDOW + 1
-RIGHT = SURE + WINDOW + 1
-LEFT = WINDOW - 1
-# So many documents before it a suffix is compared with, among those that begin alike.
-NEAR = 8
 _WEIGHTS = mixed(np.arange(101, 101 + SURE, dtype=np.uint64)) | np.uint64(1)
+_WHOLE = mixed(np.arange(201, 201 + LEAST, dtype=np.uint64)) | np.uint64(1)
+# More than any text has words.
+_FAR = np.int64(1) << np.int64(40)
+
+
+def _chosen(grams: np.ndarray) -> np.ndarray:
+    """For each run of ``WINDOW`` positions the place of its least hash."""
+    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+    return windows.argmin(axis=1) + np.arange(len(windows))
+
+
+def _sums(hashes: np.ndarray, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A hash of as many words from each place on as there are weights."""
+    sums = np.zeros(len(places), np.uint64)
+    for j, weight in enumerate(weights):
+        sums += hashes[places + j] * weight
+    return mixed(sums)
 
 
 def kept_suffixes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,14 +55,10 @@ def kept_suffixes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     for (a, b), (g, h) in zip(zip(bounds[:-1], bounds[1:], strict=True), zip(gram_bounds[:-1], gram_bounds[1:], strict=True), strict=True):
         if b - a < LEAST:
             continue
-        windows = np.lib.stride_tricks.sliding_window_view(grams[g:h], WINDOW)
-        chosen = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+        chosen = np.unique(_chosen(grams[g:h]))
         found.append(chosen[chosen <= b - a - SURE] + a)
     places = np.concatenate(found) if found else np.empty(0, np.int64)
-    sums = np.zeros(len(places), np.uint64)
-    for j in range(SURE):
-        sums += hashes[places + j] * _WEIGHTS[j]
-    return places, mixed(sums)
+    return places, _sums(hashes, places, _WEIGHTS)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -95,173 +103,161 @@ def copies(docs: DataFrame) -> DataFrame:
     return texts.join(several, "whole").select("doc_id", "n_words", "first_doc_id")
 
 
-def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc_id, at, start`` with the words that follow, ``after``, and those before in reverse, ``ahead``, as bytes."""
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, at, start, whole``: the windows of ``LEAST`` words that chose a wanted suffix, with two hashes each."""
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         words = words_of(data, offsets)
-        hashes = (word_hashes(data, words) >> np.uint64(32)).astype(">u4")
-        ids, places, starts, after, ahead = [], [], [], [], []
-        for doc_id, spots, a, b in zip(rows.column("doc_id").to_pylist(), rows.column("spots").to_pylist(), words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
-            own = hashes[a:b]
-            forth, back = own.tobytes(), own[::-1].tobytes()
-            for spot in spots:
-                at, n = spot["at"], b - a
-                if at + SURE > n:  # another text under the same id
-                    continue
-                ids.append(doc_id)
-                places.append(at)
-                starts.append(spot["start"])
-                after.append(forth[4 * at : 4 * (at + RIGHT)])
-                ahead.append(back[4 * (n - at) : 4 * (n - at + LEFT)])
-        columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(starts, pa.int64()), pa.array(after, pa.binary()), pa.array(ahead, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "start", "after", "ahead"])
+        hashes = word_hashes(data, words)
+        grams, gram_bounds = shingle_hashes(hashes, words.bounds, GRAM)
+        docs, places, suffixes = [], [], []
+        for k, spots in enumerate(rows.column("spots")):
+            (a, b), (g, h) = words.bounds[k : k + 2], gram_bounds[k : k + 2]
+            if b - a < LEAST:  # another text under the same id
+                continue
+            chosen = _chosen(grams[g:h])[: b - a - LEAST + 1]
+            found = np.flatnonzero(np.isin(chosen, spots.values.to_numpy()))
+            docs.append(np.full(len(found), k))
+            places.append(found + a)
+            suffixes.append(chosen[found] + a)
+        doc, place, suffix = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (docs, places, suffixes))
+        columns = [pa.array((place - words.bounds[doc]).astype(np.int32)), _signed(_sums(hashes, suffix, _WEIGHTS)), _signed(_sums(hashes, place, _WHOLE))]
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), *columns], ["doc_id", "at", "start", "whole"])
 
     # A document has at most as many suffixes as words.
-    spots = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "start")).alias("spots"))
+    spots = wanted.groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
     few = small_side(wanted.select("doc_id").distinct())
     texts = _narrow(docs).join(few, "doc_id", "left_semi")
-    return map_texts(texts.join(spots, "doc_id").select("doc_id", "spots", "text"), work, "doc_id long, at int, start long, after binary, ahead binary")
-
+    return map_texts(texts.join(spots, "doc_id").select("doc_id", "spots", "text"), work, "doc_id long, at int, start long, whole long")
 
-def _common(x: bytes, y: bytes) -> int:
-    """How many 4-byte words two strings have in common from the front on."""
-    n = min(len(x), len(y)) // 4
-    if x[: 4 * n] == y[: 4 * n]:
-        return n
-    a, b = np.frombuffer(x, np.uint32, n), np.frombuffer(y, np.uint32, n)
-    return int((a != b).argmax())
 
+MARKS = "doc_id long, at int, first_doc_id long, start long, whole long"
+_NAMES = [f.split()[0] for f in MARKS.split(", ")]
 
-def _match(x: tuple, y: tuple) -> tuple[int, int]:
-    """Words in common before and after, or none where they are fewer than ``LEAST``."""
-    right = _common(x[2], y[2])
-    if right < SURE:
-        return 0, 0
-    left = _common(x[3], y[3])
-    return (left, right) if left + right >= LEAST else (0, 0)
 
+def _owned(windows: DataFrame) -> DataFrame:
+    """Windows that several documents have, with the least of these as ``first_doc_id``.
 
-MARKS = "doc_id long, at int, start long, ahead_words int, after_words int, part int, edge int, after binary, ahead binary"
-_NAMES = [f.split()[0] for f in MARKS.split(", ")]
+    Equal windows follow each other, by document. What a partition can't tell alone has no ``first_doc_id`` but its
+    hashes: the rows of its first window, which may go back into the partition before, and of its last one while one document
+    has it. A row without ``at`` names the owner of the last one.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opening = None  # the first window of the partition
+        # The rows of the last window so far: of its owner alone, or, when others have been met, one without place.
+        held = np.empty((4, 0), np.int64)
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Marks of suffixes that match a neighbour of another document; each partition's outer rows as ``edge`` rows.
+        def table(rows: np.ndarray, owner: np.ndarray | None) -> pa.RecordBatch:
+            n = rows.shape[1]
+            none = pa.nulls(n, pa.int64())
+            at = pa.array(rows[3].astype(np.int32), mask=rows[3] < 0)
+            keys = [none, none] if owner is not None else [pa.array(rows[0]), pa.array(rows[1])]
+            return pa.RecordBatch.from_arrays([pa.array(rows[2]), at, none if owner is None else pa.array(owner), *keys], _NAMES)
 
-    Rows that begin alike follow each other. A row is compared with the last row of each of the ``NEAR`` documents
-    before it, and marks both. Rows of one document in a row that no document before them matched wait for the next.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("start", "whole", "doc_id", "at")])
+            if opening is None:
+                opening = fresh[:2, :1].copy()
+            rows = np.concatenate((held, fresh), axis=1)
+            n = rows.shape[1]
+            first = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
+            counts = np.diff(np.append(first, n))
+            owner = rows[2, first]
+            several = owner != rows[2, first + counts - 1]
+            is_opening = (rows[:2, first] == opening).all(axis=0)
+            placed = rows[3] >= 0
+            unsure = np.repeat(is_opening, counts) & placed
+            sure = np.repeat(several & ~is_opening, counts) & placed
+            yield table(rows[:, sure], np.repeat(owner, counts)[sure])
+            yield table(rows[:, unsure], None)
+            held = rows[:, first[-1] :]
+            if several[-1] or is_opening[-1]:
+                held = held[:, :1].copy()
+                held[3] = -1
+        yield table(held, None)
+
+    ship(windows.sparkSession)
+    # The document is part of the key, so that a window of any number of documents is dealt to many tasks.
+    keys = ["start", "whole", "doc_id", "at"]
+    return windows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, MARKS)
+
+
+def _settled(unsure: DataFrame) -> DataFrame:
+    """``doc_id, at, first_doc_id`` of the windows that no partition could tell alone.
+
+    There are at most two of them per partition, with any number of rows; their owners come to the driver.
     """
+    owners = unsure.groupBy("start", "whole").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last")
+    known = {(r["start"], r["whole"]): r["first_doc_id"] for r in owners.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        made: list[tuple] = []
-        recent: dict[int, tuple] = {}  # the last row of each document before, oldest first
-        waiting: list[tuple] = []  # rows of the document before that nothing matched yet
-        start = None
-        heads: list[tuple] = []  # first rows of the first two documents
-        tails: list[tuple] = []  # last rows of the last two
-
-        def matched(row: tuple, other: tuple) -> bool:
-            left, right = _match(row, other)
-            if right:
-                made.extend((r[0], r[1], r[4], left, right, None, None, None, None) for r in (row, other))
-            return right > 0
-
-        def table() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], _NAMES)
-
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "after", "ahead", "start")), strict=True):
-                if len(heads) < 2 and (not heads or heads[0][0] != row[0]):
-                    heads.append(row)
-                tails = [row] if not tails else [*(tails[-1:] if tails[-1][0] != row[0] else tails[:-1]), row]
-                if row[4] != start:
-                    start, recent, waiting = row[4], {}, []
-                if waiting and waiting[0][0] != row[0]:
-                    for other in waiting[:-1]:
-                        matched(other, row)
-                    waiting = []
-                found = [matched(row, other) for doc, other in recent.items() if doc != row[0]]
-                if not any(found):
-                    waiting.append(row)
-                recent.pop(row[0], None)
-                recent[row[0]] = row
-                if len(recent) > NEAR:
-                    del recent[next(iter(recent))]
-                if len(made) >= 20_000:
-                    yield table()
-                    made = []
-        for edge, rows in ((0, heads), (1, tails)):
-            made += [(r[0], r[1], r[4], None, None, part, edge, r[2], r[3]) for r in rows]
-        yield table()
-
-    ship(rows.sparkSession)
-    # The document is part of the key, so that a passage of any number of documents is dealt to many tasks.
-    keys = ["after", "ahead", "doc_id", "at"]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, MARKS)
-
-
-def _over_edges(marks: DataFrame) -> list[tuple]:
-    """Marks between the last rows of each partition and the first of the next; four rows per partition."""
-    edges: dict[int, tuple[list, list]] = {}
-    for r in marks.where("edge is not null").collect():
-        edges.setdefault(r["part"], ([], []))[r["edge"]].append((r["doc_id"], r["at"], bytes(r["after"]), bytes(r["ahead"]), r["start"]))
-    made, order = [], sorted(edges)
-    for here, following in zip(order[:-1], order[1:], strict=True):
-        for x in edges[here][1]:
-            for y in edges[following][0]:
-                left, right = _match(x, y) if x[0] != y[0] else (0, 0)
-                if right:
-                    made += [(row[0], row[1], row[4], left, right) for row in (x, y)]
-    return made
+            found = [known.get(key) for key in zip(batch.column("start").to_pylist(), batch.column("whole").to_pylist(), strict=True)]
+            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array(found, pa.int64())], ["doc_id", "at", "first_doc_id"])
+            yield made.filter(made.column("first_doc_id").is_valid())
+
+    ship(unsure.sparkSession)
+    return unsure.where("at is not null").mapInArrow(run, "doc_id long, at int, first_doc_id long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end, first_doc_id, is_first``: the passages of ``LEAST`` words or more that other documents share.
 
-    ``start`` and ``end`` count words, runs without space, tab and line ends. ``first_doc_id`` is the least document
-    that has the passage, or one of its parts where passages touch; spans of which the document is the first itself are
-    told apart by ``is_first``. Null texts and texts of fewer words have none. Rows that repeat a ``doc_id``
+    ``start`` and ``end`` count words, runs without space, tab and line ends. Each window of ``LEAST`` words belongs to the
+    least document that has it. A span is a run of windows that touch, those of the document itself (``is_first``) apart from
+    those of documents before it; ``first_doc_id`` is the least owner in it. Null texts and texts of fewer words have none. Rows that repeat a ``doc_id``
     are one document, and rows without one are left out. Other columns are ignored.
     """
     spark = docs.sparkSession
     every = suffixes(docs)
     shared = every.groupBy("start").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("start")
-    wanted = stored(every.join(shared, "start", "left_semi").select("doc_id", "at", "start"), "suffixes")
-    marks = stored(_neighbours(_with_words(docs, wanted)), "marks")
-    over = spark.createDataFrame(_over_edges(marks), "doc_id long, at int, start long, ahead_words int, after_words int")
-    found = marks.where("edge is null").select(*over.columns).union(over)
-    owners = found.groupBy("start").agg(F.min("doc_id").alias("first_doc_id"))
-    spans = found.join(owners, "start").select(
-        "doc_id",
-        (F.col("at") - F.col("ahead_words")).cast("long").alias("start"),
-        (F.col("at") + F.col("after_words")).cast("long").alias("end"),
-        "first_doc_id",
-    )
+    wanted = stored(every.join(shared, "start", "left_semi").select("doc_id", "at"), "suffixes")
+    marks = stored(_owned(_windows(docs, wanted)), "marks")
+    unsure = marks.where("first_doc_id is null").drop("first_doc_id")
+    settled = _settled(unsure)
+    found = marks.where("first_doc_id is not null").select("doc_id", "at", "first_doc_id").union(settled)
+    spans = found.select("doc_id", F.col("at").cast("long").alias("start"), (F.col("at") + LEAST).cast("long").alias("end"), "first_doc_id")
     whole = copies(docs).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), "first_doc_id")
     return _merged(spans.union(whole).withColumn("is_first", F.col("first_doc_id") == F.col("doc_id")))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
     """Spans of a document that touch or overlap become one."""
-    sorted_spans = F.array_sort(F.collect_set(F.struct("start", "end", "first_doc_id")))
-    last = lambda acc: F.element_at(acc, -1)
-    joined = lambda acc, x: F.concat(
-        F.slice(acc, 1, F.size(acc) - 1),
-        F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"), F.least(last(acc)["first_doc_id"], x["first_doc_id"]).alias("first_doc_id"))),
-    )
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= last(acc)["end"]), joined(acc, x)).otherwise(F.concat(acc, F.array(x)))
-    kind = "array<struct<start:bigint,end:bigint,first_doc_id:bigint>>"
-    folded = F.aggregate(sorted_spans, F.array().cast(kind), step)
-    made = spans.groupBy("doc_id", "is_first").agg(folded.alias("spans"))
-    return made.select("doc_id", "is_first", F.inline("spans")).select("doc_id", "start", "end", "first_doc_id", "is_first")
+    names = ["doc_id", "start", "end", "first_doc_id", "is_first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((5, 0), np.int64)
+
+        def table(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, rows[:4]), pa.array(rows[4].astype(bool))], names)
+
+        for batch in batches:
+            rows = np.concatenate((held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])), axis=1)
+            if not rows.shape[1]:
+                continue
+            other = (rows[0, 1:] != rows[0, :-1]) | (rows[4, 1:] != rows[4, :-1])
+            far = np.concatenate(([0], np.cumsum(other))) * _FAR
+            reach = np.maximum.accumulate(rows[2] + far)
+            first = np.flatnonzero(np.concatenate(([True], rows[1, 1:] + far[1:] > reach[:-1])))
+            made = rows[:, first]
+            made[2], made[3] = np.maximum.reduceat(rows[2], first), np.minimum.reduceat(rows[3], first)
+            yield table(made[:, :-1])
+            held = made[:, -1:]
+        yield table(held)
+
+    ship(spans.sparkSession)
+    dealt = spans.select(*names).repartition("doc_id").sortWithinPartitions("doc_id", "is_first", "start")
+    return dealt.mapInArrow(run, "doc_id long, start long, end long, first_doc_id long, is_first boolean")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that an earlier document (by ``doc_id``) has; the first one keeps them.
 
+    A word is cut where an earlier document has one of the windows of ``LEAST`` words around it, so each word that is cut stays
+    among the same words in an earlier document, or there was cut for the same reason.
     A text is cut from the first character of a span's first word to the last of its last word. Documents of which no
     word is left are dropped; those that had none before stay. ``n_chars`` follows the text if there is such a column.
     """

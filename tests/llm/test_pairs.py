@@ -91,6 +91,62 @@ def test_passages_equal_all_windows(spark, small):
     assert made == expected and expected
 
 
+def windows_of(rows, n=50):
+    """The documents of each window."""
+    seen = defaultdict(set)
+    for doc, own in rows:
+        for k in range(len(own) - n + 1):
+            seen[tuple(own[k : k + n])].add(doc)
+    return seen
+
+
+def spans_by_windows(rows):
+    """The spans by brute force: windows of 50 words that touch, each with its own least document."""
+    seen, expected = windows_of(rows), set()
+    for doc, own in rows:
+        for is_first in (False, True):
+            runs = []
+            for k in range(len(own) - 49):
+                docs = seen[tuple(own[k : k + 50])]
+                if len(docs) == 1 or (min(docs) == doc) != is_first:
+                    continue
+                if runs and k <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], k + 50, min(runs[-1][2], min(docs)))
+                else:
+                    runs.append((k, k + 50, min(docs)))
+            expected |= {(doc, *run, is_first) for run in runs}
+    return expected
+
+
+def fresh_words(pick, n):
+    return [f"f{x:x}" for x in pick.integers(0, 2**60, n)]
+
+
+@pytest.mark.parametrize("partitions", [4, 40])
+def test_passages_behind_shared_beginnings(spark, partitions):
+    """Hundreds of documents hold the same 30 to 45 words; a few pairs share 55 with these at the end or the start."""
+    pick = np.random.default_rng(3)
+    common, texts = fresh_words(pick, 45), {}
+    for doc in range(600):
+        n = int(pick.integers(30, 46))
+        texts[doc] = [*fresh_words(pick, 40), *common[:n], *fresh_words(pick, 60)]
+    for pair in range(60):
+        n = int(pick.integers(38, 46))
+        lead = fresh_words(pick, 55 - n)
+        for doc in (600 + pair, 700 + pair):
+            ends = [*lead, *common[:n]] if pair % 2 else [*common[-n:], *lead]
+            texts[doc] = [*fresh_words(pick, 30), *ends, *fresh_words(pick, 60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+        made = {tuple(r) for r in passages.repeated_passages(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r[0] for r in made} >= {*range(600, 660), *range(700, 760)}
+    assert made == spans_by_windows([*texts.items()])
+
+
 def test_messy_passages(messy, none):
     spans = {(r["doc_id"], r["is_first"]): (r["start"], r["end"], r["first_doc_id"]) for r in passages.repeated_passages(messy).collect()}
     assert spans[(2, False)] == (0, 120, 1)
