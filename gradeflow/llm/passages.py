@@ -185,22 +185,26 @@ def _owned(windows: DataFrame) -> DataFrame:
     return windows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, MARKS)
 
 
-def _settled(unsure: DataFrame) -> DataFrame:
-    """``doc_id, at, first_doc_id`` of the windows that no partition could tell alone.
+def _settled(marks: DataFrame) -> DataFrame:
+    """``doc_id, at, first_doc_id`` of all windows, also of those that no partition could tell alone.
 
-    There are at most two of them per partition, with any number of rows; their owners come to the driver.
+    There are at most two of these per partition, with any number of rows; their owners come to the driver.
     """
-    owners = unsure.groupBy("start", "whole").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last")
+    unsure = marks.where("first_doc_id is null").groupBy("start", "whole")
+    owners = unsure.agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last")
     known = {(r["start"], r["whole"]): r["first_doc_id"] for r in owners.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [known.get(key) for key in zip(batch.column("start").to_pylist(), batch.column("whole").to_pylist(), strict=True)]
-            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array(found, pa.int64())], ["doc_id", "at", "first_doc_id"])
-            yield made.filter(made.column("first_doc_id").is_valid())
+            found = batch.column("first_doc_id")
+            if found.null_count:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("first_doc_id", "start", "whole")), strict=True)
+                found = pa.array([known.get((start, whole)) if owner is None else owner for owner, start, whole in rows], pa.int64())
+            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), found], ["doc_id", "at", "first_doc_id"])
+            yield made.filter(found.is_valid())
 
-    ship(unsure.sparkSession)
-    return unsure.where("at is not null").mapInArrow(run, "doc_id long, at int, first_doc_id long")
+    ship(marks.sparkSession)
+    return marks.where("at is not null").mapInArrow(run, "doc_id long, at int, first_doc_id long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -216,9 +220,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = every.groupBy("start").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("start")
     wanted = stored(every.join(shared, "start", "left_semi").select("doc_id", "at"), "suffixes")
     marks = stored(_owned(_windows(docs, wanted)), "marks")
-    unsure = marks.where("first_doc_id is null").drop("first_doc_id")
-    settled = _settled(unsure)
-    found = marks.where("first_doc_id is not null").select("doc_id", "at", "first_doc_id").union(settled)
+    found = _settled(marks)
     spans = found.select("doc_id", F.col("at").cast("long").alias("start"), (F.col("at") + LEAST).cast("long").alias("end"), "first_doc_id")
     whole = copies(docs).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), "first_doc_id")
     return _merged(spans.union(whole).withColumn("is_first", F.col("first_doc_id") == F.col("doc_id")))

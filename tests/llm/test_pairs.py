@@ -147,6 +147,37 @@ def test_passages_behind_shared_beginnings(spark, partitions):
     assert made == spans_by_windows([*texts.items()])
 
 
+def shared_cores() -> dict[int, list[str]]:
+    """Different passages with the same 30 words within, passages that one document has only in part, chains, copies."""
+    pick = np.random.default_rng(5)
+    fresh = lambda n: fresh_words(pick, n)
+    core, long, chain = fresh(30), fresh(75), fresh(200)
+    passages_of = [[*fresh(15), *core, *fresh(15)] for _ in range(2)]
+    texts = {doc: [*fresh(20), *passages_of[doc // 2], *fresh(20)] for doc in range(4)}
+    texts |= {4: [*fresh(9), *long[:50], *fresh(9)], 5: [*fresh(9), *long, *fresh(9)], 6: [*fresh(30), *long]}
+    texts |= {7 + k: [*fresh(9), *chain[20 * k : 20 * k + 80], *fresh(9)] for k in range(6)}
+    copy = [*fresh(30), *passages_of[0], *fresh(30)]
+    return texts | {20: copy, 21: copy, 22: copy[::-1], 23: [*copy, "end"]}
+
+
+def test_passages_have_the_first_document_of_each_window(spark):
+    texts = shared_cores()
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    made = {tuple(r) for r in passages.repeated_passages(docs).collect()}
+    assert made == spans_by_windows([*texts.items()])
+    assert {r[3] for r in made if r[0] == 3} == {2}
+
+
+def test_what_is_cut_stays_elsewhere(spark, small):
+    for docs in (spark.createDataFrame([(k, " ".join(v)) for k, v in shared_cores().items()], "doc_id long, text string"), small):
+        rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
+        seen, left = windows_of(rows), {r["doc_id"]: words(r["text"]) for r in passages.without_repeats(docs).collect()}
+        for doc, own in rows:
+            cut = {w for k in range(len(own) - 49) if min(seen[tuple(own[k : k + 50])]) < doc for w in range(k, k + 50)}
+            assert left.get(doc, []) == [w for k, w in enumerate(own) if k not in cut]
+        assert {w for _, own in rows for w in own} == {w for own in left.values() for w in own}
+
+
 def test_messy_passages(messy, none):
     spans = {(r["doc_id"], r["is_first"]): (r["start"], r["end"], r["first_doc_id"]) for r in passages.repeated_passages(messy).collect()}
     assert spans[(2, False)] == (0, 120, 1)
