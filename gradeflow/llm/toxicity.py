@@ -23,6 +23,8 @@ BITS = 18
 PREFIXES = (4, 5, 6)
 # Bounds of the sample that the classifier is fitted on.
 POSITIVES, UNLABELLED, CALIBRATION = 3_000, 5_000, 5_000
+# With fewer documents without a label, and fewer than have one, all documents of the training folds count as unlabelled.
+LEAST_FREE = 500
 STEPS, RATE, LASSO, LEAST_USED = 200, 0.05, 1e-3, 4
 # Texts of the sample that a step works on at once; it only bounds the driver's memory.
 AT_ONCE = 256
@@ -139,6 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
         return Linear(np.zeros(1 << BITS), -40.0)
     draw = lambda rows, kind, n: rows.select("doc_id").orderBy(order, "doc_id").limit(n).select("doc_id", F.lit(kind).alias("kind"))
     free = ids.join(known, "doc_id", "left_anti")
+    if free.limit(LEAST_FREE).count() < min(LEAST_FREE, counts["n"]):
+        free = ids.where(fold(F.col("doc_id"), folds) != held_out)
     # At most POSITIVES + UNLABELLED + CALIBRATION ids.
     sample = (
         draw(learnt.where("toxic = 1"), "positive", POSITIVES)

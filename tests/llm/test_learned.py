@@ -30,6 +30,15 @@ def test_held_out_toxicity(spark):
     assert found[1] > 0.7 and found[0] < 0.03
 
 
+def test_toxicity_with_labels_for_all_documents(spark):
+    pick = np.random.default_rng(4)
+    rows = [(k, " ".join([f"n{x}" for x in pick.integers(0, 400, 40)] + ["vile", "slur"] * (k % 5 == 0))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    made = toxicity.toxicity(docs, toxicity.train(docs, labels)).where("held_out").collect()
+    assert {r["doc_id"] for r in made if r["predicted"]} == {r["doc_id"] for r in made if r["doc_id"] % 5 == 0} != set()
+
+
 def test_held_out_language(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     made = language.languages(docs, language.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
