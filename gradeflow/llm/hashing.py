@@ -15,8 +15,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 # What cuts letter words: every ASCII character that isn't a letter.
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20_240_601)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -57,9 +57,13 @@ class Words:
         return np.diff(self.bounds)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> Words:
-    """The words of each text; with ``letters``, runs of ASCII letters and other characters beyond ASCII."""
-    cuts = _NO_LETTER if letters else _SPACE
+def words_of(data: np.ndarray, offsets: np.ndarray, letters: bool = False, cuts: np.ndarray | None = None) -> Words:
+    """The words of each text; with ``letters``, runs of ASCII letters and other characters beyond ASCII.
+
+    ``cuts`` marks the byte values that cut words otherwise; all of them are ASCII.
+    """
+    if cuts is None:
+        cuts = _NO_LETTER if letters else _SPACE
     inside = np.zeros(len(data) + 1, bool)
     np.logical_not(cuts[data], out=inside[:-1])
     fresh = inside[:-1].copy()
@@ -91,7 +95,7 @@ def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bo
     chars = data[start[0] : end[-1]]
     chars = chars[~cuts[chars]]
     if lower:
-        chars = _LOWER[chars]
+        chars = LOWER[chars]
     terms = _BYTE[chars] * powers(int(lengths.max()))[within]
     if prefix:
         terms[within >= prefix] = 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.llm.common import fold, map_texts
-from gradeflow.llm.hashing import _LOWER, gram_hashes
+from gradeflow.llm.hashing import LOWER, gram_hashes
 from gradeflow.operators.ordering import top_per_group
 
 SIZES = (1, 2, 3, 4)
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 def spectra(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row per text: 1 for every bucket that occurs."""
     made = np.zeros((len(offsets) - 1, 1 << BITS), np.float32)
-    data = _LOWER[data]
+    data = LOWER[data]
     for n in SIZES:
         hashes, bounds = gram_hashes(data, offsets, n)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
