@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradeflow.llm import fingerprints, id_files, importance, language, mixing, near_dedup, packing, passages, quality, token_counts, toxicity
+from gradeflow.llm import decontamination, fingerprints, id_files, importance, language, mixing, near_dedup, packing, passages, quality, token_counts, toxicity
 from gradeflow.plans import Query, table
 from gradeflow.session import fresh_path
 
@@ -61,6 +62,12 @@ def drawn_documents(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def contaminated_documents(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.decontaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": near_duplicates,
     "op2_fingerprints": document_fingerprints,
@@ -73,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op9_passages": shared_passages,
     "op10_id_files": ids_read_back,
     "op12_importance": drawn_documents,
+    "op13_decontamination": contaminated_documents,
 }
 
 MIX_SQL = r"""
@@ -125,6 +133,28 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
        CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r
 """
 
+# Windows as lists of words: equal ones are joined, near ones looked up around each place of their rarest word.
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({TERMS_SQL}, []) AS words FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {TERMS_SQL} AS words FROM benchmark),
+w AS (SELECT item_id, words[k : k + 9] AS win FROM (SELECT *, unnest(range(1, greatest(2, len(words) - 8))) AS k FROM i WHERE len(words) > 0)),
+z AS (SELECT DISTINCT len(win) AS size FROM w),
+o AS (SELECT doc_id, words, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d),
+x AS (SELECT doc_id, item_id, p, len(win) AS size FROM (SELECT doc_id, p, words[p : p + size - 1] AS win FROM o, z WHERE p + size - 1 <= len(words)) y JOIN w USING (win)),
+h AS (SELECT doc_id, count(DISTINCT p + j) AS n_hit FROM (SELECT doc_id, p, unnest(range(0, size)) AS j FROM x) GROUP BY doc_id),
+f AS (SELECT word, count(*) AS n FROM o GROUP BY word),
+a AS (SELECT item_id, win, arg_min(word, (n, word)) AS word FROM (SELECT item_id, win, unnest(win) AS word FROM w) JOIN f USING (word)
+      GROUP BY item_id, win HAVING count(*) = len(win)),
+r AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, item_id, words, win, unnest(range(greatest(1, p - 19), p + 1)) AS b FROM o JOIN a USING (word))
+      WHERE list_has_all(words[b : b + 19], win)),
+e AS (SELECT DISTINCT doc_id, item_id FROM x),
+n AS (SELECT doc_id, count(*) AS n_near FROM (FROM r EXCEPT FROM e) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 # No SQL: op2, op3 and op10 hash or encode in ways SQL lacks, op5, op6 and op8 are trained, op7 is a greedy scan,
 # op9 compares word sequences and op1 all sets; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op4_mix": MIX_SQL, "op12_importance": IMPORTANCE_SQL}
+ORACLES: dict[str, str] = {"op4_mix": MIX_SQL, "op12_importance": IMPORTANCE_SQL, "op13_decontamination": DECONTAMINATION_SQL}
