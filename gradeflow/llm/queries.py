@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import decontamination, fingerprints, id_files, importance, language, mixing, near_dedup, packing, passages, quality, token_counts, toxicity
+from gradeflow.llm import decontamination, fingerprints, hard_negatives, id_files, importance, language, mixing, near_dedup, packing, passages, quality, token_counts, toxicity
 from gradeflow.plans import Query, table
 from gradeflow.session import fresh_path
 
@@ -68,6 +68,10 @@ def contaminated_documents(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
 
 
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": near_duplicates,
     "op2_fingerprints": document_fingerprints,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": document_languages,
     "op9_passages": shared_passages,
     "op10_id_files": ids_read_back,
+    "op11_hard_negatives": mined_negatives,
     "op12_importance": drawn_documents,
     "op13_decontamination": contaminated_documents,
 }
@@ -155,6 +160,19 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER n AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW n AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER n <= 10
+"""
+
 # No SQL: op2, op3 and op10 hash or encode in ways SQL lacks, op5, op6 and op8 are trained, op7 is a greedy scan,
 # op9 compares word sequences and op1 all sets; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op4_mix": MIX_SQL, "op12_importance": IMPORTANCE_SQL, "op13_decontamination": DECONTAMINATION_SQL}
+ORACLES: dict[str, str] = {"op4_mix": MIX_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_importance": IMPORTANCE_SQL, "op13_decontamination": DECONTAMINATION_SQL}
