@@ -4,12 +4,13 @@ A document is the set of its word shingles, and 64 minwise tokens stand for the
 with all sets at its root. A node picks one token position, sometimes two (1 / similarity on average), and
 hands each set to the child named by its token there, so that similar sets are expected to stay together
 once per level. Nodes small enough are compared exhaustively, others branch on. Independent trees raise the
-recall: with ten, two sets at the least similarity that part after one level are missed once in 10^9.
+recall: there are at least ``TREES``, and so many more that two sets at the least similarity share a compared node with a
+probability of ``RECALL`` at the depth that the trees have reached (:func:`trees_for`). Nodes that ``DEPTH`` levels don't bring apart are compared exhaustively.
 
-Large groups of near copies come apart slowly. So in each large node some sets are compared with all before it
+Large groups of near copies come apart slowly. So in each large node ``DRAWN`` sets are compared with all before it
 branches, and sets that are already in one component need no further comparison: a node is done when all its sets are in
-one, and when at most ``SMALL`` are outside its largest component, these are compared with everyone. The work stays
-linear in the group, and no link between components is left out.
+one, and when at most ``SMALL`` are outside its largest component, these are compared with everyone. A comparison gives
+links that join components, one fewer than it joins, not all similar pairs.
 
 Equal sets are one set from the start. All similarities are confirmed on full sets of 64-bit shingle hashes.
 """
@@ -17,6 +18,7 @@ Equal sets are one set from the start. All similarities are confirmed on full se
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +30,26 @@ from gradeflow.llm.common import map_texts, ship, small_side, stored
 from gradeflow.llm.components import stars
 from gradeflow.llm.hashing import mixed, shingle_hashes, word_hashes, words_of
 
+# At least so many trees, and the recall that further ones are added for where nodes are deep.
 TREES = 10
+RECALL = 0.999
 TOKENS = 64
 # A node with so many sets outside its largest component is compared exhaustively.
-SMALL = 128
-# In a large node so many sets, drawn by hash, are compared with all others, in slices of SLICE, before it branches.
-SLICE = 128
+SMALL = 256
+# In a larger node so many sets, drawn by hash, are compared with all others before it branches.
+DRAWN = 32
+# Sets of a node are compared in slices of about so many, each with the few that are compared with all.
+SLICE = 512
 # Large nodes go down two levels at once, those of more than STEP_SIZE sets STEPS levels.
-STEP_SIZE, STEPS = 256, 4
+STEP_SIZE, STEPS = 512, 4
+# Levels after which a node isn't branched any more but compared exhaustively: its sets then agree in most tokens.
+DEPTH = 48
+# First-level nodes of more sets aren't searched for close sketches: all their sets count as candidates.
+SEARCHED = 1024
 # Cells of the largest table of sets by shingles that a task makes; beyond it sets are compared one by one.
 DENSE = 1 << 23
 # Trees that start in each round: what the first ones link needs no comparison in the later ones.
 STARTED = (2, 3, 5)
-# Rounds after which branching ends; a node of sets that part so late holds sets of 0.9 and more to each other.
-LEVELS = 64
 SIGMAS = 6.3
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, TOKENS), dtype=np.uint64)
@@ -120,15 +128,28 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return map_texts(wanted, work, "id long, shingles binary")
 
 
-def _roots(reps: DataFrame, trees: int, rate: float) -> DataFrame:
-    """``id, bits, tree, node``: the sets at the first level of all trees, without nodes that one set has alone."""
-    starts = F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("tree")
+def trees_for(recall: float, least: float, depth: int) -> int:
+    """So many trees that two sets of similarity ``least`` share a node at ``depth`` in one of them with probability ``recall``.
+
+    In one tree that is the survival of a branching process: a node takes one position, or two so often that ``1 / least``
+    is the mean, and each keeps the two sets together with probability ``least``.
+    """
+    kept, second = 1.0, 1 / least - 1
+    for _ in range(depth):
+        apart = 1 - least * kept
+        kept = 1 - (1 - second) * apart - second * apart * apart
+    return 1 if kept >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - kept))
+
+
+def _roots(reps: DataFrame, first: int, end: int, rate: float) -> DataFrame:
+    """``id, bits, tree, node``: the sets at the first level of some trees, without nodes that one set has alone."""
+    starts = F.explode(F.array(*[F.lit(t).cast("long") for t in range(first, end)])).alias("tree")
     rows = reps.select("id", "bits", "tokens", starts).select("id", "bits", "tree", F.explode(_children(F.col("tree"), rate)).alias("node"))
     shared = rows.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     return stored(rows.join(shared.select("node"), "node", "left_semi"), "roots")
 
 
-def _inside(rows: DataFrame) -> DataFrame:
+def _inside(rows: DataFrame, exhaustive: bool) -> DataFrame:
     """Rows ``id, bits, part, node, tokens`` of the nodes of more than one part, with ``sets`` and ``outside``, how many sets
     are in the node and outside its largest part, and ``few``, whether the row is compared with all others.
     """
@@ -139,84 +160,121 @@ def _inside(rows: DataFrame) -> DataFrame:
         .where("parts > 1")
         .select("node", "sets", (F.col("sets") - F.col("top.n")).alias("outside"), F.col("top.part").alias("top"))
     )
-    drawn = F.pmod(F.xxhash64("node", "id", F.lit(4)), F.col("outside")) < SMALL
-    joined = rows.join(nodes, "node")
-    return stored(joined.withColumn("few", (F.col("part") != F.col("top")) & drawn).drop("top"), "inside")
+    drawn = F.pmod(F.xxhash64("node", "id", F.lit(4)), F.col("outside")) < DRAWN
+    few = (F.col("part") != F.col("top")) & (F.lit(exhaustive) | (F.col("outside") <= SMALL) | drawn)
+    return stored(rows.join(nodes, "node").withColumn("few", few).drop("top"), "inside")
 
 
 def _meetings(inside: DataFrame, most_apart: int) -> DataFrame:
     """``node, slice, id, part, few``: whom to compare. The few of a node meet all others, slice by slice.
 
-    Sets without a partner by their sketches are left out.
+    A set is at home in one slice of its node; the few visit all others. Sets without a partner by their sketches
+    are left out of a slice. No slice has more than about ``SLICE`` sets and the few.
     """
-    one, two = inside.alias("one"), inside.alias("two")
+    slices = F.ceil(F.col("sets") / SLICE)
+    own = F.pmod(F.xxhash64("id", F.lit(5)), slices)
+    home = inside.select("node", own.alias("slice"), "id", "part", "bits", "few", F.lit(True).alias("home"))
+    away = inside.where("few").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).where(F.col("slice") != own)
+    few = home.where("few").union(away.select("node", "slice", "id", "part", "bits", "few", F.lit(False)))
+    one, two = F.col("one.bits"), F.col("two.bits")
     close = (
         (F.col("one.node") == F.col("two.node"))
+        & (F.col("one.slice") == F.col("two.slice"))
         & (F.col("one.part") != F.col("two.part"))
-        & (F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) <= most_apart)
+        & (F.bit_count(one.bitwiseXOR(two)) <= most_apart)
     )
-    slices = F.ceil(F.col("sets") / SLICE)
-    others = one.join(two.where("two.few"), close, "left_semi")
-    others = others.select("node", F.pmod(F.xxhash64("id"), slices).alias("slice"), "id", "part", F.lit(False).alias("few"))
-    few = one.where("one.few").join(two, close, "left_semi")
-    each = few.select("node", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"), "id", "part", F.lit(True).alias("few"))
-    return others.union(each)
+    others = home.where("not few").alias("one").join(few.alias("two"), close, "left_semi")
+    met = few.alias("one").join(home.alias("two"), close, "left_semi")
+    visited = home.where("few").alias("one").join(few.alias("two"), close, "left_semi")
+    names = ["node", "slice", "id", "part", "few"]
+    return others.select(*names).union(met.union(visited).select(*names).distinct())
+
+
+def _joined(few: list[tuple], others: list[tuple], numerator: int, denominator: int) -> Iterator[tuple[int, int]]:
+    """Links of parts that join all parts with similar sets, one of them among the few: a forest."""
+    rows = [*few, *others]
+    sizes = np.array([len(r[2]) for r in rows])
+    parts = np.array([r[1] for r in rows])
+    _, place = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+    different = int(place.max()) + 1
+    ends = np.cumsum(sizes)
+    dense = different * len(rows) <= DENSE
+    if dense:
+        held = np.zeros((len(rows), different), np.float32)
+        held[np.repeat(np.arange(len(rows)), sizes), place] = 1
+        all_shared = (held[: len(few)] @ held.T).astype(np.int64)
+    root: dict[int, int] = {}
+
+    def find(part: int) -> int:
+        while part in root:
+            part = root[part]
+        return part
+
+    for i in range(len(few)):
+        if dense:
+            shared = all_shared[i]
+        else:
+            own = np.zeros(different, np.int32)
+            own[place[ends[i] - sizes[i] : ends[i]]] = 1
+            shared = np.add.reduceat(own[place], ends - sizes)
+        enough = denominator * shared >= numerator * (sizes[i] + sizes - shared)
+        for part in np.unique(parts[enough]).tolist():
+            a, b = find(part), find(int(parts[i]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                yield max(a, b), min(a, b)
 
 
 def _compared(meetings: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs ``a, b`` of few and others in one slice that are of different parts and similar by their full sets."""
-
-    def similar(few: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows = [*few, *others]
-        sizes = np.array([len(r[2]) for r in rows])
-        _, place = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-        different = int(place.max()) + 1
-        if different * len(rows) <= DENSE:
-            held = np.zeros((len(rows), different), np.float32)
-            held[np.repeat(np.arange(len(rows)), sizes), place] = 1
-            shared = (held[: len(few)] @ held.T).astype(np.int64)
-        else:
-            ends = np.cumsum(sizes)
-            shared = np.empty((len(few), len(rows)), np.int64)
-            for i in range(len(few)):
-                own = np.zeros(different, np.int32)
-                own[place[ends[i] - sizes[i] : ends[i]]] = 1
-                shared[i] = np.add.reduceat(own[place], ends - sizes)
-        enough = denominator * shared >= numerator * (sizes[: len(few), None] + sizes[None, :] - shared)
-        for i, j in zip(*np.nonzero(enough), strict=True):
-            if rows[i][1] != rows[j][1]:
-                yield max(rows[i][0], rows[j][0]), min(rows[i][0], rows[j][0])
+    """Links ``a, b`` of parts that have similar sets, by their full sets: in each slice as few as join them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, few, others = None, [], []
 
-        def pairs() -> pa.RecordBatch:
-            found = sorted(set(similar(few, others))) if few and len(few) + len(others) > 1 else []
+        def links() -> pa.RecordBatch:
+            found = list(_joined(few, others, numerator, denominator)) if few and len(few) + len(others) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             columns = [batch.column(c) for c in ("node", "slice", "few", "id", "part", "shingles")]
             for node, piece, is_few, doc, part, shingles in zip(*(c.to_pylist() for c in columns[:5]), columns[5], strict=True):
                 if (node, piece) != key:
-                    yield pairs()
+                    yield links()
                     key, few, others = (node, piece), [], []
                 (few if is_few else others).append((doc, part, np.frombuffer(shingles.as_py(), np.uint64)))
-        yield pairs()
+        yield links()
 
     ship(sets.sparkSession)
     met = sets.join(small_side(stored(meetings, "meetings")), "id")
-    dealt = met.select("node", "slice", "few", "id", "part", "shingles").repartition("node", "slice").sortWithinPartitions("node", "slice")
+    dealt = met.select("node", "slice", "few", "id", "part", "shingles").repartition("node", "slice").sortWithinPartitions("node", "slice", "few", "id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, trees: int = TREES) -> DataFrame:
+def _candidates(roots: DataFrame, most_apart: int) -> DataFrame:
+    """``id`` of the sets that have a close partner in a first-level node, or are in one of more than ``SEARCHED`` sets."""
+    sizes = roots.groupBy("node").agg(F.count("*").alias("sets"))
+    sized = stored(roots.join(sizes, "node"), "sized")
+    one, two = sized.where(F.col("sets") <= SEARCHED).alias("one"), sized.where(F.col("sets") <= SEARCHED).alias("two")
+    close = (F.col("one.node") == F.col("two.node")) & (F.col("one.id") != F.col("two.id")) & (F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) <= most_apart)
+    return one.join(two, close, "left_semi").select("id").union(sized.where(F.col("sets") > SEARCHED).select("id")).distinct()
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, label`` after links between labels: those of joined components become their least."""
+    newer = stars(links).select(F.col("a").alias("label"), F.col("b").alias("newer"))
+    moved = labels.join(newer, "label", "left").select("id", F.coalesce("newer", "label").alias("label"))
+    return stored(moved.union(newer.select("label", "newer")), "labels")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Documents are linked whose sets of lower-cased (A to Z) ``words``-word shingles have a Jaccard
-    similarity of at least ``numerator / denominator``; fewer words make one shingle. ``component_id`` is the least
+    similarity of at least ``numerator / denominator``, one half or more; fewer words make one shingle. ``component_id`` is the least
     ``doc_id`` that links lead to; ``kept`` marks that document. Null and empty texts are linked with nothing.
     Rows that repeat a ``doc_id`` are one document: what is similar to one of its texts is linked to it.
-    A row without ``doc_id`` gets a null component and is kept. Other columns are ignored.
+    A row without ``doc_id`` gets a null component and is kept. An empty table gives no rows. Texts of any length count whole; a comparison holds
+    the sets of one slice. Other columns are ignored.
     """
     least = numerator / denominator
     agree = (1 + least) / 2
@@ -225,23 +283,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     # Equal sets are one; the least document stands for them.
     sets = made.where("set_id is not null and doc_id is not null")
     reps = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "reps")
-    roots = _roots(reps, trees, 1 / least)
-    candidates = _meetings(roots.withColumns({"part": F.col("id"), "sets": F.lit(1), "few": F.lit(True)}), most_apart).select("id")
-    shingles = stored(_sets_of(docs, small_side(stored(candidates.distinct(), "candidates")), words).distinct(), "sets")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    branching, level, started = None, 0, 0
-    while started < trees or (branching is not None and level < LEVELS):
-        fresh = roots.where(F.col("tree").between(started, started + STARTED[min(level, len(STARTED) - 1)] - 1)).select("id", "bits", "node", F.lit(None).cast("array<int>").alias("tokens"))
-        rows = fresh if branching is None else fresh.union(branching)
-        labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    labels = docs.sparkSession.createDataFrame([], "id long, label long")
+    roots, shingles, known = None, None, None  # of the trees prepared so far, and the full sets of their candidates
+    branching, level, started, prepared, needed, depth = None, 0, 0, 0, trees, 1
+    while started < needed or branching is not None:
+        exhaustive, rows = depth >= DEPTH, branching
+        if started == prepared < needed:
+            roots = _roots(reps, prepared, needed, 1 / least)
+            found = _candidates(roots, most_apart)
+            found = stored(found if known is None else found.join(known, "id", "left_anti"), "candidates")
+            more = stored(_sets_of(docs, small_side(found), words), "sets")
+            shingles, known, prepared = (more, found, needed) if known is None else (shingles.union(more), known.union(found), needed)
+        if started < prepared and not exhaustive:
+            end = min(prepared, started + STARTED[min(level, len(STARTED) - 1)])
+            fresh = roots.where(F.col("tree").between(started, end - 1)).select("id", "bits", "node", F.lit(None).cast("array<int>").alias("tokens"))
+            rows, started = fresh if rows is None else fresh.union(rows), end
         rows = rows.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
-        inside = _inside(rows)
-        links = stars(links.union(_compared(_meetings(inside, most_apart), shingles, numerator, denominator)))
+        inside = _inside(rows, exhaustive)
+        labels = _relabelled(labels, _compared(_meetings(inside, most_apart), shingles, numerator, denominator))
         large = inside.where(F.col("outside") > SMALL)
-        branching = None if large.isEmpty() else _branches(large, reps, 1 / least)
-        started += STARTED[min(level, len(STARTED) - 1)]
-        level += 1
-    labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        branching, level = None, level + 1
+        if exhaustive:
+            depth = 1
+        elif not large.isEmpty():
+            branching, depth = _branches(large, reps, 1 / least), depth + STEPS
+            needed = max(needed, trees_for(recall, least, depth))
+        else:
+            depth = 1
     of_set = reps.join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("component_id"))
     return made.join(of_set, "set_id", "left").select(
         "doc_id",
@@ -254,7 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each component, the one with the least ``doc_id``, and one row of each document.
 
-    Rows without ``doc_id`` stay.
+    Of several rows of one ``doc_id`` the least by text, then by all columns, stays. Rows without ``doc_id`` stay.
     """
     gone = near_duplicates(docs, **how).where("not kept").select("doc_id")
     left = docs.join(small_side(stored(gone.distinct(), "gone")), "doc_id", "left_anti")
@@ -262,5 +330,6 @@ def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     if several.isEmpty():
         return left.select(*docs.columns)
     few = small_side(several)
-    one_each = left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(few, "doc_id", "left_anti").select(*docs.columns).union(one_each.select(*docs.columns))
+    rows = left.join(few, "doc_id", "left_semi").select("doc_id", F.struct(F.col("text"), F.to_json(F.struct(*docs.columns)).alias("all")).alias("order"), F.struct(*docs.columns).alias("row"))
+    one_each = rows.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return left.join(few, "doc_id", "left_anti").select(*docs.columns).union(one_each)
