@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ ANSWERING_ROLES = ("gpt", "assistant", "agent")
 ROLE_KEYS = ("from", "role", "speaker")
 TEXT_KEYS = ("value", "content", "message")
 NAMELESS = "turn"
+# Where a hint may stand.
+HINT_PLACEMENTS = ("before-mistake", "after-trace", "system")
 
 
 def turn_line(role: Column, text: Column) -> Column:
@@ -69,3 +73,26 @@ def exported_conversation_fields(conversation: Column) -> Column:
     is_object = F.try_variant_get(conversation, "$", "map<string,variant>").isNotNull()
     whole = F.struct(plain.alias("prompt"), plain.alias("answer"), F.lit("").alias("trajectory"))
     return F.when(listed.isNull() & plain.isNotNull() & ~is_object, whole).otherwise(conversation_fields(turns))
+
+
+def first_turn(turns: Column, wrong: Callable[[Column], Column]) -> Column:
+    """The place, from 0, of the first turn that is wrong; null where none is."""
+    return F.nullif(F.array_position(F.transform(turns, lambda t: F.coalesce(wrong(t), F.lit(False))), True), F.lit(0)) - 1
+
+
+def hint_role(placement: str) -> str:
+    if placement not in HINT_PLACEMENTS:
+        raise ValueError(f"no such placement: {placement}")
+    return "system" if placement == "system" else "user"
+
+
+def with_hint(turns: Column, hint: Column, placement: str, mistake: Column) -> Column:
+    """``turns`` (``array<struct<role, text>>``) with a turn that holds the hint.
+
+    ``before-mistake`` puts it in front of the turn at ``mistake`` (from 0), ``after-trace`` behind all turns, ``system`` in front of
+    all as a turn of the system. Without a hint, or without a mistake to put it before, turns stay as they are.
+    """
+    told = F.array(F.struct(F.lit(hint_role(placement)).alias("role"), hint.alias("text")))
+    at = {"before-mistake": mistake, "after-trace": F.size(turns), "system": F.lit(0)}[placement].cast("int")
+    spliced = F.concat(F.slice(turns, F.lit(1), at), told, F.slice(turns, at + 1, F.size(turns)))
+    return F.when(hint.isNull() | at.isNull(), turns).otherwise(spliced)

@@ -76,3 +76,19 @@ def _ends(shaped: DataFrame, key: str) -> DataFrame:
 
 def _at(condition: Column) -> Column:
     return F.when(condition, F.col("_pos"))
+
+
+def with_hints(turns: DataFrame, hints: DataFrame, placement: str, wrong: Column, key: str = "conv_id", position: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``key, position, role, text`` of all turns with the hints of ``key, hint`` as turns of their own, in the tall form.
+
+    The same as :func:`gradeflow.functions.conversation.with_hint` on arrays, with ``wrong`` saying which turns are mistakes. Turns from the hint's place on move up by
+    one. A conversation is never gathered: one row of numbers for each of them is aggregated and joined back.
+    """
+    ends = turns.groupBy(key).agg(F.min(position).alias("_first"), F.max(position).alias("_last"), F.min(F.when(wrong, F.col(position))).alias("_mistake"))
+    at = {"before-mistake": F.col("_mistake"), "after-trace": F.col("_last") + 1, "system": F.col("_first")}[placement]
+    told = hints.where("hint is not null").groupBy(key).agg(F.min("hint").alias("_hint"))
+    placed = join_on(ends, told, [key]).select(key, at.alias("_at"), "_hint").where("_at is not null")
+    later = (F.col(position) >= F.col("_at")).cast("int")
+    moved = join_on(turns, placed, [key], "left").select(key, (F.col(position) + F.coalesce(later, F.lit(0))).alias(position), F.col(role).alias(role), F.col(text).alias(text))
+    added = placed.select(key, F.col("_at").alias(position), F.lit(conv.hint_role(placement)).alias(role), F.col("_hint").alias(text))
+    return moved.union(added)

@@ -59,6 +59,24 @@ def first_rows(df: DataFrame, rows: int, order: Sequence[str]) -> DataFrame:
     return with_row_index(df, order, name="_index").where(F.col("_index") < rows).drop("_index")
 
 
+def with_running(df: DataFrame, order: Sequence[str], by: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with running sums: for each new name the sum of a column over the rows of the group up to this one.
+
+    ``order`` has no ties within a group. Rows are range-partitioned, so a group of any size is many partitions: each adds up
+    its own rows, and the totals of the group's partitions before are carried in. Null counts as 0.
+    """
+    ensure_checkpoints(df.sparkSession)
+    keys = [*by, *order]
+    local = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    local = local.withColumn("_part", F.shiftright("_row", _ROW_BITS))
+    totals = local.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_total_{name}") for name, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_total_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums])
+    inside = Window.partitionBy(*by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = [(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_before_{name}")).alias(name) for name, c in sums.items()]
+    return join_on(local, carried, [*by, "_part"]).select(*df.columns, *running)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salts: int = SALTS) -> DataFrame:
     """The first ``k`` rows of each group, in an order without ties.
 

@@ -49,12 +49,18 @@ CONFIG_FIELDS = (
 TRIMMED = ("model", "dataset")
 
 
-def newest(changes: DataFrame, key: str, sequence: str, fields: Sequence[str]) -> DataFrame:
-    """One row per key. Each field holds its newest non-null value, so a change may leave fields out.
+def newest(changes: DataFrame, key: str, sequence: str, fields: Sequence[str], cleared: Column | None = None) -> DataFrame:
+    """One row per key. Each field holds its newest value; a null leaves it as it was, so a change may leave fields out.
 
-    ``sequence`` is unique within a key, and its largest value is returned as well.
+    ``cleared``, an array of names, says which fields a change sets to null. ``sequence`` is unique within a key, and its largest value is
+    returned as well.
     """
-    latest = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col(sequence))).alias(f) for f in fields]
+
+    def given(field: str) -> Column:
+        known = F.col(field).isNotNull()
+        return known if cleared is None else known | F.coalesce(F.array_contains(cleared, field), F.lit(False))
+
+    latest = [F.max_by(f, F.when(given(f), F.col(sequence))).alias(f) for f in fields]
     return changes.groupBy(key).agg(F.max(sequence).alias(sequence), *latest)
 
 

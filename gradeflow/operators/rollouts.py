@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.operators.frames import join_on
+from gradeflow.operators.ordering import with_running
 
 # Bounds of the per-token divergence and of the policy ratio.
 LOGPROB_FLOOR = -10.0
@@ -62,24 +65,41 @@ def pass_at_k(responses: DataFrame, group: str, passed: Column, k: int) -> DataF
 def evaluation_figures(scored: DataFrame, by: str, reward: Column, valid: Column, length: Column) -> DataFrame:
     """``by, responses, mean_reward, std_reward, invalid_rate`` and the response lengths at ``LENGTH_SHARES``.
 
-    Lengths are counted first, so the quantiles are exact and no task holds more than the distinct lengths.
+    Means and deviations come from merged counts, means and squared distances, so large rewards cancel nothing. Lengths are
+    counted first, so the quantiles are exact and no task holds more than the distinct lengths.
     """
-    counted = scored.groupBy(by, length.alias("_length")).agg(
-        F.count("*").alias("_n"),
-        F.count_if(~F.coalesce(valid, F.lit(False))).alias("_invalid"),
-        F.count(reward).alias("_scored"),
-        F.sum(reward.cast("double")).alias("_sum"),
-        F.sum(reward.cast("double") * reward).alias("_squares"),
-    )
-    n, total, squares = F.sum("_scored"), F.sum("_sum"), F.sum("_squares")
-    variance = F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)
-    return counted.groupBy(by).agg(
-        F.sum("_n").alias("responses"),
-        (total / n).alias("mean_reward"),
-        F.when(n > 1, F.sqrt(variance)).alias("std_reward"),
-        (F.sum("_invalid") / F.sum("_n")).alias("invalid_rate"),
-        *[F.percentile("_length", share, F.col("_n")).alias(f"length_p{share * 100:.0f}") for share in LENGTH_SHARES],
+    figures = scored.groupBy(by).agg(
+        F.count("*").alias("responses"),
+        F.avg(reward.cast("double")).alias("mean_reward"),
+        F.stddev_samp(reward.cast("double")).alias("std_reward"),
+        (F.count_if(~F.coalesce(valid, F.lit(False))) / F.count("*")).alias("invalid_rate"),
     )
+    counted = scored.groupBy(by, length.alias("_length")).agg(F.count("*").alias("_n"))
+    shares = [F.percentile("_length", share, F.col("_n")).alias(f"length_p{share * 100:.0f}") for share in LENGTH_SHARES]
+    return join_on(figures, counted.groupBy(by).agg(*shares), [by])
+
+
+def clipped_advantages(rows: DataFrame, run: str, step: str, advantage: str, times: float = 3.0) -> DataFrame:
+    """``rows`` with ``limit``, so many times the mean size of the run's advantages up to this step, and ``clipped``.
+
+    The running mean is over the sums of each step, carried from partition to partition, so a run of any length is no single sort.
+    """
+    per_step = rows.groupBy(run, step).agg(F.sum(F.abs(F.col(advantage).cast("double"))).alias("_size"), F.count(advantage).alias("_n"))
+    running = with_running(per_step, [step], [run], {"_sizes": "_size", "_count": "_n"})
+    limits = running.select(run, step, F.when(F.col("_count") > 0, times * F.col("_sizes") / F.col("_count")).alias("limit"))
+    clipped = F.greatest(F.least(F.col(advantage), F.col("limit")), -F.col("limit"))
+    return join_on(rows, limits, [run, step]).select(*rows.columns, "limit", F.when(F.col(advantage).isNotNull(), clipped).alias("clipped"))
+
+
+def implicit_feedback(responses: DataFrame, group: Sequence[str], key: str, response: str, reward: str, passed: Column) -> DataFrame:
+    """The responses that didn't pass, with ``feedback``: the best one of their group that did, by reward, then by the smaller key.
+
+    Null where no response of the group passed. One row per group is joined, so a hot group is only aggregated.
+    """
+    marked = responses.withColumn("_passed", F.coalesce(passed, F.lit(False)))
+    best = F.max_by(response, F.struct(F.col(reward), -F.col(key)))
+    told = marked.where("_passed").groupBy(*group).agg(best.alias("feedback"))
+    return join_on(marked.where("not _passed").drop("_passed"), told, list(group), "left")
 
 
 def used_fraction(records: DataFrame, by: str, feedback: str) -> DataFrame:

@@ -149,6 +149,12 @@ def document_counts(listing: DataFrame) -> DataFrame:
     )
 
 
+def entry_counts(entries: DataFrame) -> DataFrame:
+    """``documents_read`` and ``total_vdr_files`` per task from ``task_id, entry`` of every entry below its documents, folders among them."""
+    counted = F.count_distinct("entry")
+    return entries.groupBy("task_id").agg(counted.alias("documents_read"), counted.alias("total_vdr_files"))
+
+
 def manifest(
     split: DataFrame, runs: DataFrame, *, id_col: str, created_at: Column, model: str, paths: dict[str, str]
 ) -> DataFrame:

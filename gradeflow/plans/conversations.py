@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.functions.conversation import exported_conversation_fields
+from gradeflow.functions.conversation import HINT_PLACEMENTS, exported_conversation_fields, first_turn, trajectory_of, with_hint
 from gradeflow.operators import records
-from gradeflow.operators.conversations import conversation_fields, turn_arrays
+from gradeflow.operators.conversations import conversation_fields, turn_arrays, with_hints
 from gradeflow.operators.ordering import first_rows, with_row_index
 from gradeflow.operators.traces import with_teacher_prompt
 from gradeflow.plans import Query, table
@@ -212,6 +212,45 @@ def teacher_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return with_teacher_prompt(fields(spark, folder), "prompt", "answer").select("conv_id", "teacher_prompt")
 
 
+def _wrong(role: Column, text: Column) -> Column:
+    return (role == "assistant") & (F.char_length(text) % 3 == 0)
+
+
+def _hints(turns: DataFrame) -> DataFrame:
+    """A hint for four of five conversations."""
+    told = F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("Mind the "), F.count("*").cast("string"), F.lit(" turns")))
+    return turns.groupBy("conv_id").agg(told.alias("hint"))
+
+
+def hint_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation with its hint in each place, turn by turn."""
+    turns = table(spark, folder, "conversations")
+    wrong = _wrong(F.col("role"), F.col("text"))
+    placed = [with_hints(turns, _hints(turns), p, wrong).withColumn("placement", F.lit(p)) for p in HINT_PLACEMENTS]
+    return placed[0].union(placed[1]).union(placed[2])
+
+
+def hint_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as one array of turns for each conversation and place, written as a trajectory."""
+    turns = table(spark, folder, "conversations")
+    held = turn_arrays(turns).join(_hints(turns), "conv_id")
+    mistake = first_turn(F.col("turns"), lambda t: _wrong(t["role"], t["text"]))
+    plain = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    shown = [F.struct(F.lit(p).alias("placement"), trajectory_of(with_hint(plain, F.col("hint"), p, mistake)).alias("trajectory")) for p in HINT_PLACEMENTS]
+    return held.select("conv_id", F.explode(F.array(*shown)).alias("s")).select("conv_id", "s.placement", "s.trajectory")
+
+
+HINT_TURNS_SQL = """
+WITH e AS (SELECT conv_id, min(turn) AS first, max(turn) AS last, min(turn) FILTER (role = 'assistant' AND length(text) % 3 = 0) AS mistake,
+             CASE WHEN conv_id % 5 <> 0 THEN 'Mind the ' || count(*) || ' turns' END AS hint FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, hint, placement, CASE WHEN hint IS NOT NULL THEN CASE placement WHEN 'system' THEN first WHEN 'after-trace' THEN last + 1 ELSE mistake END END AS place
+      FROM e, (VALUES ('before-mistake'), ('after-trace'), ('system')) AS v(placement))
+SELECT conv_id, turn + coalesce(CAST(turn >= place AS INTEGER), 0) AS turn, role, text, placement FROM conversations JOIN p USING (conv_id)
+UNION ALL SELECT conv_id, place, CASE placement WHEN 'system' THEN 'system' ELSE 'user' END, hint, placement FROM p WHERE place IS NOT NULL
+"""
+HINT_ARRAYS_SQL = f"""SELECT conv_id, placement, string_agg(CASE WHEN coalesce(role, '') = '' THEN 'turn' ELSE lower(role) END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS trajectory
+FROM ({HINT_TURNS_SQL}) GROUP BY conv_id, placement"""
+
 QUERIES: dict[str, Query] = {
     "conversation_fields": fields,
     "chat_records": chat_records,
@@ -223,6 +262,8 @@ QUERIES: dict[str, Query] = {
     "exported_conversations": exported_conversations,
     "record_files": record_files,
     "teacher_prompts": teacher_prompts,
+    "hint_turns": hint_turns,
+    "hint_arrays": hint_arrays,
 }
 
 ORACLES: dict[str, str] = {
@@ -240,4 +281,6 @@ ORACLES: dict[str, str] = {
         FROM ({LABELLED_SQL})""",
     "teacher_prompts": f"""SELECT conv_id, prompt || chr(10) || chr(10) || 'Privileged feedback: ' || answer
         AS teacher_prompt FROM ({FIELDS_SQL})""",
+    "hint_turns": HINT_TURNS_SQL,
+    "hint_arrays": HINT_ARRAYS_SQL,
 }

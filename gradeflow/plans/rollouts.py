@@ -9,6 +9,7 @@ from gradeflow.functions import logs
 from gradeflow.functions.reward import graded_score
 from gradeflow.operators import rollouts, traces
 from gradeflow.plans import Query, table
+from gradeflow.plans.logs import FAILED_SQL, LINES_SQL, as_lines
 from gradeflow.plans.scoring import GRADED_SQL, RESPONSES_SQL, responses
 
 
@@ -135,18 +136,28 @@ def _redact_sql() -> str:
     return inner
 
 
-def failure_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines made of events, counted by the kind of failure they tell."""
-    texts = ("CUDA out of memory", "NCCL watchdog Timeout", "request timed out", "RuntimeError: odd", "step done", "KeyError: x")
-    line = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % len(texts) + 1).cast("int"))
-    lines = table(spark, folder, "events").select(F.concat_ws(" ", "event_type", line).alias("line"))
-    return lines.groupBy(logs.failure_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("lines"))
+FAILURE_TEXTS = ("CUDA out of memory", "NCCL watchdog Timeout", "request timed out", "RuntimeError: odd", "step done", "KeyError: x", "Permission denied", "disk: No space left")
 
 
-KINDS_SQL = """
-SELECT CASE event_id % 6 WHEN 0 THEN 'memory' WHEN 1 THEN 'device' WHEN 2 THEN 'time' WHEN 3 THEN 'other' WHEN 5 THEN 'value' END AS kind,
-  count(*) AS lines FROM events GROUP BY 1
-"""
+def failure_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Log lines and documents with a text of failure in the middle of every eighth, counted by the kind that their text tells."""
+    told = F.element_at(F.array(*[F.lit(t) for t in FAILURE_TEXTS]), (F.col("number") / 8 % len(FAILURE_TEXTS) + 1).cast("int"))
+    lines = as_lines(table(spark, folder, "events")).select(F.col("line_no").alias("number"), "line")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("number"), F.col("text").alias("line"))
+    both = lines.union(texts).select(F.when(F.col("number") % 8 == 0, F.concat_ws(" ", "line", told, "line")).otherwise(F.col("line")).alias("line"))
+    return both.groupBy(logs.failure_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("lines"))
+
+
+def _kinds_sql() -> str:
+    any_of = lambda texts: " OR ".join(f"contains(low, '{t}')" for t in texts)
+    kinds = " ".join(f"WHEN {any_of(texts)} THEN '{kind}'" for kind, texts in logs.FAILURE_KINDS.items())
+    told = ", ".join(f"'{t}'" for t in FAILURE_TEXTS)
+    return f"""
+SELECT CASE {kinds} WHEN {FAILED_SQL} THEN 'other' END AS kind, count(*) AS lines FROM (
+  SELECT line, lower(line) AS low FROM (
+    SELECT CASE WHEN number % 8 = 0 THEN concat_ws(' ', line, [{told}][number // 8 % {len(FAILURE_TEXTS)} + 1], line) ELSE line END AS line FROM (
+      SELECT line_no AS number, line FROM ({LINES_SQL}) UNION ALL SELECT doc_id, text FROM documents)))
+GROUP BY 1"""
 
 QUERIES: dict[str, Query] = {
     "group_advantages": group_advantages,
@@ -167,5 +178,5 @@ ORACLES: dict[str, str] = {
     "feedback_used": USED_SQL,
     "token_divergence": DIVERGENCE_SQL,
     "redacted_lines": _redact_sql(),
-    "failure_kinds": KINDS_SQL,
+    "failure_kinds": _kinds_sql(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeflow.operators import routing
 from gradeflow.plans import Query, table
 
-MOST_CHARS = 400
+MOST_TOKENS = 60
 
 
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,17 +20,18 @@ def _prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 def overlong_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations whose prompt isn't too long."""
-    length = routing.prompt_chars(F.col("prompt"))
-    return routing.without_overlong(_prompts(spark, folder), length, MOST_CHARS).select(
-        "conv_id", length.cast("long").alias("chars"), F.size("prompt").cast("long").alias("messages")
+    tokens = routing.prompt_tokens(F.col("prompt"))
+    return routing.without_overlong(_prompts(spark, folder), "prompt", MOST_TOKENS).select(
+        "conv_id", tokens.cast("long").alias("tokens"), F.size("prompt").cast("long").alias("messages")
     )
 
 
 def _teachers(spark: SparkSession, folder: str) -> DataFrame:
-    """A teacher for each source that has documents of more than one language; the others have none."""
+    """A teacher for each source whose least language isn't ``de``, and a second one that is never taken; the others have none."""
     docs = table(spark, folder, "documents")
     found = docs.groupBy("source").agg(F.min("lang").alias("least"), F.max("lang").alias("most"))
-    return found.where("least <> 'de'").select("source", F.concat_ws("-", "source", "most").alias("teacher"))
+    named = found.where("least <> 'de'").select("source", F.concat_ws("-", "source", "most").alias("teacher"))
+    return named.union(named.select("source", F.concat("teacher", F.lit("-second"))))
 
 
 def teacher_routing(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,8 +50,8 @@ TEACHERS_SQL = """SELECT source, source || '-' || max(lang) AS teacher FROM docu
 QUERIES: dict[str, Query] = {"overlong_filter": overlong_filter, "teacher_routing": teacher_routing, "teacher_missing": teacher_missing}
 
 ORACLES: dict[str, str] = {
-    "overlong_filter": f"""SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS messages FROM conversations
-        WHERE role = 'user' GROUP BY conv_id HAVING sum(length(text)) <= {MOST_CHARS}""",
+    "overlong_filter": rf"""SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS tokens, count(*) AS messages FROM conversations
+        WHERE role = 'user' GROUP BY conv_id HAVING tokens <= {MOST_TOKENS}""",
     "teacher_routing": f"SELECT doc_id, source, teacher FROM documents LEFT JOIN ({TEACHERS_SQL}) USING (source)",
     "teacher_missing": f"""SELECT source, count(*) AS records FROM documents
         WHERE source NOT IN (SELECT source FROM ({TEACHERS_SQL})) GROUP BY source""",

@@ -36,7 +36,7 @@ def _raw_tasks(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("task_id"),
         F.substring("text", 1, 30).alias("title"),
         F.col("source").alias("work_type"),
-        F.when(F.col("n_chars") % 5 != 0, F.substring("text", 10, 200)).alias("instructions"),
+        F.when(F.col("n_chars") % 5 != 0, F.col("text")).alias("instructions"),
         named.alias("deliverables"),
         criteria.alias("criteria"),
     )
@@ -75,7 +75,7 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 
 TASKS_SQL = """
 SELECT doc_id, lang || '/' || doc_id AS task_id, lang AS practice_area, substr(text, 1, 30) AS title, source AS work_type,
-  CASE WHEN n_chars % 5 <> 0 THEN substr(text, 10, 200) ELSE '' END AS instructions, n_chars, lang,
+  CASE WHEN n_chars % 5 <> 0 THEN text ELSE '' END AS instructions, n_chars, lang,
   list_transform(string_split(text, chr(10)), lambda l, i:
     {'id': 'C' || i, 'title': substr(l, 1, 40), 'match_criteria': l}) AS criteria
 FROM documents

@@ -18,10 +18,10 @@ def _whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return reader.text(root, wholetext=True).select(file_path().alias("file"), "value")
 
 
-def read_tasks(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``<root>/tasks/**/task.json`` as a task row; its id is the folder below ``tasks``."""
-    files = _whole_files(spark, f"{root.rstrip('/')}/tasks", TASK_FILE)
-    task_id = F.regexp_extract("file", below(root, r"/tasks/(.+)/task\.json$"), 1)
+def read_tasks(spark: SparkSession, root: str, name: str = TASK_FILE) -> DataFrame:
+    """Every ``<root>/tasks/**/task.json`` as a task row; its id is the folder below ``tasks``. ``name`` may be a pattern of file names."""
+    files = _whole_files(spark, f"{root.rstrip('/')}/tasks", name)
+    task_id = F.regexp_extract("file", below(root, r"/tasks/(.+)/[^/]+$"), 1)
     return parse_tasks(files.select(task_id.alias("task_id"), "value"))
 
 
@@ -43,10 +43,10 @@ def shape_tasks(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_scores(spark: SparkSession, root: str) -> DataFrame:
-    """``task_id, scores`` from ``<root>/scores/<task>/scores.json``."""
-    files = _whole_files(spark, f"{root.rstrip('/')}/scores", SCORES_FILE)
-    task_id = F.regexp_extract("file", below(root, r"/scores/(.+)/scores\.json$"), 1)
+def read_scores(spark: SparkSession, root: str, name: str = SCORES_FILE) -> DataFrame:
+    """``task_id, scores`` from ``<root>/scores/<task>/scores.json``, or files of another name."""
+    files = _whole_files(spark, f"{root.rstrip('/')}/scores", name)
+    task_id = F.regexp_extract("file", below(root, r"/scores/(.+)/[^/]+$"), 1)
     return parse_scores(files.select(task_id.alias("task_id"), "value"))
 
 
@@ -56,6 +56,18 @@ def parse_scores(texts: DataFrame, text: str = "value") -> DataFrame:
     return texts.select("task_id", F.when(read.isNotNull(), read.withField("whole", F.col(text))).alias("scores"))
 
 
+def list_documents(spark: SparkSession, root: str, folder: str = "documents") -> DataFrame:
+    """``task_id, entry`` of every file and folder below ``<root>/tasks/<task>/documents``, from the paths of the files alone.
+
+    A folder is an entry once, however many files are below it; one without any file can't be seen. Contents aren't read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/tasks").select("path")
+    inside = below(root, rf"/tasks/(.+?)/\Q{folder}\E/(.+)$")
+    named = files.select(F.regexp_extract("path", inside, 1).alias("task_id"), F.split(F.regexp_extract("path", inside, 2), "/").alias("parts")).where("task_id <> ''")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    return named.select("task_id", F.explode(prefixes).alias("entry")).distinct()
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """The one-row manifest as a JSON text."""
     manifest.select(F.col("manifest").alias("value")).write.mode("overwrite").text(path)
