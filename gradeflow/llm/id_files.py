@@ -133,7 +133,7 @@ BLOCKS = "file int, block int, before long, doc_ids array<long>, n_tokens array<
 
 
 def write_ids(ids: DataFrame, folder: str, longest: int = LONGEST) -> None:
-    """Write a table of :func:`token_ids` in ascending ``doc_id``, null first, equal ids in the order of their bytes."""
+    """Write a table of :func:`token_ids` in ascending ``doc_id``, null first, rows of equal ids in the order of a hash of their bytes."""
     spark = ids.sparkSession
     # One row per id of the vocabulary, which has at most 65,536.
     counts = np.array([tuple(r) for r in global_counts(ids).collect()], np.int64).reshape(-1, 2)
@@ -164,7 +164,8 @@ def write_ids(ids: DataFrame, folder: str, longest: int = LONGEST) -> None:
             yield block()
 
     ship(spark)
-    ordered = ids.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # Ranges are sampled from numbers alone: rows of one id go by a hash of their bytes, so its order is the hash's, then the bytes'.
+    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").drop("tie")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     made = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     # One row per file, as many as the write had tasks.

@@ -32,7 +32,7 @@ from gradeflow.llm.hashing import mixed, shingle_hashes, word_hashes, words_of
 
 # At least so many trees, and the recall that further ones are added for where nodes are deep.
 TREES = 10
-RECALL = 0.999
+RECALL = 0.99
 TOKENS = 64
 # A node with so many sets outside its largest component is compared exhaustively.
 SMALL = 256
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     reps = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "reps")
     labels = docs.sparkSession.createDataFrame([], "id long, label long")
     roots, shingles, known = None, None, None  # of the trees prepared so far, and the full sets of their candidates
-    branching, level, started, prepared, needed, depth = None, 0, 0, 0, trees, 1
+    branching, level, started, prepared, needed, depth, deepest = None, 0, 0, 0, trees, 1, 1
     while started < needed or branching is not None:
         exhaustive, rows = depth >= DEPTH, branching
         if started == prepared < needed:
@@ -307,9 +307,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
             depth = 1
         elif not large.isEmpty():
             branching, depth = _branches(large, reps, 1 / least), depth + STEPS
-            needed = max(needed, trees_for(recall, least, depth))
         else:
             depth = 1
+        deepest = max(deepest, depth)
+        if branching is None and started == prepared:
+            needed = max(needed, trees_for(recall, least, deepest))
     of_set = reps.join(labels, "id", "left").select("set_id", F.coalesce("label", "id").alias("component_id"))
     return made.join(of_set, "set_id", "left").select(
         "doc_id",

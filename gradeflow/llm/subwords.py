@@ -2,7 +2,8 @@
 
 The tokenizers used here cut a text before they merge, and never join what a space or line end between
 two other characters separates. So a text's ids are those of its chunks in a row, and each worker encodes
-a chunk that it has met before by lookup. Tests hold the result against the library on whole texts.
+a chunk that it has met before by lookup. The strings of the file's special tokens are cut out first, as the library does,
+and give their own ids. Tests hold the result against the library on whole texts.
 """
 
 from __future__ import annotations
@@ -56,12 +57,21 @@ class Subwords:
 
     def __init__(self, path: str, drops_space: bool, kind: str, remembered: int = REMEMBERED) -> None:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.special = {text: np.array([i], kind).tobytes() for text, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.mark = next(iter(special))[:2] if len({text[:2] for text in special}) == 1 else ""
         self.drops_space, self.kind = drops_space, kind
         self.plain, self.spaced = (_Ids(tokenizer, before, kind, remembered) for before in ("", " "))
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text, without special tokens."""
+        """The ids of a whole text; none are added for its ends."""
+        if self.cut and self.mark in text:
+            parts = self.cut.split(text)
+            return b"".join(self._ordinary(p) if k % 2 == 0 else self.special[p] for k, p in enumerate(parts))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if self.drops_space:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
         if not text:
