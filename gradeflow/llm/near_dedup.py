@@ -31,7 +31,7 @@ from gradeflow.llm.components import stars
 from gradeflow.llm.hashing import mixed, shingle_hashes, word_hashes, words_of
 
 # At least so many trees, and the recall that further ones are added for where nodes are deep.
-TREES = 10
+TREES = 13
 RECALL = 0.99
 TOKENS = 64
 # A node with so many sets outside its largest component is compared exhaustively.
@@ -49,7 +49,7 @@ SEARCHED = 1024
 # Cells of the largest table of sets by shingles that a task makes; beyond it sets are compared one by one.
 DENSE = 1 << 23
 # Trees that start in each round: what the first ones link needs no comparison in the later ones.
-STARTED = (2, 3, 5)
+STARTED = (2, 5, 6)
 SIGMAS = 6.3
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, TOKENS), dtype=np.uint64)
