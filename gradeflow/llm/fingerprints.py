@@ -112,7 +112,10 @@ def least_spans(hashes: PrefixHashes) -> np.ndarray:
 
 def fingerprint(text: str) -> str:
     """Equal texts have equal fingerprints."""
-    hashes = PrefixHashes(text)
+    return fingerprint_of(PrefixHashes(text))
+
+
+def fingerprint_of(hashes: PrefixHashes) -> str:
     return f"{hashes.whole():016x}{least_spans(hashes).astype('>u4').tobytes().hex()}"
 
 
@@ -131,28 +134,33 @@ def _half_replaced(text: str, other: str) -> str:
 
 
 def _compared(rows: list[tuple], following: list[tuple]) -> pd.DataFrame:
-    known: dict[str, str] = {}
+    last: tuple[str, PrefixHashes, str] | None = None  # what follows a text is mostly the next row's own
 
-    def of(text: str) -> str:
-        if text not in known:
-            known[text] = fingerprint(text)
-        return known[text]
+    def of(text: str) -> tuple[str, PrefixHashes, str]:
+        if last is not None and last[0] == text:
+            return last
+        hashes = PrefixHashes(text)
+        return text, hashes, fingerprint_of(hashes)
 
     made = []
     for (doc_id, text), (_, other) in zip(rows, following, strict=True):
         edited = _half_replaced(text, other)
-        own, changed = of(text), fingerprint(edited)
-        made.append(
-            (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, of(other)))
-        )
+        _, hashes, own = of(text)
+        changed = PrefixHashes(edited)
+        print_changed = fingerprint_of(changed)
+        last = of(other)
+        made.append((
+            doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, print_changed, likeness(own, print_changed), likeness(own, last[2]),
+            common_extension(hashes, 0, changed, 0), common_extension(hashes, 0, last[1], 0),
+        ))
     return pd.DataFrame(made, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 
 
 def neighbour_fingerprints(docs: DataFrame, slices: int = 0) -> DataFrame:
-    """Each text's fingerprint beside those of its edited text and of the next document.
+    """Each text's fingerprint beside those of its edited text and of the next document, and how many characters it begins with in common with both.
 
     Documents are taken in descending ``doc_id``, null ids last, equal ids by text, null texts as empty; after the
     last comes the first. The edited text has its last ``n // 2`` characters replaced by the first as many of the

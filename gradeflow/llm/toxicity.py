@@ -4,7 +4,7 @@ A linear classifier learns from confirmed toxic documents and unlabelled ones. U
 documents as well, so its risk is corrected by the class prior: what the toxic ones contribute to it is taken
 off, and while the corrected part is negative, a step undoes it instead of fitting on (non-negative risk). A
 lasso step keeps few features. Features are hashed: whether a word occurs, by its letters in lower case and by its
-first bytes, for words that change their endings. Scores are calibrated on the labelled training rows.
+first bytes, for words that change their endings. Scores are calibrated on labelled rows of their own.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ BITS = 18
 PREFIXES = (4, 5, 6)
 # Bounds of the sample that the classifier is fitted on.
 POSITIVES, UNLABELLED, CALIBRATION = 3_000, 5_000, 5_000
-# With fewer documents without a label, and fewer than have one, all documents of the training folds count as unlabelled.
-LEAST_FREE = 500
+# One in so many documents of the training folds calibrates the scores and isn't fitted on.
+CALIBRATING = 5
 STEPS, RATE, LASSO, LEAST_USED = 200, 0.05, 1e-3, 4
 # Texts of the sample that a step works on at once; it only bounds the driver's memory.
 AT_ONCE = 256
@@ -131,7 +131,12 @@ def calibrate(raw: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Linear:
-    """Fit on documents whose CRC-32 fold isn't ``held_out``; a bounded sample by hash order of each kind."""
+    """Fit on documents whose CRC-32 fold isn't ``held_out``; a bounded sample by hash order of each kind.
+
+    Unlabelled text is drawn from all documents of the other folds, whether they have a label or not. One in ``CALIBRATING`` of these folds' documents, by a
+    hash, only calibrates; the classifier is fitted on the others. An empty table or one without toxic labels gives a model that
+    scores everything about 0.
+    """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null")
     learnt = known.where(fold(F.col("doc_id"), folds) != held_out).join(ids.distinct(), "doc_id", "left_semi")
@@ -140,15 +145,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     if not counts["n"] or not counts["toxic"]:
         return Linear(np.zeros(1 << BITS), -40.0)
     draw = lambda rows, kind, n: rows.select("doc_id").orderBy(order, "doc_id").limit(n).select("doc_id", F.lit(kind).alias("kind"))
-    free = ids.join(known, "doc_id", "left_anti")
-    if free.limit(LEAST_FREE).count() < min(LEAST_FREE, counts["n"]):
-        free = ids.where(fold(F.col("doc_id"), folds) != held_out)
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CALIBRATING)) == 0
+    free = ids.where(fold(F.col("doc_id"), folds) != held_out).distinct()
     # At most POSITIVES + UNLABELLED + CALIBRATION ids.
     sample = (
-        draw(learnt.where("toxic = 1"), "positive", POSITIVES)
-        .union(draw(free, "unlabelled", UNLABELLED))
-        .union(draw(learnt.where("toxic = 1"), "toxic", CALIBRATION // 5))
-        .union(draw(learnt.where("toxic <> 1"), "clean", CALIBRATION - CALIBRATION // 5))
+        draw(learnt.where("toxic = 1").where(~calibrates), "positive", POSITIVES)
+        .union(draw(free.where(~calibrates), "unlabelled", UNLABELLED))
+        .union(draw(learnt.where("toxic = 1").where(calibrates), "toxic", CALIBRATION // 5))
+        .union(draw(learnt.where("toxic <> 1").where(calibrates), "clean", CALIBRATION - CALIBRATION // 5))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     found: dict[str, list[np.ndarray]] = {"positive": [], "unlabelled": [], "toxic": [], "clean": []}
