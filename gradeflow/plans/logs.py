@@ -114,6 +114,7 @@ def _any_sql(*needles: str) -> str:
     return "(" + " OR ".join(f"contains(line, '{n}')" for n in needles) + ")"
 
 
+# The trainer texts that the status rests on, as in ``gradeflow/functions/logs.py``.
 FAILED_SQL = _any_sql(
     "Traceback (most recent call last)", "subprocess.CalledProcessError", "RuntimeError:", "ValueError:",
     "IndexError:", "ImportError:", "ModuleNotFoundError:", "CUDA out of memory", "CUDA error",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,39 +12,40 @@ from gradeflow.operators import logs as ops
 from gradeflow.operators.registry import run_summary
 from gradeflow.sources.logs import read_log_lines
 
-CKPT = "/cache/checkpoints/run/global_step_1"
-# name, expected steps, lines, then status and the evidence the status must show
-CASES = [
-    ("model load only", 1, ["Total training steps: 1", "Loading checkpoint shards", "shards: 100% done"],
-     "incomplete", None),
-    ("checkpoint saved", 1, ["Total training steps: 1", f"Saving checkpoint to {CKPT}"],
-     "completed", f"Saving checkpoint to {CKPT}"),
-    ("metric of another step", 2, ["Total training steps: 2", "critic/rewards/mean=0.25 actor/pg_loss=0.1"],
-     "progress-evidence-seen", "critic/rewards/mean=0.25 actor/pg_loss=0.1"),
-    ("resume only", 1, [f"Found checkpoint: {CKPT}", f"Load from checkpoint folder: {CKPT}", f"Resuming from {CKPT}", "1/1"],
-     "incomplete", None),
-    ("failure after save", 1, [f"Saving checkpoint to {CKPT}", "Traceback (most recent call last)"],
-     "failed", "Traceback (most recent call last)"),
-    ("step after a warning", 1, ["RuntimeError: worker killed.", " step:1 - loss:-1.0 - training/global_step:1 ", "'final'"],
-     "completed-with-warning", "step:1 - loss:-1.0 - training/global_step:1"),
-    ("import error", 1, ["File run.py, line 15", "IndexError: 2", "Runner failed: IndexError(2)"],
-     "failed", "IndexError: 2"),
-    ("no step wanted", 0, [f"Saving checkpoint to {CKPT}"], "progress-evidence-seen", f"Saving checkpoint to {CKPT}"),
-    ("longer step number", 1, ["Saving checkpoint to /x/global_step_10"], "completed", "Saving checkpoint to /x/global_step_10"),
-    ("quoted step", 3, ["{'global_step': 3}"], "completed", "{'global_step': 3}"),
-]
+STEP = 7
+NOISE = ("worker 3 is ready", "shards read: 12 of 40", "eta 00:10")
+FAILURES = ("ValueError: bad shape", "CUDA error: illegal address", "Traceback (most recent call last):")
+FRESH = (f"step:{STEP} - lr:0.1", f"wrote global_step_{STEP} to disk", f'{{"global_step": {STEP}}}')
+RESUMED = (f"Resuming from /w/global_step_{STEP}", f"Setting global step to {STEP}, was global_step_{STEP}")
+PROGRESS = ("actor/pg_loss=0.5", "Saving checkpoint (async)")
+
+
+def made_logs():
+    """Logs by what they hold, each kind of line in one of its spellings, with the status that the rules give."""
+    flags = itertools.product((None, "before", "after"), (False, True), (False, True), (False, True), (0, STEP))
+    for k, (failed, fresh, resumed, progress, wanted) in enumerate(flags):
+        pick = lambda texts, k=k: texts[k % len(texts)]
+        lines = [pick(NOISE), *[pick(FAILURES)] * (failed == "before"), *[pick(RESUMED)] * resumed, *[pick(PROGRESS)] * progress]
+        lines += [*[f"  {pick(FRESH)} "] * fresh, *[pick(FAILURES)] * (failed == "after"), pick(NOISE)]
+        reached = fresh and wanted > 0
+        if failed:
+            status = "completed-with-warning" if reached and failed == "before" else "failed"
+        else:
+            status = "completed" if reached else "progress-evidence-seen" if progress else "incomplete"
+        evidence = (pick(FAILURES) if failed else None, pick(FRESH) if reached else None, pick(PROGRESS) if progress and not reached else None)
+        yield f"log-{k}", wanted, lines, (status, len(lines), *evidence)
 
 
 def log(spark, lines, run="r"):
     return spark.createDataFrame([(run, i, line) for i, line in enumerate(lines)], "run_id string, line_no bigint, line string")
 
 
-@pytest.mark.parametrize("name, steps, lines, status, evidence", CASES, ids=[c[0] for c in CASES])
-def test_status(spark, name, steps, lines, status, evidence):
-    row = ops.run_status(log(spark, lines), expect_steps=steps).first()
-    assert row["status"] == status and row["lines"] == len(lines)
-    shown = [row[c] for c in ("failure_line", "step_evidence", "progress_evidence")]
-    assert evidence is None and shown == [None, None, None] or evidence in shown
+@pytest.mark.parametrize("wanted", [0, STEP])
+def test_status_of_every_kind_of_log(spark, wanted):
+    own = [(name, lines, expected) for name, asked, lines, expected in made_logs() if asked == wanted]
+    rows = spark.createDataFrame([(name, i, line) for name, lines, _ in own for i, line in enumerate(lines)], "run_id string, line_no bigint, line string")
+    made = {r["run_id"]: (r["status"], r["lines"], r["failure_line"], r["step_evidence"], r["progress_evidence"]) for r in ops.run_status(rows, expect_steps=wanted).collect()}
+    assert made == {name: expected for name, _, expected in own}
 
 
 def test_exact_step_and_configured_steps(spark):
