@@ -99,8 +99,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         coder = subwords(tokenizer, drops_space=False, remembered=remembered)
         doc, piece, start, length, crc, kept = [], [], [], [], [], []
+        last, ids = None, b""
         for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-            ids = coder.encode(text or "") + tail
+            if text is None or text != last:  # copies that a mix takes follow each other
+                last, ids = text, coder.encode(text or "") + tail
             n = len(ids) // 4
             at, size = 0, (n - 1) % capacity + 1
             k = 0
