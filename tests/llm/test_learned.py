@@ -77,7 +77,7 @@ def test_messy_learned(spark, messy, none):
         assert toxicity.without_toxic(docs, toxicity.train(docs, labels)).columns == docs.columns
 
 
-def test_pipeline(spark, folder):
+def test_pipeline_counts(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     before, columns, counts = docs.count(), docs.columns, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
