@@ -44,8 +44,8 @@ SLICE = 512
 STEP_SIZE, STEPS = 512, 4
 # Levels after which a node isn't branched any more but compared exhaustively: its sets then agree in most tokens.
 DEPTH = 48
-# First-level nodes of more sets aren't searched for close sketches: all their sets count as candidates.
-SEARCHED = 1024
+# First-level nodes of more sets aren't searched for close sketches: all their sets count as candidates. It bounds the search for each set.
+SEARCHED = 4096
 # Cells of the largest table of sets by shingles that a task makes; beyond it sets are compared one by one.
 DENSE = 1 << 23
 # Trees that start in each round: what the first ones link needs no comparison in the later ones.
@@ -63,15 +63,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def minwise(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """The minwise tokens of a set that isn't empty, and one bit of each as a 64-bit number."""
+def minwise(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The minwise tokens of a set that isn't empty, and two bits of each as two 64-bit numbers."""
     least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         part = shingles[at : at + 1024]
         np.minimum(least, ((part[None, :] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=least)
     tokens = mixed(least)
-    bits = np.packbits((tokens >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64)[0]
-    return tokens.astype(np.uint32).view(np.int32), int(bits)
+    bits = [int(np.packbits((tokens >> np.uint64(at)).astype(np.uint8) & 1).view(np.int64)[0]) for at in (40, 41)]
+    return tokens.astype(np.uint32).view(np.int32), *bits
+
+
+def _apart(one: Column, two: Column) -> Column:
+    """In how many tokens two sketches differ, as far as two bits of each tell."""
+    return F.bit_count(one["a"].bitwiseXOR(two["a"]).bitwiseOR(one["b"].bitwiseXOR(two["b"])))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -79,19 +84,19 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         sets = shingle_sets(data, offsets, words)
-        made = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *minwise(s)) if len(s) else (None,) * 3 for s in sets]
+        made = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *minwise(s)) if len(s) else (None,) * 4 for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 rows.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([x[0] for x in made], pa.binary()),
                 pa.array([x[1] for x in made], pa.list_(pa.int32())),
-                pa.array([x[2] for x in made], pa.int64()),
+                pa.StructArray.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (2, 3)], ["a", "b"]),
             ],
             ["doc_id", "n_shingles", "set_id", "tokens", "bits"],
         )
 
-    schema = "doc_id long, n_shingles long, set_id binary, tokens array<int>, bits long"
+    schema = "doc_id long, n_shingles long, set_id binary, tokens array<int>, bits struct<a:long,b:long>"
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
 
 
@@ -176,12 +181,11 @@ def _meetings(inside: DataFrame, most_apart: int) -> DataFrame:
     home = inside.select("node", own.alias("slice"), "id", "part", "bits", "few", F.lit(True).alias("home"))
     away = inside.where("few").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).where(F.col("slice") != own)
     few = home.where("few").union(away.select("node", "slice", "id", "part", "bits", "few", F.lit(False)))
-    one, two = F.col("one.bits"), F.col("two.bits")
     close = (
         (F.col("one.node") == F.col("two.node"))
         & (F.col("one.slice") == F.col("two.slice"))
         & (F.col("one.part") != F.col("two.part"))
-        & (F.bit_count(one.bitwiseXOR(two)) <= most_apart)
+        & (_apart(F.col("one.bits"), F.col("two.bits")) <= most_apart)
     )
     others = home.where("not few").alias("one").join(few.alias("two"), close, "left_semi")
     met = few.alias("one").join(home.alias("two"), close, "left_semi")
@@ -250,17 +254,23 @@ def _compared(meetings: DataFrame, sets: DataFrame, numerator: int, denominator:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _candidates(roots: DataFrame, most_apart: int) -> DataFrame:
-    """``id`` of the sets that have a close partner in a first-level node, or are in one of more than ``SEARCHED`` sets."""
+def _close_roots(roots: DataFrame, most_apart: int) -> DataFrame:
+    """The rows of :func:`_roots` whose set has a partner with a close sketch in their node; all rows of nodes of more than ``SEARCHED`` sets.
+
+    What is left out could only be compared in vain, there and further down.
+    """
     sizes = roots.groupBy("node").agg(F.count("*").alias("sets"))
     sized = stored(roots.join(sizes, "node"), "sized")
     one, two = sized.where(F.col("sets") <= SEARCHED).alias("one"), sized.where(F.col("sets") <= SEARCHED).alias("two")
-    close = (F.col("one.node") == F.col("two.node")) & (F.col("one.id") != F.col("two.id")) & (F.bit_count(F.col("one.bits").bitwiseXOR(F.col("two.bits"))) <= most_apart)
-    return one.join(two, close, "left_semi").select("id").union(sized.where(F.col("sets") > SEARCHED).select("id")).distinct()
+    close = (F.col("one.node") == F.col("two.node")) & (F.col("one.id") != F.col("two.id")) & (_apart(F.col("one.bits"), F.col("two.bits")) <= most_apart)
+    return stored(one.join(two, close, "left_semi").union(sized.where(F.col("sets") > SEARCHED)).drop("sets"), "close")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``id, label`` after links between labels: those of joined components become their least."""
+    links = stored(links.distinct(), "links")
+    if links.isEmpty():
+        return labels
     newer = stars(links).select(F.col("a").alias("label"), F.col("b").alias("newer"))
     moved = labels.join(newer, "label", "left").select("id", F.coalesce("newer", "label").alias("label"))
     return stored(moved.union(newer.select("label", "newer")), "labels")
@@ -277,7 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     the sets of one slice. Other columns are ignored.
     """
     least = numerator / denominator
-    agree = (1 + least) / 2
+    agree = least + (1 - least) / 4  # other tokens agree in both bits once in four times
     most_apart = int(TOKENS * (1 - agree) + SIGMAS * (TOKENS * agree * (1 - agree)) ** 0.5)
     made = stored(sketches(docs, words), "sketches")
     # Equal sets are one; the least document stands for them.
@@ -289,8 +299,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     while started < needed or branching is not None:
         exhaustive, rows = depth >= DEPTH, branching
         if started == prepared < needed:
-            roots = _roots(reps, prepared, needed, 1 / least)
-            found = _candidates(roots, most_apart)
+            roots = _close_roots(_roots(reps, prepared, needed, 1 / least), most_apart)
+            found = roots.select("id").distinct()
             found = stored(found if known is None else found.join(known, "id", "left_anti"), "candidates")
             more = stored(_sets_of(docs, small_side(found), words), "sets")
             shingles, known, prepared = (more, found, needed) if known is None else (shingles.union(more), known.union(found), needed)
