@@ -136,7 +136,7 @@ def brute_negatives(rows, every, positives, negatives):
     return Counter(made)
 
 
-@pytest.mark.parametrize(("every", "block"), [(5, 1024), (3, 7)])
+@pytest.mark.parametrize(("every", "block"), [(5, 1024), (3, 60)])
 def test_hard_negatives(spark, every, block):
     pick = np.random.default_rng(block)
     centres = pick.normal(size=(4, 6))
