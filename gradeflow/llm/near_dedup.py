@@ -35,13 +35,13 @@ TREES = 13
 RECALL = 0.99
 TOKENS = 64
 # A node with so many sets outside its largest component is compared exhaustively.
-SMALL = 256
+SMALL = 512
 # In a larger node so many sets, drawn by hash, are compared with all others before it branches.
 DRAWN = 32
 # Sets of a node are compared in slices of about so many, each with the few that are compared with all.
-SLICE = 512
+SLICE = 1024
 # Large nodes go down two levels at once, those of more than STEP_SIZE sets STEPS levels.
-STEP_SIZE, STEPS = 512, 4
+STEP_SIZE, STEPS = 1024, 3
 # Levels after which a node isn't branched any more but compared exhaustively: its sets then agree in most tokens.
 DEPTH = 48
 # First-level nodes of more sets aren't searched for close sketches: all their sets count as candidates. It bounds the search for each set.
