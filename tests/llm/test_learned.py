@@ -45,6 +45,14 @@ def test_held_out_language(spark):
     assert made.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_held_out_quality(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.col("doc_id") % 5 == 0
+    made = quality.quality(docs, quality.train(docs, labels.where(~held))).where(held & ~F.col("base_failed")).join(labels, "doc_id")
+    rates = {r["quality"]: r["rate"] for r in made.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
+    assert rates[1] > 0.9 and rates[1] > rates[0] + 0.5, rates
+
+
 def test_quality_counts(spark, small, messy, none, folder):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
