@@ -102,7 +102,8 @@ def _stores(spark: SparkSession, folder: str) -> DataFrame:
 def run_store_metrics(spark: SparkSession, folder: str) -> DataFrame:
     stored = _stores(spark, folder)
     configured = stored.select(F.col("id").alias("run_id"), "status", F.col("config.steps").alias("configured"))
-    return runs.run_metrics(stored).join(configured, "run_id").drop("distillation_loss", "teacher_kl", "whole")
+    # Sizes are estimated far too low where variants are left behind; by them Spark would broadcast a side that grows with the runs.
+    return runs.run_metrics(stored).join(configured.hint("merge"), "run_id").drop("distillation_loss", "teacher_kl", "whole")
 
 
 STORE_METRICS_SQL = f"""
