@@ -7,10 +7,10 @@ taken in while their run has state, and go to a side table where it has none.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -20,6 +20,8 @@ from gradeflow.streaming import versions
 
 DELAY = "10 minutes"
 IDLE_MS = 7 * 24 * 3600 * 1000
+# Neighbouring steps that are read and written at once.
+STEPS = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,11 +31,25 @@ def keep_state_in_rocks(spark: SparkSession) -> None:
 
 
 def _by_run(records: DataFrame, delay: str, processor: StatefulProcessor, schema: str, *columns: str) -> DataFrame:
-    """``processor`` over the records of each ``run_id``; they have ``at``, the milliseconds of ``ts``, in place of it."""
+    """``processor`` over the records of each ``run_id``; they have ``at``, the milliseconds of ``ts``, in place of it.
+
+    Processors take plain rows one by one. What costs time is each call to a state and each element of it, so what a run holds is
+    one value where it is bounded, else chunks of arrays, read and written once for each run and batch.
+    """
     keep_state_in_rocks(records.sparkSession)
     timed = records.where("run_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("ts", delay).select("run_id", F.unix_millis("ts").alias("at"), *columns)
-    return timed.groupBy("run_id").transformWithStateInPandas(processor, schema, "append", "eventtime")
+    return timed.groupBy("run_id").transformWithState(processor, schema, "append", "eventtime")
+
+
+_EVENT = Row("run_id", "event", "at", "last_seen")
+CHUNK = 4096
+
+
+def _chunks(records: list[tuple]) -> list[tuple[list, ...]]:
+    """Records as the arrays of their members, so many to an element of a list state."""
+    parts = [records[k : k + CHUNK] for k in range(0, len(records), CHUNK)]
+    return [tuple(list(values) for values in zip(*part, strict=True)) for part in parts]
 
 
 class Heartbeats(StatefulProcessor):
@@ -45,18 +61,19 @@ class Heartbeats(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.known = handle.getValueState("known", "last long, orphaned boolean")
-        self.waiting = handle.getListState("waiting", "at long, ended boolean")
+        self.waiting = handle.getListState("waiting", "at array<long>, ended array<boolean>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [(int(at), bool(e)) for part in rows for at, e in zip(part["at"], part["ended"], strict=True)]
-        self.waiting.appendList(fresh)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh = [(at, ended) for _, at, ended in rows]
+        self.waiting.appendList(_chunks(fresh))
         self.handle.registerTimer(min(at for at, _ in fresh))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        records = sorted(self.waiting.get()) if self.waiting.exists() else []
-        last, orphaned = self.known.get() if self.known.exists() else (None, False)
+        records = sorted(r for chunk in self.waiting.get() for r in zip(*chunk, strict=True))
+        known = self.known.get()
+        last, orphaned = known or (None, False)
         found: list[tuple[str, int, int]] = []
 
         def silent_until(moment: int) -> None:
@@ -75,17 +92,20 @@ class Heartbeats(StatefulProcessor):
             last = None if ended else at if last is None else max(last, at)
         silent_until(passed + 1)
         left = [r for r in records if r[0] > passed]
-        self.waiting.put(left) if left else self.waiting.clear()
         if left:
+            self.waiting.put(_chunks(left))
             self.handle.registerTimer(left[0][0])
+        elif records:
+            self.waiting.clear()
         if last is None:
-            self.known.clear()
-        else:
+            if known:
+                self.known.clear()
+        elif known != (last, orphaned):
             self.known.update((last, orphaned))
-            if not orphaned:
-                self.handle.registerTimer(last + self.silence)
-        if found:
-            yield pd.DataFrame([(key[0], *f) for f in found], columns=["run_id", "event", "at", "last_seen"])
+        if last is not None and not orphaned:
+            self.handle.registerTimer(last + self.silence)
+        for event in found:
+            yield _EVENT(key[0], *event)
 
     def close(self) -> None:
         pass
@@ -104,159 +124,171 @@ def orphans(records: DataFrame, silence_ms: int, delay: str = DELAY) -> DataFram
 class Closing(StatefulProcessor):
     """What the processors below share: when a run's state goes, and which records are late.
 
-    ``columns`` are those of the output behind ``run_id, late, line_no``.
+    ``columns`` are those of the output behind ``run_id, late, line_no``, and ``held`` what a run holds beside its times, bounded.
+    Records are ``run_id, at, line_no, exit_code`` and what :meth:`take` expects behind them.
     """
 
     columns: tuple[str, ...] = ()
+    held = ""
 
     def __init__(self, idle_ms: int) -> None:
         self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "last long, until long")
-        self.open(handle)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        records = pd.concat(list(rows))
-        passed = timerValues.getCurrentWatermarkInMs()
-        last, until = self.seen.get() if self.seen.exists() else (None, None)
-        if last is None:
-            late = records["at"] < passed
-            if late.any():
-                yield self._shaped(key[0], True, pd.DataFrame({"line_no": records["line_no"][late]}))
-                records = records[~late]
-            if not len(records):
-                return
-        newest = int(records["at"].max())
-        last = newest if last is None else max(last, newest)
-        made = self.take(records)
+        self.shape = Row("run_id", "late", "line_no", *self.columns)
+        self.run = handle.getValueState("run", f"last long, until long, over boolean{self.held}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        passed, nothing = timerValues.getCurrentWatermarkInMs(), (None,) * len(self.columns)
+        before = self.run.get()
+        last, until, over, *own = before or (None, None, False)
+        self.begin(*own)
+        newest = last
+        taken = False
+        for _, at, line_no, exit_code, *values in rows:
+            if before is None and at < passed:
+                yield self.shape(key[0], True, line_no, *nothing)
+                continue
+            taken = True
+            newest = at if newest is None or at > newest else newest
+            over = over or exit_code is not None
+            self.take(line_no, exit_code, *values)
+        if not taken:
+            return
+        for line_no, *values in self.made():
+            yield self.shape(key[0], False, line_no, *values)
         # The end of a run, once known, is its last record; before, the run may be silent for so long.
-        now = last if self.over() else last + self.idle
+        now = newest if over else newest + self.idle
         if now != until:
             if until is not None:
                 self.handle.deleteTimer(until)
             self.handle.registerTimer(now)
-        self.seen.update((last, now))
-        if len(made):
-            yield self._shaped(key[0], False, made)
+        after = (newest, now, over, *self.holds())
+        if after != before:
+            self.run.update(after)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        self.shut()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.run.clear()
         return iter(())
 
-    def _shaped(self, run: str, late: bool, made: pd.DataFrame) -> pd.DataFrame:
-        full = made.assign(run_id=run, late=late)
-        for name in ("line_no", *self.columns):
-            if name not in full:
-                full[name] = None
-        return full[["run_id", "late", "line_no", *self.columns]]
-
     def close(self) -> None:
         pass
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        """Name the states."""
+    def begin(self, *own) -> None:
+        """Take up what a run holds; nothing for a new one."""
+
+    def take(self, line_no: int, exit_code: int | None, *values) -> None:
+        """Take a record in."""
 
-    def take(self, records: pd.DataFrame) -> pd.DataFrame:
-        """Take records in and give what is new."""
+    def made(self) -> Iterator[tuple]:
+        """``line_no`` and ``columns`` of what is new."""
 
-    def over(self) -> bool:
-        """Whether the run has ended."""
+    def holds(self) -> tuple:
+        """What the run holds now."""
+        return ()
 
-    def shut(self) -> None:
-        """Clear the states."""
 
+def _later(line: int | None, value, before: tuple) -> tuple:
+    """The line and value of a record that has a value and is behind the one known before, or that one."""
+    there = line is not None and value is not None and value == value
+    return (line, value) if there and (before[0] is None or line > before[0]) else before
 
-def _last(records: pd.DataFrame, column: str, before: tuple) -> tuple:
-    """The line and value of the last record that has a value, or those known before."""
-    found = records[records[column].notna()]
-    if not len(found):
-        return before
-    row = found.loc[found["line_no"].idxmax()]
-    line = int(row["line_no"])
-    return (line, row[column]) if before[0] is None or line > before[0] else before
+
+def _greatest(one: int | None, two: int | None) -> int:
+    return max(one or 0, two or 0)
 
 
 class RunStates(Closing):
     columns = ("exit_code", "app_id", "updated_at", "last_line")
+    held = ", exit_line long, exit_code int, app_line long, app_id string, updated_at long, last_line long"
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "exit_line long, exit_code int, app_line long, app_id string, updated_at long, last_line long")
+    def begin(self, *own) -> None:
+        exit_line, code, app_line, app, self.updated, self.last = own or (None,) * 6
+        self.exit, self.app = (exit_line, code), (app_line, app)
 
-    def take(self, records: pd.DataFrame) -> pd.DataFrame:
-        records = records.reset_index(drop=True)
-        exit_line, code, app_line, app, updated, last = self.state.get() if self.state.exists() else (None,) * 6
-        exit_line, code = _last(records, "exit_code", (exit_line, code))
-        app_line, app = _last(records, "app_id", (app_line, app))
-        updated, last = max(int(records["micros"].max()), updated or 0), max(int(records["line_no"].max()), last or 0)
-        code = None if code is None else int(code)
-        self.state.update((exit_line, code, app_line, app, updated, last))
-        return pd.DataFrame({"exit_code": [code], "app_id": [app], "updated_at": [updated], "last_line": [last]})
+    def take(self, line_no: int, exit_code: int | None, app_id: str | None, micros: int) -> None:
+        self.exit, self.app = _later(line_no, exit_code, self.exit), _later(line_no, app_id, self.app)
+        self.updated, self.last = _greatest(micros, self.updated), _greatest(line_no, self.last)
 
-    def over(self) -> bool:
-        return self.state.get()[0] is not None
+    def made(self) -> Iterator[tuple]:
+        yield None, self.exit[1], self.app[1], self.updated, self.last
 
-    def shut(self) -> None:
-        self.state.clear()
+    def holds(self) -> tuple:
+        return (*self.exit, *self.app, self.updated, self.last)
 
 
 class StepMetrics(Closing):
-    columns = ("step", *lf.METRIC_NAMES)
+    """Steps are held in chunks of neighbours, so a long run reads and writes those that a batch touches."""
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        numbers = ", ".join(f"line_{name} long, {name} double" for name in lf.METRIC_NAMES)
-        self.steps = handle.getMapState("steps", "step long", numbers)
-        self.ended = handle.getValueState("ended", "ended boolean")
-
-    def take(self, records: pd.DataFrame) -> pd.DataFrame:
-        if records["exit_code"].notna().any():
-            self.ended.update((True,))
-        made = []
-        for step, own in records[records["step"].notna()].reset_index(drop=True).groupby("step"):
-            place = (int(step),)
-            known = self.steps.getValue(place) if self.steps.containsKey(place) else (None,) * (2 * len(lf.METRIC_NAMES))
-            pairs = [_last(own, name, (known[2 * k], known[2 * k + 1])) for k, name in enumerate(lf.METRIC_NAMES)]
-            self.steps.updateValue(place, tuple(x if x is None or k == 0 else float(x) for pair in pairs for k, x in enumerate(pair)))
-            made.append((int(step), *[None if value is None else float(value) for _, value in pairs]))
-        return pd.DataFrame(made, columns=list(self.columns))
-
-    def over(self) -> bool:
-        return self.ended.exists()
+    columns = ("step", *lf.METRIC_NAMES)
+    held = ", steps boolean"
 
-    def shut(self) -> None:
-        self.steps.clear()
-        self.ended.clear()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        numbers = ", ".join(f"line_{name}: long, {name}: double" for name in lf.METRIC_NAMES)
+        self.chunks = handle.getMapState("chunks", "chunk long", f"steps array<struct<step: long, {numbers}>>")
+
+    def begin(self, *own) -> None:
+        self.known = bool(own and own[0])
+        self.fresh: dict[int, dict[int, list[tuple]]] = {}
+        self.touched: set[int] = set()
+
+    def take(self, line_no: int, exit_code: int | None, step: int | None, *values: float | None) -> None:
+        if step is None:
+            return
+        place = step // STEPS
+        chunk = self.fresh.get(place)
+        if chunk is None:
+            found = self.chunks.getValue((place,)) if self.known else None
+            chunk = self.fresh[place] = {row[0]: list(zip(row[1::2], row[2::2], strict=True)) for row in (found[0] if found else ())}
+        self.touched.add(step)
+        pairs = chunk.setdefault(step, [(None, None)] * len(values))
+        for k, value in enumerate(values):
+            pairs[k] = _later(line_no, value, pairs[k])
+
+    def made(self) -> Iterator[tuple]:
+        for place, chunk in self.fresh.items():
+            self.chunks.updateValue((place,), ([(step, *(x for pair in pairs for x in pair)) for step, pairs in chunk.items()],))
+            for step in self.touched.intersection(chunk):
+                yield None, step, *[value for _, value in chunk[step]]
+
+    def holds(self) -> tuple:
+        return (self.known or bool(self.fresh),)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.chunks.clear()
+        return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
 
 
 class Tails(Closing):
     columns = ("line",)
+    held = ", lines array<struct<line_no: long, line: string>>"
 
     def __init__(self, idle_ms: int, keep: int) -> None:
         super().__init__(idle_ms)
         self.keep = keep
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.lines = handle.getListState("lines", "line_no long, line string")
-        self.ended = handle.getValueState("ended", "ended boolean")
+    def begin(self, *own) -> None:
+        self.kept = [tuple(row) for row in own[0]] if own else []
+        # The newest records of the batch; of equal line numbers the first ones.
+        self.heap: list[tuple] = []
+        self.count = 0
 
-    def take(self, records: pd.DataFrame) -> pd.DataFrame:
-        if records["exit_code"].notna().any():
-            self.ended.update((True,))
-        held = dict(self.lines.get()) if self.lines.exists() else {}
-        fresh = records.nlargest(self.keep, "line_no")
-        held.update(zip(fresh["line_no"].tolist(), fresh["line"].tolist(), strict=True))
-        kept = sorted(held.items())[-self.keep :]
-        self.lines.put(kept)
-        return pd.DataFrame(kept, columns=["line_no", "line"])
+    def take(self, line_no: int, exit_code: int | None, line: str | None) -> None:
+        self.count += 1
+        if line_no is None:
+            return
+        push = heapq.heappush if len(self.heap) < self.keep else heapq.heappushpop
+        push(self.heap, (line_no, -self.count, line))
 
-    def over(self) -> bool:
-        return self.ended.exists()
+    def made(self) -> Iterator[tuple]:
+        fresh = {line_no: line for line_no, _, line in sorted(self.heap, reverse=True)}
+        self.kept = sorted((dict(self.kept) | fresh).items())[-self.keep :]
+        yield from self.kept
 
-    def shut(self) -> None:
-        self.lines.clear()
-        self.ended.clear()
+    def holds(self) -> tuple:
+        return (self.kept,)
 
 
 _LATE = "run_id string, late boolean, line_no long"
@@ -295,6 +327,6 @@ def step_metrics(lines: DataFrame, out: str, late: str, checkpoint: str, delay:
 
 
 def log_tail(lines: DataFrame, out: str, late: str, checkpoint: str, keep: int = log_ops.KEPT_LINES, delay: str = DELAY, idle_ms: int = IDLE_MS, fold_every: int = 16) -> StreamingQuery:
-    """The newest ``keep`` lines of each run in a list state; each version of a run is its whole tail, so reading folds no history."""
-    made = _by_run(lines, delay, Tails(idle_ms, keep), f"{_LATE}, line string", "line_no", "line", "exit_code")
+    """The newest ``keep`` lines of each run in its state; each version of a run is its whole tail, so reading folds no history."""
+    made = _by_run(lines, delay, Tails(idle_ms, keep), f"{_LATE}, line string", "line_no", "exit_code", "line")
     return _written(made, out, late, checkpoint, ["run_id"], lambda b: b.select("run_id", "line_no", "line"), fold_every)

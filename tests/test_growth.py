@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Row
+
 from gradeflow.plans import registry
+from gradeflow.streaming import closing
 
 
 def events(spark, folder, rows):
@@ -24,3 +27,87 @@ def test_run_metrics_are_not_broadcast(spark, tmp_path):
         ("run-7", 7): (0.5, "queued", 7), ("run-7", 10): (None, "queued", 7),
         ("run-8", 8): (0.5, "running", 8), ("run-8", 10): (None, "running", 8),
     }
+
+
+class State:
+    """A value, list or map of one run that counts how often it is called, and the elements it is given."""
+
+    def __init__(self, calls):
+        self.held, self.calls = None, calls
+
+    def get(self, *_):
+        self.calls.append(1)
+        return self.held
+
+    def update(self, value):
+        self.calls.append(1)
+        self.held = value
+
+    def exists(self):
+        return self.get() is not None
+
+    def clear(self):
+        self.update(None)
+
+    def appendList(self, values):
+        self.calls.extend(values)
+        self.held = [*(self.held or []), *values]
+
+    def put(self, values):
+        self.calls.extend(values)
+        self.held = values
+
+    def getValue(self, key):
+        self.calls.append(1)
+        return (self.held or {}).get(key)
+
+    def containsKey(self, key):
+        return self.getValue(key) is not None
+
+    def updateValue(self, key, value):
+        self.calls.append(1)
+        self.held = (self.held or {}) | {key: value}
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getValueState(self, *_):
+        return State(self.calls)
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls.append(1)
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append(1)
+        self.timers.discard(at)
+
+
+class Times:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def taken_in(processor, names, batches):
+    """What a processor gives for the batches of one run, and how many state calls and elements each took."""
+    handle, made, calls = Handle(), [], []
+    processor.init(handle)
+    for batch in batches:
+        handle.calls.clear()
+        made.append([tuple(r)[2:] for r in processor.handleInputRows(("r",), (Row(*names)(*row) for row in batch), Times())])
+        calls.append(len(handle.calls))
+    return made, calls, handle
+
+
+def test_steps_take_a_call_for_each_chunk(spark):
+    names = ["run_id", "at", "line_no", "exit_code", "step", *closing.lf.METRIC_NAMES]
+    first = [("r", 5, n, None, n // 2, None, n / 2 if n % 2 == 0 else None, None) for n in range(2000)]
+    second = [("r", 6, 2000, 0, 7, None, None, 2.5), ("r", 6, 3, None, 7, 9.0, 9.0, None)]
+    (one, two), calls, handle = taken_in(closing.StepMetrics(1000), names, [first, second])
+    assert sorted(one) == [(None, k, None, float(k), None) for k in range(1000)]
+    assert two == [(None, 7, 9.0, 7.0, 2.5)] and handle.timers == {6}
+    assert calls[0] <= 1000 / closing.STEPS + 5 and calls[1] <= 6
