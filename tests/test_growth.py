@@ -111,3 +111,24 @@ def test_steps_take_a_call_for_each_chunk(spark):
     assert sorted(one) == [(None, k, None, float(k), None) for k in range(1000)]
     assert two == [(None, 7, 9.0, 7.0, 2.5)] and handle.timers == {6}
     assert calls[0] <= 1000 / closing.STEPS + 5 and calls[1] <= 6
+
+
+def test_the_state_of_a_run_is_one_value(spark):
+    names = ["run_id", "at", "line_no", "exit_code", "app_id", "micros"]
+    first = [("r", 5, n, None, "ap-1" if n == 4 else None, n) for n in range(1000)]
+    made, calls, handle = taken_in(closing.RunStates(1000), names, [first, [("r", 7, 1001, 1, None, 3)]])
+    assert made == [[(None, None, "ap-1", 999, 999)], [(None, 1, "ap-1", 999, 1001)]]
+    assert handle.timers == {7} and calls[0] <= 3 and calls[1] <= 4
+
+
+def test_a_tail_is_one_value(spark):
+    names = ["run_id", "at", "line_no", "exit_code", "line"]
+    first = [("r", 5, n, None, f"l{n}") for n in range(1000)]
+    made, calls, handle = taken_in(closing.Tails(1000, 3), names, [first, [("r", 7, 998, None, "again"), ("r", 7, 1, None, "old")]])
+    assert made == [[(n, f"l{n}") for n in (997, 998, 999)], [(997, "l997"), (998, "again"), (999, "l999")]]
+    assert handle.timers == {1007} and calls[0] <= 3 and calls[1] <= 4
+
+
+def test_waiting_heartbeats_are_few_elements(spark):
+    made, calls, handle = taken_in(closing.Heartbeats(1000), ["run_id", "at", "ended"], [[("r", n, False) for n in range(10_000)]])
+    assert made == [[]] and handle.timers == {0} and calls[0] <= 4
