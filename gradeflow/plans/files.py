@@ -29,20 +29,21 @@ def _files_of_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy(near).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
-def _one_file_each(bodies: DataFrame, path: str) -> None:
-    bodies.select("file", "value").repartition("file").write.partitionBy("file").text(path)
+def _bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """``shape, file, value``: each run of documents as a list and as an object. Runs are rows of one shuffle; being one row each, they need no other one."""
+    files = _files_of_rows(spark, folder).select("file", F.to_json("rows").alias("rows"))
+    wrapped = F.concat(F.lit('{"made": {"by": "x"}, "size": 1, "rows": '), "rows", F.lit(', "more": [1]}'))
+    shapes = [F.struct(F.lit(name).alias("shape"), F.col("file"), body.alias("value")) for name, body in (("lists", F.col("rows")), ("objects", wrapped))]
+    return files.select(F.inline(F.array(*shapes)))
 
 
 def json_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as JSON lists, as objects with a named list, and as objects whose first list counts, each read back as a split."""
-    out, files = fresh_path(spark, "json"), _files_of_rows(spark, folder)
-    rows = F.to_json("rows")
-    _one_file_each(files.select("file", rows.alias("value")), f"{out}/lists")
-    wrapped = F.concat(F.lit('{"made": {"by": "x"}, "size": 1, "rows": '), rows, F.lit(', "more": [1]}'))
-    _one_file_each(files.select("file", wrapped.alias("value")), f"{out}/objects")
-    lists = datasets.read_splits(spark, f"{out}/lists/*", None, reader=datasets.read_json_list, schema=ROW)
-    named = datasets.read_json_member(spark, f"{out}/objects/*", ROW, "rows").withColumn("split", F.lit("named"))
-    first = datasets.read_json_member(spark, f"{out}/objects/*", ROW).withColumn("split", F.lit("first"))
+    out = fresh_path(spark, "json")
+    _bodies(spark, folder).write.partitionBy("shape", "file").text(out)
+    lists = datasets.read_splits(spark, f"{out}/shape=lists/*", None, reader=datasets.read_json_list, schema=ROW)
+    named = datasets.read_json_member(spark, f"{out}/shape=objects/*", ROW, "rows").withColumn("split", F.lit("named"))
+    first = datasets.read_json_member(spark, f"{out}/shape=objects/*", ROW).withColumn("split", F.lit("first"))
     return datasets.select_split(lists, "test").unionByName(datasets.select_split(lists, "train")).unionByName(named).unionByName(first)
 
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Row
 
-from gradeflow.plans import registry
+from gradeflow.plans import files, registry
 from gradeflow.streaming import closing
 
 
@@ -132,3 +132,14 @@ def test_a_tail_is_one_value(spark):
 def test_waiting_heartbeats_are_few_elements(spark):
     made, calls, handle = taken_in(closing.Heartbeats(1000), ["run_id", "at", "ended"], [[("r", n, False) for n in range(10_000)]])
     assert made == [[]] and handle.timers == {0} and calls[0] <= 4
+
+
+def test_json_bodies_take_one_shuffle(spark, tmp_path):
+    """Both shapes of a file come out of one row, which the writer needs no second shuffle for."""
+    rows = [(n, f"text {n}", "en") for n in (1, 2, 150)] + [(None, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = files._bodies(spark, str(tmp_path))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    bodies = {(r["shape"], r["file"]): r["value"] for r in made.collect()}
+    assert len(bodies) == 6 and bodies["lists", 1] == '[{"doc_id":150,"text":"text 150","lang":"en"}]'
+    assert bodies["objects", 1].endswith(', "rows": ' + bodies["lists", 1] + ', "more": [1]}')
