@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from gradeflow.functions import logs as lf
 from gradeflow.operators import logs as log_ops
@@ -30,20 +34,92 @@ def keep_state_in_rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+# Records in a packed row, and what a task packs at once; they only bound memory.
+PACK = 256
+PACKED_ROWS, PACKED_BYTES = 1 << 20, 1 << 26
+CHUNK = 4096
+
+
+def _lists(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches by ``run_id``, the first column: of the others, arrays of at most ``PACK`` values."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    runs = table.column(0).combine_chunks().dictionary_encode()
+    codes = runs.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    firsts = np.flatnonzero(np.diff(codes, prepend=-1))
+    place = np.arange(len(codes)) - np.repeat(firsts, np.diff(firsts, append=len(codes)))
+    starts = np.flatnonzero(place % PACK == 0)
+    ends = pa.array(np.append(starts, len(codes)), pa.int32())
+    values = [pa.ListArray.from_arrays(ends, c.combine_chunks()) for c in table.select(range(1, table.num_columns)).take(pa.array(order)).columns]
+    packed = pa.RecordBatch.from_arrays([runs.dictionary.take(pa.array(codes[starts])), *values], table.column_names)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(codes), 1 << 15)), len(starts))).tolist()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield packed.slice(low, high - low)
+
+
+def _arrays(schema: StructType) -> StructType:
+    """The schema with an array in place of each column but the first."""
+    return StructType([schema[0], *(StructField(f.name, ArrayType(f.dataType)) for f in schema[1:])])
+
+
+def _packed(records: DataFrame) -> DataFrame:
+    """The records of a run in few rows, each column behind ``run_id`` as an array, after a shuffle by run."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+            if rows >= PACKED_ROWS or size >= PACKED_BYTES:
+                yield from _lists(held)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield from _lists(held)
+
+    return records.repartition("run_id").mapInArrow(pack, _arrays(records.schema))
+
+
+class Packed(StatefulProcessor):
+    """Another processor over packed records. What it makes of a run leaves packed too."""
+
+    def __init__(self, inner: StatefulProcessor) -> None:
+        self.inner = inner
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+
+    def _together(self, made: Iterator[Row]) -> Iterator[Row]:
+        while part := list(islice(made, CHUNK)):
+            run, *values = zip(*part, strict=True)
+            yield Row(*part[0].__fields__)(run[0], *map(list, values))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        records = ((run, *values) for run, *lists in rows for values in zip(*lists, strict=True))
+        return self._together(iter(self.inner.handleInputRows(key, records, timerValues)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._together(iter(self.inner.handleExpiredTimer(key, timerValues, expiredTimerInfo)))
+
+    def close(self) -> None:
+        self.inner.close()
+
+
 def _by_run(records: DataFrame, delay: str, processor: StatefulProcessor, schema: str, *columns: str) -> DataFrame:
     """``processor`` over the records of each ``run_id``; they have ``at``, the milliseconds of ``ts``, in place of it.
 
-    Processors take plain rows one by one. What costs time is each call to a state and each element of it, so what a run holds is
+    Processors take plain records one by one. What costs time is each row that goes into Python or out of it, so a run's records
+    travel packed; and each call to a state and each element of it, so what a run holds is
     one value where it is bounded, else chunks of arrays, read and written once for each run and batch.
     """
     keep_state_in_rocks(records.sparkSession)
     timed = records.where("run_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("ts", delay).select("run_id", F.unix_millis("ts").alias("at"), *columns)
-    return timed.groupBy("run_id").transformWithState(processor, schema, "append", "eventtime")
+    made = StructType.fromDDL(schema)
+    found = _packed(timed).groupBy("run_id").transformWithState(Packed(processor), _arrays(made), "append", "eventtime")
+    return found.select("run_id", F.inline(F.arrays_zip(*made.names[1:])))
 
 
 _EVENT = Row("run_id", "event", "at", "last_seen")
-CHUNK = 4096
 
 
 def _chunks(records: list[tuple]) -> list[tuple[list, ...]]:

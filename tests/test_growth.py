@@ -134,6 +134,34 @@ def test_waiting_heartbeats_are_few_elements(spark):
     assert made == [[]] and handle.timers == {0} and calls[0] <= 4
 
 
+def values_of(rows):
+    """Packed rows, one tuple per record."""
+    return [(row[0], *values) for row in rows for values in zip(*row[1:], strict=True)]
+
+
+def test_records_of_a_run_reach_python_in_few_rows(spark):
+    """Nulls stay in their places; a hot run takes several rows, and its records keep their order."""
+    rows = [("hot", n, None if n % 3 else f"l{n}", n) for n in range(1000)] + [("a", 1, None, None), ("", 2, "x", 3)]
+    packed = closing._packed(spark.createDataFrame(rows, "run_id string, at long, line string, line_no int").coalesce(1)).collect()
+    assert len(packed) == 2 + -(-1000 // closing.PACK) and all(len(r["at"]) <= closing.PACK for r in packed)
+    assert sorted(values_of(packed), key=lambda r: (r[0], r[1])) == sorted(rows, key=lambda r: (r[0], r[1]))
+    assert closing._packed(spark.createDataFrame([], "run_id string, at long")).collect() == []
+
+
+def test_what_is_late_leaves_in_few_rows(spark):
+    class Later(Times):
+        def getCurrentWatermarkInMs(self):
+            return 10_000
+
+    processor = closing.Packed(closing.RunStates(1000))
+    processor.init(Handle())
+    lists = [[n, n + 1] for n in range(0, 9000, 2)]
+    rows = (Row("run_id", "at", "line_no", "exit_code", "app_id", "micros")("r", at, at, [None] * 2, [None] * 2, at) for at in lists)
+    made = list(processor.handleInputRows(("r",), rows, Later()))
+    assert len(made) <= 3
+    assert [r[:3] for r in values_of(made)] == [("r", True, n) for n in range(9000)]
+
+
 def test_json_bodies_take_one_shuffle(spark, tmp_path):
     """Both shapes of a file come out of one row, which the writer needs no second shuffle for."""
     rows = [(n, f"text {n}", "en") for n in (1, 2, 150)] + [(None, None, None)]
