@@ -165,7 +165,8 @@ class Heartbeats(StatefulProcessor):
             if orphaned and at > last:
                 orphaned = False
                 found.append(("revived", at, at))
-            last = None if ended else at if last is None else max(last, at)
+            # An end behind the last record known ends a silent run too.
+            last, orphaned = (None, False) if ended else (at if last is None else max(last, at), orphaned)
         silent_until(passed + 1)
         left = [r for r in records if r[0] > passed]
         if left:

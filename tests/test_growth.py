@@ -162,6 +162,20 @@ def test_what_is_late_leaves_in_few_rows(spark):
     assert [r[:3] for r in values_of(made)] == [("r", True, n) for n in range(9000)]
 
 
+def test_a_late_end_of_an_orphan_is_an_end(spark):
+    """The end has a time before the last record; what comes next begins anew."""
+    class Later(Times):
+        def getCurrentWatermarkInMs(self):
+            return 50_000
+
+    handle, processor = Handle(), closing.Heartbeats(1000)
+    processor.init(handle)
+    for batch in ([("r", 9000, False)], [("r", 5000, True), ("r", 6000, False)]):
+        list(processor.handleInputRows(("r",), (Row("run_id", "at", "ended")(*row) for row in batch), Later()))
+        found = [tuple(r)[1:] for r in processor.handleExpiredTimer(("r",), Later(), None)]
+    assert found == [("orphaned", 7000, 6000)]
+
+
 def test_json_bodies_take_one_shuffle(spark, tmp_path):
     """Both shapes of a file come out of one row, which the writer needs no second shuffle for."""
     rows = [(n, f"text {n}", "en") for n in (1, 2, 150)] + [(None, None, None)]
