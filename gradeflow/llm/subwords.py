@@ -9,6 +9,7 @@ and give their own ids. Tests hold the result against the library on whole texts
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,8 @@ from tokenizers import Tokenizer
 # Chunks that a worker remembers, some 200 bytes each; those met later are encoded each time. It only bounds memory.
 REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 48
+# Types of the ids and their letters in struct.
+_PACKED = {"<u2": "H", "<u4": "I"}
 _OTHER_BLANK = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LINE_END = re.compile(r"(?<=\S)\n(?=\S)")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -41,12 +44,14 @@ class _Ids(dict):
         self.marks = {m: self._ids(m) for m in ",.;:!?"}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{_PACKED[self.kind]}", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk[-1:] in self.marks and (chunk[:-1] + chunk[:-1].lower()).isalpha():
-            return self[chunk[:-1]] + self.marks[chunk[-1]]
-        ids = self._ids(self.before + chunk)
+            ids = self[chunk[:-1]] + self.marks[chunk[-1]]
+        else:
+            ids = self._ids(self.before + chunk)
         if len(chunk) <= LONGEST_REMEMBERED and len(self) < self.remembered:
             self[chunk] = ids
         return ids

@@ -31,6 +31,16 @@ def test_chunks_give_the_ids_of_the_whole_text(small, path, drops, kind):
     assert [np.frombuffer(coder.encode(t), kind).tolist() for t in texts] == library_ids(path, texts)
 
 
+@pytest.mark.parametrize(("path", "drops", "kind"), [(queries.BYTE_TOKENIZER, False, "<u4"), (queries.WORD_TOKENIZER, True, "<u2")])
+def test_chunks_with_a_mark_are_worked_out_once(path, drops, kind):
+    coder = subwords.Subwords(path, drops, kind)
+    words = ["Oval,", "oval", "oval.", "ßaá!"]
+    first = coder.encode(" ".join(words))
+    assert set(words) <= {*coder.plain, *coder.spaced}
+    coder.plain.encode = coder.spaced.encode = None
+    assert coder.encode(" ".join(words)) == first and np.frombuffer(first, kind).tolist() == library_ids(path, [" ".join(words)])[0]
+
+
 def test_packing(messy, none):
     rows = [((r["doc_id"] or 0), r["text"] or "") for r in messy.collect()]
     ids = Counter()
