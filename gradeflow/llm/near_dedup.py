@@ -10,7 +10,8 @@ probability of ``RECALL`` at the depth that the trees have reached (:func:`trees
 Large groups of near copies come apart slowly. So in each large node ``DRAWN`` sets are compared with all before it
 branches, and sets that are already in one component need no further comparison: a node is done when all its sets are in
 one, and when at most ``SMALL`` are outside its largest component, these are compared with everyone. A comparison gives
-links that join components, one fewer than it joins, not all similar pairs.
+links that join components, one fewer than it joins, not all similar pairs. Two sets that were in such a node together
+have been compared or joined; no other node compares them again.
 
 Equal sets are one set from the start. All similarities are confirmed on full sets of 64-bit shingle hashes.
 """
@@ -35,7 +36,7 @@ TREES = 13
 RECALL = 0.99
 TOKENS = 64
 # A node with so many sets outside its largest component is compared exhaustively.
-SMALL = 512
+SMALL = 1024
 # In a larger node so many sets, drawn by hash, are compared with all others before it branches.
 DRAWN = 32
 # Sets of a node are compared in slices of about so many, each with the few that are compared with all.
@@ -112,8 +113,10 @@ def _children(node: Column, rate: float) -> Column:
 def _branches(large: DataFrame, reps: DataFrame, rate: float) -> DataFrame:
     """The rows of large nodes some levels further down. Their tokens travel with them from there on."""
     known = large.where("tokens is not null").select("id", "bits", "sets", "node", "tokens")
-    fresh = large.where("tokens is null").select("id", "bits", "sets", "node").join(reps.select("id", "tokens"), "id")
-    made = known.unionByName(fresh)
+    # A set's tokens are fetched once, however many trees it has large nodes in.
+    fresh = large.where("tokens is null").groupBy("id").agg(F.collect_list(F.struct("bits", "sets", "node")).alias("places"))
+    fetched = fresh.join(reps.select("id", "tokens"), "id").withColumn("place", F.explode("places"))
+    made = known.unionByName(fetched.select("id", "place.*", "tokens"))
     nodes = F.array("node")
     for step in range(STEPS):
         further = F.flatten(F.transform(nodes, lambda node: _children(node, rate)))
@@ -155,7 +158,7 @@ def _roots(reps: DataFrame, first: int, end: int, rate: float) -> DataFrame:
 
 
 def _inside(rows: DataFrame, exhaustive: bool) -> DataFrame:
-    """Rows ``id, bits, part, node, tokens`` of the nodes of more than one part, with ``sets`` and ``outside``, how many sets
+    """Rows ``id, bits, part, done, node, tokens`` of the nodes of more than one part, with ``sets`` and ``outside``, how many sets
     are in the node and outside its largest part, and ``few``, whether the row is compared with all others.
     """
     parts = rows.groupBy("node", "part").agg(F.count("*").alias("n"))
@@ -173,19 +176,20 @@ def _inside(rows: DataFrame, exhaustive: bool) -> DataFrame:
 def _meetings(inside: DataFrame, most_apart: int) -> DataFrame:
     """``node, slice, id, part, few``: whom to compare. The few of a node meet all others, slice by slice.
 
-    A set is at home in one slice of its node; the few visit all others. Sets without a partner by their sketches
-    are left out of a slice. No slice has more than about ``SLICE`` sets and the few.
+    A set is at home in one slice of its node; the few visit all others. Sets without a partner, by their sketches and the
+    nodes they are done with, are left out of a slice. No slice has more than about ``SLICE`` sets and the few.
     """
     slices = F.ceil(F.col("sets") / SLICE)
     own = F.pmod(F.xxhash64("id", F.lit(5)), slices)
-    home = inside.select("node", own.alias("slice"), "id", "part", "bits", "few", F.lit(True).alias("home"))
+    home = inside.select("node", own.alias("slice"), "id", "part", "done", "bits", "few", F.lit(True).alias("home"))
     away = inside.where("few").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).where(F.col("slice") != own)
-    few = home.where("few").union(away.select("node", "slice", "id", "part", "bits", "few", F.lit(False)))
+    few = home.where("few").union(away.select("node", "slice", "id", "part", "done", "bits", "few", F.lit(False)))
     close = (
         (F.col("one.node") == F.col("two.node"))
         & (F.col("one.slice") == F.col("two.slice"))
         & (F.col("one.part") != F.col("two.part"))
         & (_apart(F.col("one.bits"), F.col("two.bits")) <= most_apart)
+        & ~F.coalesce(F.arrays_overlap("one.done", "two.done"), F.lit(False))
     )
     others = home.where("not few").alias("one").join(few.alias("two"), close, "left_semi")
     met = few.alias("one").join(home.alias("two"), close, "left_semi")
@@ -276,6 +280,20 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.union(newer.select("label", "newer")), "labels")
 
 
+def _compared_whole(inside: DataFrame, exhaustive: bool) -> DataFrame:
+    """``id, at`` of the nodes whose sets have all met those of other parts. ``at`` has the bits too: an id may have several sets."""
+    whole = inside if exhaustive else inside.where(F.col("outside") <= SMALL)
+    return whole.select("id", F.struct("bits", "node").alias("at"))
+
+
+def _placed(rows: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
+    """``rows`` with ``part``, the component of a set, and ``done``, the nodes of :func:`_compared_whole` that it was in."""
+    about = stored(labels.join(whole.groupBy("id").agg(F.collect_set("at").alias("ats")), "id", "full"), "about")
+    own = F.filter("ats", lambda at: at["bits"] == F.col("bits"))
+    with_part = rows.join(about, "id", "left").withColumn("part", F.coalesce("label", "id"))
+    return with_part.withColumn("done", F.transform(own, lambda at: at["node"])).drop("label", "ats")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -294,6 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     sets = made.where("set_id is not null and doc_id is not null")
     reps = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "reps")
     labels = docs.sparkSession.createDataFrame([], "id long, label long")
+    whole = docs.sparkSession.createDataFrame([], "id long, at struct<bits:struct<a:long,b:long>,node:long>")
     roots, shingles, known = None, None, None  # of the trees prepared so far, and the full sets of their candidates
     branching, level, started, prepared, needed, depth, deepest = None, 0, 0, 0, trees, 1, 1
     while started < needed or branching is not None:
@@ -308,9 +327,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
             end = min(prepared, started + STARTED[min(level, len(STARTED) - 1)])
             fresh = roots.where(F.col("tree").between(started, end - 1)).select("id", "bits", "node", F.lit(None).cast("array<int>").alias("tokens"))
             rows, started = fresh if rows is None else fresh.union(rows), end
-        rows = rows.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
-        inside = _inside(rows, exhaustive)
+        inside = _inside(_placed(rows, labels, whole), exhaustive)
         labels = _relabelled(labels, _compared(_meetings(inside, most_apart), shingles, numerator, denominator))
+        whole = whole.union(_compared_whole(inside, exhaustive))
         large = inside.where(F.col("outside") > SMALL)
         branching, level = None, level + 1
         if exhaustive:

@@ -59,6 +59,37 @@ def test_many_near_copies_are_one_component(spark):
     assert {r["component_id"] for r in made} == {0} and sum(r["kept"] for r in made) == 1
 
 
+def template_rows(n, changed, at):
+    """Texts of one template with ``changed`` words of their own each: similar, though seldom enough for a link."""
+    base, rng = [f"t{k}" for k in range(150)], np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.choice(150, changed, replace=False):
+            own[k] = f"new{at + i}x{k}"
+        rows.append((at + i, " ".join(own)))
+    return rows
+
+
+def test_sets_of_a_template_meet_once(spark, monkeypatch):
+    rows = template_rows(300, 5, 0)
+    rows += [(300 + i, f"{rows[i][1]} end{i}") for i in range(0, 300, 30)]
+    rows += [(i, text) for i, (_, text) in zip(range(5, 300, 60), template_rows(5, 2, 1000), strict=True)]  # ids with two texts
+    seen, meetings = [], near_dedup._meetings
+
+    def counted(*given):
+        made = near_dedup.stored(meetings(*given), "counted")
+        seen.append(made.count())
+        return made
+
+    monkeypatch.setattr(near_dedup, "_meetings", counted)
+    made = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    sets = [(i, shingles(text, 3)) for i, text in rows]
+    linked = [(a, b) for n, (a, x) in enumerate(sets) for b, y in sets[:n] if 100 * len(x & y) >= 85 * len(x | y)]
+    assert made == least_reachable(sorted({i for i, _ in rows}), linked)
+    assert len(set(made.values())) > 200 and sum(seen) <= 9 * len(rows)
+
+
 def test_messy_near_duplicates(messy, none):
     made = {r["doc_id"]: r for r in near_dedup.near_duplicates(messy, 3, 85).collect()}
     assert [made[k]["component_id"] for k in (1, 2, 3, 4, 5, 6, 7, 10, 11, 14)] == [1, 1, 1, 1, 5, 6, 7, 10, 10, 14]
