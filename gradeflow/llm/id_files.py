@@ -105,7 +105,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         coder = subwords(tokenizer, drops_space=True, kind="<u2")
-        ids = [coder.encode(text or "") + tail for text in rows.column("text").to_pylist()]
+        ids = [made + tail for made in coder.encode_all([text or "" for text in rows.column("text").to_pylist()])]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, ids binary")

@@ -41,6 +41,28 @@ def test_chunks_with_a_mark_are_worked_out_once(path, drops, kind):
     assert coder.encode(" ".join(words)) == first and np.frombuffer(first, kind).tolist() == library_ids(path, [" ".join(words)])[0]
 
 
+@pytest.mark.parametrize(("path", "drops", "kind"), [(queries.BYTE_TOKENIZER, False, "<u4"), (queries.WORD_TOKENIZER, True, "<u2")])
+@pytest.mark.parametrize("remembered", [50, 1_000_000])
+def test_texts_encoded_together_have_the_ids_of_the_library(small, path, drops, kind, remembered):
+    marks = ["a", "B", "é", "É", "ß", "'s", "'", "ll", " ", " ", "\n", "\t", "\xa0", "9", "½", ",", "...", "!", "%%", "</w>", "İ", "\u0301", "한", "ᄀ", "ᅡ", "👍", "<|endoftext|>", "<|", "ſ", "Σ", "ς", "\U0002ebf0", "ª"]
+    pick = random.Random(4)
+    texts = ["", " ", *["".join(pick.choices(marks, k=pick.randint(0, 25))) for _ in range(2000)], *[r["text"] for r in small.limit(200).collect()]]
+    coder = subwords.Subwords(path, drops, kind, remembered)
+    made = [ids for size in (1, 7, len(texts)) for at in range(0, len(texts), size) for ids in coder.encode_all(texts[at : at + size])]
+    assert [np.frombuffer(ids, kind).tolist() for ids in made] == library_ids(path, texts) * 3
+    assert coder.encode_all([]) == [] and len(coder.plain) <= remembered
+
+
+def test_new_words_are_encoded_in_one_call():
+    coder = subwords.Subwords(queries.WORD_TOKENIZER, True, "<u2")
+    texts = [" ".join(f"{a}{b}ovél{end}" for b in "abcdefgh") for a in "KLMNOP" for end in ("", ",", "###")]
+    one, batch, calls = coder.plain.encode, coder.plain.batch, []
+    coder.plain.encode = lambda text, **how: calls.append(text) or one(text, **how)
+    coder.plain.batch = lambda texts, **how: calls.append(texts) or batch(texts, **how)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in coder.encode_all(texts)] == library_ids(queries.WORD_TOKENIZER, texts)
+    assert len(calls) <= 4
+
+
 def test_packing(messy, none):
     rows = [((r["doc_id"] or 0), r["text"] or "") for r in messy.collect()]
     ids = Counter()
