@@ -20,6 +20,8 @@ PACKAGE = Path(__file__).resolve().parent.parent
 CHUNK_BYTES = 1 << 19
 # Rows that Spark hands a Python worker at once, where the session allows more: whole texts are long rows.
 BATCH_ROWS = 2000
+# Rows in a file of a narrow intermediate table.
+FILE_ROWS = 50_000
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -46,9 +48,19 @@ def ship(spark: SparkSession) -> None:
     context._gradeflow_shipped = True
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
+def in_files(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df``, of about ``rows`` rows, in one partition for ``each`` rows, though in as many as there are cores, and never in more than it has."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here, and a lost executor loses nothing.
+
+    ``rows``: about how many it has at most, if known. A table with few rows is then written by few tasks in few files, whatever the number of
+    shuffle partitions.
+    """
     path = fresh_path(df.sparkSession, label)
+    df = df if rows is None else in_files(df, rows)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

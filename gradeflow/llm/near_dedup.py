@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import map_texts, ship, small_side, stored
+from gradeflow.llm.common import in_files, map_texts, ship, small_side, stored
 from gradeflow.llm.components import stars
 from gradeflow.llm.hashing import mixed, shingle_hashes, word_hashes, words_of
 
@@ -49,6 +49,8 @@ DEPTH = 48
 SEARCHED = 4096
 # Cells of the largest table of sets by shingles that a task makes; beyond it sets are compared one by one.
 DENSE = 1 << 23
+# Sets that a task compares, on average.
+TASK_ROWS = 2000
 # Trees that start in each round: what the first ones link needs no comparison in the later ones.
 STARTED = (2, 5, 6)
 SIGMAS = 6.3
@@ -150,11 +152,11 @@ def trees_for(recall: float, least: float, depth: int) -> int:
 
 
 def _roots(reps: DataFrame, first: int, end: int, rate: float) -> DataFrame:
-    """``id, bits, tree, node``: the sets at the first level of some trees, without nodes that one set has alone."""
+    """``id, bits, tree, node, sets``: the sets at the first level of some trees and how many are in their node, without nodes that one set has alone."""
     starts = F.explode(F.array(*[F.lit(t).cast("long") for t in range(first, end)])).alias("tree")
     rows = reps.select("id", "bits", "tokens", starts).select("id", "bits", "tree", F.explode(_children(F.col("tree"), rate)).alias("node"))
-    shared = rows.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return stored(rows.join(shared.select("node"), "node", "left_semi"), "roots")
+    shared = rows.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("sets")).where("least < most")
+    return stored(rows.join(shared.select("node", "sets"), "node").select("id", "bits", "tree", "node", "sets"), "roots", round(rate * (end - first) * reps.count()))
 
 
 def _inside(rows: DataFrame, exhaustive: bool) -> DataFrame:
@@ -170,7 +172,7 @@ def _inside(rows: DataFrame, exhaustive: bool) -> DataFrame:
     )
     drawn = F.pmod(F.xxhash64("node", "id", F.lit(4)), F.col("outside")) < DRAWN
     few = (F.col("part") != F.col("top")) & (F.lit(exhaustive) | (F.col("outside") <= SMALL) | drawn)
-    return stored(rows.join(nodes, "node").withColumn("few", few).drop("top"), "inside")
+    return stored(rows.join(nodes, "node").withColumn("few", few).drop("top"), "inside", rows.count())
 
 
 def _meetings(inside: DataFrame, most_apart: int) -> DataFrame:
@@ -181,35 +183,34 @@ def _meetings(inside: DataFrame, most_apart: int) -> DataFrame:
     """
     slices = F.ceil(F.col("sets") / SLICE)
     own = F.pmod(F.xxhash64("id", F.lit(5)), slices)
-    home = inside.select("node", own.alias("slice"), "id", "part", "done", "bits", "few", F.lit(True).alias("home"))
-    away = inside.where("few").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).where(F.col("slice") != own)
-    few = home.where("few").union(away.select("node", "slice", "id", "part", "done", "bits", "few", F.lit(False)))
+    at = F.when(F.col("few"), F.sequence(F.lit(0).cast("long"), slices - 1)).otherwise(F.array(own))
+    there = inside.withColumn("slice", F.explode(at)).select("node", "slice", "id", "part", "done", "bits", "few", (F.col("slice") == own).alias("home"))
     close = (
         (F.col("one.node") == F.col("two.node"))
         & (F.col("one.slice") == F.col("two.slice"))
         & (F.col("one.part") != F.col("two.part"))
+        & (F.col("one.few") | F.col("two.few"))
+        & (F.col("one.home") | F.col("two.home"))
         & (_apart(F.col("one.bits"), F.col("two.bits")) <= most_apart)
         & ~F.coalesce(F.arrays_overlap("one.done", "two.done"), F.lit(False))
     )
-    others = home.where("not few").alias("one").join(few.alias("two"), close, "left_semi")
-    met = few.alias("one").join(home.alias("two"), close, "left_semi")
-    visited = home.where("few").alias("one").join(few.alias("two"), close, "left_semi")
-    names = ["node", "slice", "id", "part", "few"]
-    return others.select(*names).union(met.union(visited).select(*names).distinct())
+    return there.alias("one").join(there.alias("two"), close, "left_semi").select("node", "slice", "id", "part", "few")
 
 
 def _joined(few: list[tuple], others: list[tuple], numerator: int, denominator: int) -> Iterator[tuple[int, int]]:
-    """Links of parts that join all parts with similar sets, one of them among the few: a forest."""
+    """Links that join all parts with similar sets, one of them among the few: from each part to the least that it is joined with."""
     rows = [*few, *others]
     sizes = np.array([len(r[2]) for r in rows])
     parts = np.array([r[1] for r in rows])
-    _, place = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-    different = int(place.max()) + 1
+    _, place, times = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True, return_counts=True)
+    different, several = len(times), np.flatnonzero(times > 1)
     ends = np.cumsum(sizes)
-    dense = different * len(rows) <= DENSE
-    if dense:
-        held = np.zeros((len(rows), different), np.float32)
-        held[np.repeat(np.arange(len(rows)), sizes), place] = 1
+    dense = len(several) * len(rows) <= DENSE
+    if dense:  # what one set has alone isn't shared
+        column = np.full(different, -1)
+        column[several] = np.arange(len(several))
+        column, held = column[place], np.zeros((len(rows), len(several)), np.float32)
+        held[np.repeat(np.arange(len(rows)), sizes)[column >= 0], column[column >= 0]] = 1
         all_shared = (held[: len(few)] @ held.T).astype(np.int64)
     root: dict[int, int] = {}
 
@@ -230,7 +231,8 @@ def _joined(few: list[tuple], others: list[tuple], numerator: int, denominator:
             a, b = find(part), find(int(parts[i]))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                yield max(a, b), min(a, b)
+    for part in root:
+        yield part, find(part)
 
 
 def _compared(meetings: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -253,9 +255,9 @@ def _compared(meetings: DataFrame, sets: DataFrame, numerator: int, denominator:
         yield links()
 
     ship(sets.sparkSession)
-    met = sets.join(small_side(stored(meetings, "meetings")), "id")
+    met = sets.join(small_side(meetings), "id")
     dealt = met.select("node", "slice", "few", "id", "part", "shingles").repartition("node", "slice").sortWithinPartitions("node", "slice", "few", "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_files(dealt.mapInArrow(run, "a long, b long"), meetings.count(), TASK_ROWS)
 
 
 def _close_roots(roots: DataFrame, most_apart: int) -> DataFrame:
@@ -263,21 +265,18 @@ def _close_roots(roots: DataFrame, most_apart: int) -> DataFrame:
 
     What is left out could only be compared in vain, there and further down.
     """
-    sizes = roots.groupBy("node").agg(F.count("*").alias("sets"))
-    sized = stored(roots.join(sizes, "node"), "sized")
-    one, two = sized.where(F.col("sets") <= SEARCHED).alias("one"), sized.where(F.col("sets") <= SEARCHED).alias("two")
+    one, two = roots.where(F.col("sets") <= SEARCHED).alias("one"), roots.where(F.col("sets") <= SEARCHED).alias("two")
     close = (F.col("one.node") == F.col("two.node")) & (F.col("one.id") != F.col("two.id")) & (_apart(F.col("one.bits"), F.col("two.bits")) <= most_apart)
-    return stored(one.join(two, close, "left_semi").union(sized.where(F.col("sets") > SEARCHED)).drop("sets"), "close")
+    return stored(one.join(two, close, "left_semi").union(roots.where(F.col("sets") > SEARCHED)).drop("sets"), "close", roots.count())
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, label`` after links between labels: those of joined components become their least."""
-    links = stored(links.distinct(), "links")
-    if links.isEmpty():
+def _relabelled(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """``id, label`` after links between labels, about ``rows`` at most: those of joined components become their least."""
+    newer = stars(links, rows=rows).select(F.col("a").alias("label"), F.col("b").alias("newer"))
+    if newer.isEmpty():
         return labels
-    newer = stars(links).select(F.col("a").alias("label"), F.col("b").alias("newer"))
     moved = labels.join(newer, "label", "left").select("id", F.coalesce("newer", "label").alias("label"))
-    return stored(moved.union(newer.select("label", "newer")), "labels")
+    return stored(moved.union(newer.select("label", "newer")), "labels", labels.count() + newer.count())
 
 
 def _compared_whole(inside: DataFrame, exhaustive: bool) -> DataFrame:
@@ -286,12 +285,13 @@ def _compared_whole(inside: DataFrame, exhaustive: bool) -> DataFrame:
     return whole.select("id", F.struct("bits", "node").alias("at"))
 
 
-def _placed(rows: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
-    """``rows`` with ``part``, the component of a set, and ``done``, the nodes of :func:`_compared_whole` that it was in."""
-    about = stored(labels.join(whole.groupBy("id").agg(F.collect_set("at").alias("ats")), "id", "full"), "about")
+def _placed(rows: DataFrame, labels: DataFrame, whole: DataFrame, about: int) -> DataFrame:
+    """``rows``, ``about`` so many, with ``part``, the component of a set, and ``done``, the nodes of :func:`_compared_whole` that it was in."""
+    known = labels.select("id", "label", F.lit(None).alias("at")).union(whole.select("id", F.lit(None), "at"))
+    known = known.groupBy("id").agg(F.max("label").alias("label"), F.collect_set("at").alias("ats"))
     own = F.filter("ats", lambda at: at["bits"] == F.col("bits"))
-    with_part = rows.join(about, "id", "left").withColumn("part", F.coalesce("label", "id"))
-    return with_part.withColumn("done", F.transform(own, lambda at: at["node"])).drop("label", "ats")
+    with_part = rows.join(known, "id", "left").withColumn("part", F.coalesce("label", "id"))
+    return stored(with_part.withColumn("done", F.transform(own, lambda at: at["node"])).drop("label", "ats"), "placed", about)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -310,32 +310,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 80, denomi
     made = stored(sketches(docs, words), "sketches")
     # Equal sets are one; the least document stands for them.
     sets = made.where("set_id is not null and doc_id is not null")
-    reps = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "reps")
-    labels = docs.sparkSession.createDataFrame([], "id long, label long")
-    whole = docs.sparkSession.createDataFrame([], "id long, at struct<bits:struct<a:long,b:long>,node:long>")
+    reps = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "reps", made.count())
+    labels = docs.sparkSession.range(0).select("id", F.col("id").alias("label"))
+    whole = labels.select("id", F.lit(None).cast("struct<bits:struct<a:long,b:long>,node:long>").alias("at"))
     roots, shingles, known = None, None, None  # of the trees prepared so far, and the full sets of their candidates
-    branching, level, started, prepared, needed, depth, deepest = None, 0, 0, 0, trees, 1, 1
+    branching, level, started, prepared, needed, depth, deepest, about = None, 0, 0, 0, trees, 1, 1, 0
     while started < needed or branching is not None:
         exhaustive, rows = depth >= DEPTH, branching
         if started == prepared < needed:
             roots = _close_roots(_roots(reps, prepared, needed, 1 / least), most_apart)
             found = roots.select("id").distinct()
-            found = stored(found if known is None else found.join(known, "id", "left_anti"), "candidates")
+            found = stored(found if known is None else found.join(known, "id", "left_anti"), "candidates", roots.count())
             more = stored(_sets_of(docs, small_side(found), words), "sets")
             shingles, known, prepared = (more, found, needed) if known is None else (shingles.union(more), known.union(found), needed)
         if started < prepared and not exhaustive:
             end = min(prepared, started + STARTED[min(level, len(STARTED) - 1)])
             fresh = roots.where(F.col("tree").between(started, end - 1)).select("id", "bits", "node", F.lit(None).cast("array<int>").alias("tokens"))
-            rows, started = fresh if rows is None else fresh.union(rows), end
-        inside = _inside(_placed(rows, labels, whole), exhaustive)
-        labels = _relabelled(labels, _compared(_meetings(inside, most_apart), shingles, numerator, denominator))
+            rows, started, about = fresh if rows is None else fresh.union(rows), end, about + fresh.count()
+        inside = _inside(_placed(rows, labels, whole, about), exhaustive)
+        meetings = stored(_meetings(inside, most_apart), "meetings", inside.count())
+        met = meetings.count()
+        if met:
+            labels = _relabelled(labels, _compared(meetings, shingles, numerator, denominator), met)
         whole = whole.union(_compared_whole(inside, exhaustive))
         large = inside.where(F.col("outside") > SMALL)
-        branching, level = None, level + 1
-        if exhaustive:
-            depth = 1
-        elif not large.isEmpty():
-            branching, depth = _branches(large, reps, 1 / least), depth + STEPS
+        branching, level, about = None, level + 1, 0
+        left = 0 if exhaustive else large.count()
+        if left:
+            branching, depth, about = _branches(large, reps, 1 / least), depth + STEPS, 2 * left
         else:
             depth = 1
         deepest = max(deepest, depth)

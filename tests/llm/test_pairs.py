@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gradeflow.llm import components, fingerprints, hashing, near_dedup, passages
+from gradeflow.llm import common, components, fingerprints, hashing, near_dedup, passages
 
 LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
 
@@ -100,6 +101,51 @@ def test_messy_near_duplicates(messy, none):
     assert sorted(r["doc_id"] or 0 for r in left.select("doc_id").collect()) == [0, 1, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 17]
 
 
+@pytest.fixture
+def tables(spark, tmp_path, monkeypatch):
+    """Every intermediate table written in a test, by label: how many files each has; with 64 shuffle partitions that stay as they are."""
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr(common, "fresh_path", lambda spark, label: f"{tmp_path}/shared/{label}-{uuid.uuid4().hex}")
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+
+    def found():
+        made = defaultdict(list)
+        for folder in (tmp_path / "shared").iterdir():
+            made[folder.name.split("-")[0]].append(len([*folder.glob("part-*")]))
+        return made
+
+    yield found
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_levels_write_few_tables_in_few_files(spark, tables):
+    rows = template_rows(1200, 1, 0)
+    made = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert {r["component_id"] for r in made} == {0}
+    found = tables()
+    assert all(n <= spark.sparkContext.defaultParallelism for label, files in found.items() if label != "sets" for n in files)
+    levels = len(found["inside"])
+    assert all(len(found[label]) <= levels for label in ("placed", "meetings", "labels")) and found.keys() <= {
+        "sketches", "reps", "roots", "close", "candidates", "sets", "placed", "inside", "meetings", "stars", "labels"
+    }
+
+
+def test_links_that_are_stars_need_no_round(spark, tables):
+    links = [(k, k % 7) for k in range(7, 300)]
+    made = components.stars(spark.createDataFrame([*links, (3, 3), (9, 2), (2, 9)], "a long, b long"), rows=300)
+    assert {(r["a"], r["b"]) for r in made.collect()} == {*links}
+    files = tables()["stars"]
+    assert len(files) == 1 and files[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_linked_parts_lead_to_the_least(spark):
+    rows = [(k, k, np.sort(np.r_[np.arange(40), 1000 + k].astype(np.uint64))) for k in (9, 5, 7, 2)] + [(1, 1, np.arange(60, 90, dtype=np.uint64))]
+    assert sorted(near_dedup._joined(rows[:1], rows[1:], 85, 100)) == [(5, 2), (7, 2), (9, 2)]
+
+
 @pytest.mark.parametrize("links", [[], [(1, 2)], [(k, k + 1) for k in range(60)], [(5, 1), (5, 9), (9, 3), (7, 8), (8, 7), (4, 4)]])
 def test_stars(spark, links):
     made = components.stars(spark.createDataFrame(links, "a long, b long"))
