@@ -99,8 +99,8 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: workers outlive their tasks, and what they hold adds up on an executor."""
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, the driver its stages, and what they hold adds up."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -115,7 +115,7 @@ def map_texts(df: DataFrame, work: Callable, schema: str, text: str = "text") ->
             place = batch.schema.get_field_index(text)
             for first, end, data, offsets in chunks(batch.column(place)):
                 yield work(batch.slice(first, end - first), data, offsets)
-        _give_back()
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import fold, map_texts
+from gradeflow.llm.common import fold, give_back, map_texts
 from gradeflow.llm.hashing import mixed, word_hashes, words_of
 
 BITS = 18
@@ -164,6 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     raw = np.array([model.raw(p) for p in [*found["toxic"], *found["clean"]]])
     truth = np.array([1] * len(found["toxic"]) + [0] * len(found["clean"]))
     model.slope, model.shift = calibrate(raw, truth)
+    del table, found, places
+    give_back()
     return model
 
 
